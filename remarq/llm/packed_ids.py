@@ -280,7 +280,7 @@ def write_ids(df: DataFrame, vocabulary: str, end_id: int, text: str = "text", k
             n_docs, n_ids = writer.close()
         yield pa.RecordBatch.from_pylist([{"file": uri, "place": place, "n_docs": n_docs, "n_ids": n_ids}])
 
-    return stored(dealt.mapInArrow(run, "file string, place int, n_docs long, n_ids long"), "id-files")
+    return stored(dealt.mapInArrow(run, "file string, place long, n_docs long, n_ids long"), "id-files")
 
 
 def _files(df: DataFrame) -> int:
