@@ -68,12 +68,18 @@ class Benchmark:
 
     def contains(self, w: Column) -> Column:
         """Whether any window of the words equals one of the benchmark; only while the set is small."""
-        each = [F.exists(self.hit_starts(w, n), lambda s, n=n: _gram(w, s, n).isin(self.grams[n])) for n in self.lengths]
         found = F.lit(False)
-        for one in each:
-            found = found | one
+        for n in self.lengths:
+            found = found | self._holds(w, n)
         return found
 
+    def _holds(self, w: Column, n: int) -> Column:
+        return F.exists(self.hit_starts(w, n), lambda s: _gram(w, s, n).isin(self.grams[n]))
+
+
+def _with_gram(starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("length"), _gram(F.col("w"), s, n).alias("gram")))
+
 
 def _candidates(split: DataFrame, bench: Benchmark) -> DataFrame:
     """Rows ``row, doc_id, n_words, start, length, gram``: hash hits, and one row without a start for documents with none."""
@@ -81,7 +87,7 @@ def _candidates(split: DataFrame, bench: Benchmark) -> DataFrame:
     grams = []
     for n in bench.lengths:
         starts = bench.hit_starts(F.col("w"), n) if bench.small else _starts(F.col("n_words"), n)
-        grams.append(F.transform(starts, lambda s, n=n: F.struct(s.alias("start"), F.lit(n).alias("length"), _gram(F.col("w"), s, n).alias("gram"))))
+        grams.append(_with_gram(starts, n))
     if not grams:
         return split.select(*keep, F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("gram"))
     hits = split.select(*keep, (F.concat(*grams) if len(grams) > 1 else grams[0]).alias("hits"))
