@@ -37,12 +37,12 @@ SAMPLE_BYTES = 16 << 20
 FOLDS = 5
 #: A window's bytes, and from one window's start to the next; what overlaps holds a whole word.
 WINDOW, STEP = 80, 64
-LEVEL = 3
-ORDINARY_BYTES = 32 << 10
+LEVEL = 6
+ORDINARY_BYTES = 64 << 10
 #: Windows that the ordinary dictionary is trained on, at most.
 ORDINARY_WINDOWS = 40_000
 #: How many of the most distinctive words the toxic dictionary may learn from, and bytes that make a hit: what calibration chooses from.
-WORDS = (16, 64, 256, 512)
+WORDS = (32, 64, 128)
 GAINS = (2, 3, 4)
 WORD = re.compile(r"\w{3,}")
 
