@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packed_ids, simhash, token_counts, toxicity, warc_zip
+from . import decontaminate, flac, packed_ids, simhash, token_counts, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.from_media(flac.to_media(_table(spark, sf_dir, "documents")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_packed_ids": op6_packed_ids,
     "op7_toxicity": op7_toxicity,
+    "op8_flac": op8_flac,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
