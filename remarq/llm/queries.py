@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, packed_ids, simhash, token_counts, toxicity, warc_zip
+from . import decontaminate, flac, main_text, packed_ids, simhash, token_counts, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(_table(spark, sf_dir, "documents"), _vocabulary(), 512)
 
@@ -48,6 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_main_text": op2_main_text,
     "op5_token_counts": op5_token_counts,
     "op6_packed_ids": op6_packed_ids,
     "op7_toxicity": op7_toxicity,
