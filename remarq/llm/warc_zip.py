@@ -39,8 +39,7 @@ from .storage import fresh_folder, new_file, open_fs, stored
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.csv"
 #: A revisit record's profile, fixed by the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Body bytes of an archive, about; and bytes of records that a reading task takes with one range read.
-ARCHIVE_BYTES = 64 << 20
+#: Bytes of records that a reading task takes with one range read.
 SPAN_BYTES = 4 << 20
 LEVEL = 1
 
@@ -204,9 +203,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", bod
     spark = pages.sparkSession
     folder = fresh_folder(spark, "warc")
     chosen = pages.select(pages[key].cast("long").alias("key"), pages[url].alias("url"), pages[body].alias("body"))
-    total = chosen.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = max(1, -(-total // ARCHIVE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = chosen.join(_revisits(chosen, least_bytes), "key", "left").repartition(n, "key", F.xxhash64("body"))
+    dealt = chosen.join(_revisits(chosen, least_bytes), "key", "left")  # the join's partitions make the archives
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for part in parts for r in zip(*(part.column(c) for c in ("key", "url", "body", "refers_to")), strict=True))
