@@ -196,7 +196,7 @@ def _revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write all pages as WARC records into ZIP archives; the result, already stored, has a row per archive: uri, n_records.
+    """Write all pages as WARC records into ZIP archives; the result, already stored, has a row per archive: uri, n_records, n_bytes.
 
     Payloads of ``least_bytes`` and more are written once.
     """
@@ -212,9 +212,10 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", bod
             return
         with new_file(folder, "pages.wacz") as (out, uri):
             n_records = _write(out, first, rows)
-        yield pa.RecordBatch.from_pylist([{"uri": uri, "n_records": n_records}])
+            n_bytes = out.tell()
+        yield pa.RecordBatch.from_pylist([{"uri": uri, "n_records": n_records, "n_bytes": n_bytes}])
 
-    return stored(dealt.mapInArrow(run, "uri string, n_records long"), "warc-archives")
+    return stored(dealt.mapInArrow(run, "uri string, n_records long, n_bytes long"), "warc-archives")
 
 
 class _Forward(io.RawIOBase):
@@ -303,7 +304,9 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 values = [(r.key, r.payload_bytes, r.digest, r.kind, r.refers_to, r.url, r.payload)[: len(names)] for r in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*values, strict=True), kinds, strict=True)], names=names)
 
-    dealt = spans(archives).repartition("uri", "offset")
+    # as many tasks as there are a few spans for each: adaptive execution would put these small rows, which stand for much reading, into one
+    n_tasks = max(1, (archives.agg(F.sum("n_bytes")).first()[0] or 0) // (2 * SPAN_BYTES))
+    dealt = spans(archives).repartition(n_tasks, "uri", "offset")
     return dealt.mapInArrow(run, schema)
 
 
