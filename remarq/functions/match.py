@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .lexicon import Lexicon, Taxonomy
 
 
@@ -19,7 +20,7 @@ def _literal(rows: list[tuple], names: list[str], kinds: str) -> Column:
 
 def hits(text: Column, rows: list[tuple], names: list[str], kinds: str) -> Column:
     """The rows whose first value, in small letters, the text contains."""
-    return F.filter(_literal(rows, names, kinds), lambda r: text.contains(r[names[0]]))
+    return let(text, lambda t: F.filter(_literal(rows, names, kinds), lambda r: t.contains(r[names[0]])))
 
 
 def sentiment_hundredths(text: Column, lexicon: Lexicon) -> Column:
@@ -44,9 +45,13 @@ def first_label(text: Column, taxonomy: Taxonomy, kind: str = "stance") -> Colum
 
 
 def _first(text: Column, rows: list[tuple[str, str, str]], default: str, hit: float, miss: float) -> Column:
-    found = F.try_element_at(hits(F.lower(text), rows, ["key", "label", "term"], "key string, label string, term string"), F.lit(1))
-    return F.struct(
-        F.coalesce(found["label"], F.lit(default)).alias("label"),
-        F.coalesce(found["term"], F.lit("")).alias("term"),
-        F.when(found.isNotNull(), hit).otherwise(miss).alias("confidence"),
-    )
+    first = F.try_element_at(hits(F.lower(text), rows, ["key", "label", "term"], "key string, label string, term string"), F.lit(1))
+
+    def named(found: Column) -> Column:
+        return F.struct(
+            F.coalesce(found["label"], F.lit(default)).alias("label"),
+            F.coalesce(found["term"], F.lit("")).alias("term"),
+            F.when(found.isNotNull(), hit).otherwise(miss).alias("confidence"),
+        )
+
+    return let(first, named)

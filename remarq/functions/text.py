@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 # The cleaning rules' words and patterns.
 EMOJI = (("👍", " 好评 "), ("❤️", " 喜欢 "), ("🔥", " 火热 "), ("😡", " 生气 "), ("😭", " 难受 "))
 FLOOD = ("666", "111", "顶", "路过", "签到")
@@ -42,15 +44,18 @@ def compact(text: Column) -> Column:
 
 def quality_score(text: Column) -> Column:
     """0 for flooding and single characters, 0.1 for adverts, 0.45 for very short texts, else by length."""
-    short = compact(text)
-    size = F.length(short)
-    return (
-        F.when(short.isin(*FLOOD), 0.0)
-        .when(text.rlike("(?i)" + "|".join(ADVERTS)), 0.1)
-        .when(size <= 1, 0.0)
-        .when((size <= 4) & ~short.isin(*SHORT_BUT_TELLING), 0.45)
-        .otherwise(F.least(F.lit(1.0), F.lit(0.55) + size / F.lit(80.0)))
-    )
+
+    def of(short: Column) -> Column:
+        size = F.length(short)
+        return (
+            F.when(short.isin(*FLOOD), 0.0)
+            .when(text.rlike("(?i)" + "|".join(ADVERTS)), 0.1)
+            .when(size <= 1, 0.0)
+            .when((size <= 4) & ~short.isin(*SHORT_BUT_TELLING), 0.45)
+            .otherwise(F.least(F.lit(1.0), F.lit(0.55) + size / F.lit(80.0)))
+        )
+
+    return let(compact(text), of)
 
 
 def language(text: Column) -> Column:
@@ -135,13 +140,20 @@ def percent(ratio: Column) -> Column:
 
 def embedding(text: Column, size: int = EMBEDDING_SIZE) -> Column:
     """Hashed counts of the text's words, scaled to length one and rounded to six places."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    found = F.regexp_extract_all(lowered, F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    words = F.when(F.size(found) > 0, found).otherwise(F.array(lowered))
-    bucket = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.sha1(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.round(v / norm, 6))
+
+    def words(lowered: Column) -> Column:
+        return let(F.regexp_extract_all(lowered, F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(lowered)))
+
+    def counts(buckets: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+
+    def scaled(own: Column) -> Column:
+        norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, v: s + v * v))
+        return let(norm, lambda n: F.transform(own, lambda v: F.round(v / n, 6)))
+
+    found = let(F.lower(F.coalesce(text, F.lit(""))), words)
+    buckets = F.transform(found, lambda w: F.pmod(F.conv(F.substring(F.sha1(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(size)))
+    return let(let(buckets, counts), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:

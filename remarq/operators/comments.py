@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import match, text
+from ..functions.bind import once
 from ..functions.lexicon import SENTIMENT, Lexicon, Taxonomy, taxonomy
 
 
@@ -22,14 +23,14 @@ def last_of_each(df: DataFrame, key: str = "id", order: str = "seq") -> DataFram
 
 def clean(df: DataFrame) -> DataFrame:
     """Cleaned text, language and quality; empty and low-quality rows go."""
-    cleaned = df.withColumn("cleaned_content", text.normalize(text.collapsed(F.coalesce("content", F.lit("")))))
-    scored = cleaned.where("cleaned_content != ''").withColumn("quality_score", text.quality_score(F.col("cleaned_content")))
+    cleaned = once(df, cleaned_content=text.normalize(text.collapsed(F.coalesce("content", F.lit("")))))
+    scored = once(cleaned.where("cleaned_content != ''"), quality_score=text.quality_score(F.col("cleaned_content")))
     return scored.where("quality_score > 0.2").withColumn("language", text.language(F.col("cleaned_content")))
 
 
 def sentiment(df: DataFrame, lexicon: Lexicon = SENTIMENT) -> DataFrame:
     """Struct ``sentiment`` with label, score and confidence."""
-    scored = df.withColumn("__h", match.sentiment_hundredths(F.col("cleaned_content"), lexicon))
+    scored = once(df, __h=match.sentiment_hundredths(F.col("cleaned_content"), lexicon))
     h = F.greatest(F.lit(-100), F.least(F.lit(100), F.col("__h")))
     label = F.when(h >= 55, "strong_positive").when(h >= 15, "positive").when(h <= -55, "strong_negative").when(h <= -15, "negative").otherwise("neutral")
     score = h / F.lit(100.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.lexicon import Taxonomy
 from ..functions.text import NO_SPACE, PUNCTUATION_CUT, collapsed
 
@@ -27,23 +28,30 @@ def keep(token: Column, stop_words: tuple[str, ...]) -> Column:
 def tokens(text: Column, tax: Taxonomy) -> Column:
     """Known terms that occur, the longest first and equals by spelling; then Latin words and CJK runs that are or hold a
     term. Of tokens that differ in case alone the first stays."""
-    body = prepared(F.coalesce(text, F.lit("")))
-    lowered = F.lower(body)
     stop = tax.stop_words
     terms = sorted((t.strip() for t in tax.known_terms if len(t.strip()) > 1 and t.lower() not in stop), key=lambda t: (-len(t), t))
-    known = F.filter(F.array(*map(F.lit, terms)), lambda t: lowered.contains(F.lower(t))) if terms else F.array().cast("array<string>")
     lows = sorted({t.lower() for t in tax.known_terms})
     longer = [t for t in lows if len(t) >= 2]
 
+    def known(body: Column) -> Column:
+        rows = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms))
+        return let(F.lower(body), lambda low: F.transform(F.filter(rows, lambda r: low.contains(r["low"])), lambda r: r["term"]))
+
     def wanted(word: Column) -> Column:
-        low = F.lower(word)
-        holds = F.exists(F.array(*map(F.lit, longer)), lambda t: low.contains(t)) if longer else F.lit(False)
-        return keep(word, stop) & (word.rlike(f"^{LATIN_WORD}$") | low.isin(*lows) | ((F.length(word) <= 6) & holds))
-
-    words = F.filter(F.regexp_extract_all(body, F.lit(f"({LATIN_WORD}|{CJK_RUN})"), 1), wanted)
-    every = F.filter(F.concat(known, words), lambda t: keep(t, stop))
-    first = F.array_distinct(F.transform(every, lambda t: F.lower(t)))
-    return F.transform(first, lambda low: F.element_at(F.filter(every, lambda t: F.lower(t) == low), 1))
+        holds = F.exists(F.array(*map(F.lit, longer)), lambda t: F.lower(word).contains(t)) if longer else F.lit(False)
+        return keep(word, stop) & (word.rlike(f"^{LATIN_WORD}$") | F.lower(word).isin(*lows) | ((F.length(word) <= 6) & holds))
+
+    def every(body: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(body, F.lit(f"({LATIN_WORD}|{CJK_RUN})"), 1), wanted)
+        return F.filter(F.concat(known(body), words) if terms else words, lambda t: keep(t, stop))
+
+    def firsts(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["key"] != x["key"]))
+
+    # by key and place, so that the first of each key stays; then back in order of place
+    keyed = F.transform(let(prepared(F.coalesce(text, F.lit(""))), every), lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("place"), t.alias("form")))
+    placed = F.transform(let(F.array_sort(keyed), firsts), lambda x: F.struct(x["place"].alias("place"), x["form"].alias("form")))
+    return F.transform(F.array_sort(placed), lambda x: x["form"])
 
 
 def document_frequency(df: DataFrame) -> DataFrame:

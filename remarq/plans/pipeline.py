@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bind import once
 from ..functions.lexicon import LATIN_SENTIMENT, SENTIMENT, Lexicon, taxonomy
 from ..operators import aggregates, cards, clusters, comments, dedup, tokens
 from ..sources import router
@@ -36,7 +37,7 @@ def analysed(cleaned: DataFrame, domain: str, lexicon: Lexicon | None = None) ->
     """Scores, labels, tokens, noise flag and rule cluster of deduplicated comments, in one pass but for the cluster numbers."""
     tax = taxonomy(domain)
     scored = comments.labels(comments.sentiment(cleaned, lexicon or (LATIN_SENTIMENT if domain == "latin" else SENTIMENT)), tax)
-    marked = clusters.noise(scored.withColumn("tokens", tokens.tokens(F.col("cleaned_content"), tax)), tax)
+    marked = clusters.noise(once(scored, tokens=tokens.tokens(F.col("cleaned_content"), tax)), tax)
     return clusters.rule_key(marked, tax)
 
 
