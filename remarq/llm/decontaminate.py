@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import once
+
 WINDOW = 10
 #: Benchmark windows that travel as a set; 8 bytes of hash and about 100 of text each.
 SET_LIMIT = 50_000
@@ -123,9 +125,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     if not bench.lengths:
         return docs
     if bench.small:
-        names = docs.columns
-        positional = docs.withColumn("__words", words(docs[text]))
-        return positional.where(~bench.contains(F.col("__words"))).select(*(docs[c] for c in names))
+        # bound, since a filter on a plain column would be pushed below it and split the text anew for every window
+        return once(docs, __words=words(docs[text])).where(~bench.contains(F.col("__words"))).select(*docs.columns)
     marked = docs.withColumn("__row", F.monotonically_increasing_id())
     split = marked.select(F.col("__row").alias("row"), F.lit(0).alias("doc_id"), words(marked[text]).alias("w")).withColumn("n_words", F.size("w"))
     hit = _candidates(split, bench).join(bench.windows.select("gram", "length"), ["gram", "length"], "left_semi").select(F.col("row").alias("__row")).distinct()
