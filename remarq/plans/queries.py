@@ -115,7 +115,7 @@ def _label_sql(kind: str, x: str = "low") -> tuple[str, str]:
     else:
         pairs, default, sure, unsure = sorted(pairs, key=lambda p: -len(p[0])), TAX.names(kind)[0], 0.82, 0.55
     label = "CASE " + " ".join(f"WHEN contains({x}, {_quoted(t)}) THEN {_quoted(v)}" for t, v in pairs) + f" ELSE {_quoted(default)} END"
-    return label, f"CASE WHEN {hit} THEN {sure} ELSE {unsure} END"
+    return label, f"CASE WHEN {hit} THEN {sure}::DOUBLE ELSE {unsure}::DOUBLE END"
 
 
 def _hundredths_sql(x: str = "low") -> str:
@@ -323,7 +323,7 @@ def positive_labels(spark, sf_dir):
     return aggregates.label_report(scored(spark, sf_dir), "positive_attribution").select("category", "n", "ratio")
 
 
-@query(_L + " SELECT pain AS category, rank, seq, like_count FROM (SELECT *, row_number() OVER (PARTITION BY pain ORDER BY like_count DESC, seq) AS rank FROM l WHERE NOT is_duplicate AND pain IS NOT NULL) WHERE rank <= 3")
+@query(_L + " SELECT pain AS category, CAST(rank AS INTEGER) AS rank, seq, like_count FROM (SELECT *, row_number() OVER (PARTITION BY pain ORDER BY like_count DESC, seq) AS rank FROM l WHERE NOT is_duplicate AND pain IS NOT NULL) WHERE rank <= 3")
 def label_examples(spark, sf_dir):
     return aggregates.label_examples(scored(spark, sf_dir), "painpoint").select("category", "rank", "seq", "like_count")
 
@@ -398,18 +398,18 @@ def cluster_mode_label(spark, sf_dir):
     return clusters.mode_label(own, TAX).select(F.col("cluster_id").cast("long").alias("cluster_id"), "base_name")
 
 
-@query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, rank, key, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first_seq, key) AS rank FROM (SELECT cluster_id, key, count(*) AS n, min(seq) AS first_seq FROM (SELECT cluster_id, seq, unnest(keys) AS key FROM g WHERE NOT is_duplicate) GROUP BY cluster_id, key)) WHERE rank <= 6")
+@query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(rank AS INTEGER) AS rank, key, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first_seq, key) AS rank FROM (SELECT cluster_id, key, count(*) AS n, min(seq) AS first_seq FROM (SELECT cluster_id, seq, unnest(keys) AS key FROM g WHERE NOT is_duplicate) GROUP BY cluster_id, key)) WHERE rank <= 6")
 def cluster_keywords(spark, sf_dir):
     own = clustered(spark, sf_dir).where(~F.col("is_duplicate")).withColumn("tokens", F.array_distinct(F.transform("tokens", lambda t: F.lower(t))))
     return clusters.keywords(own).select(F.col("cluster_id").cast("long").alias("cluster_id"), "rank", F.col("word").alias("key"), "n")
 
 
-@query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, rank, seq FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(like_count * 0.08 + abs(score) + least(1.0, length(cleaned_content) / 80.0::DOUBLE), 6) DESC, seq) AS rank FROM g WHERE NOT is_duplicate) WHERE rank <= 3")
+@query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(rank AS INTEGER) AS rank, seq FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(like_count * 0.08 + abs(score) + least(1.0, length(cleaned_content) / 80.0::DOUBLE), 6) DESC, seq) AS rank FROM g WHERE NOT is_duplicate) WHERE rank <= 3")
 def representative_sample(spark, sf_dir):
     return clusters.representatives(clustered(spark, sf_dir)).select(F.col("cluster_id").cast("long").alias("cluster_id"), "rank", "seq")
 
 
-@query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, rank, seq FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY like_count DESC, abs(score) DESC, length(cleaned_content) DESC, seq) AS rank FROM g WHERE NOT is_duplicate) WHERE rank <= 3")
+@query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(rank AS INTEGER) AS rank, seq FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY like_count DESC, abs(score) DESC, length(cleaned_content) DESC, seq) AS rank FROM g WHERE NOT is_duplicate) WHERE rank <= 3")
 def cluster_examples(spark, sf_dir):
     own = clustered(spark, sf_dir).where(~F.col("is_duplicate"))
     return clusters.examples(own).select(F.col("cluster_id").cast("long").alias("cluster_id"), "rank", "seq")
@@ -441,7 +441,7 @@ d AS (SELECT kind, category, n, f, string_agg(id, ',' ORDER BY i) AS ids FROM b
 p AS (SELECT *, row_number() OVER (ORDER BY n DESC, kind, f, category) AS place FROM d),
 u AS (SELECT *, row_number() OVER (PARTITION BY ids ORDER BY place) AS copy FROM p),
 v AS (SELECT *, row_number() OVER (ORDER BY place) AS card_rank, (SELECT count(*) FROM l WHERE NOT is_duplicate) AS sample_size FROM u WHERE copy = 1)
-SELECT card_rank, category, ids, n AS evidence_count, sample_size, round(n / sample_size::DOUBLE, 4) AS affected_ratio,
+SELECT CAST(card_rank AS INTEGER) AS card_rank, category, ids, n AS evidence_count, sample_size, round(n / sample_size::DOUBLE, 4) AS affected_ratio,
   CASE WHEN sample_size < 100 THEN 'low' WHEN n >= 12 AND n / sample_size::DOUBLE >= 0.12 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM v WHERE card_rank <= 4"""
 )
 def evidence_cards(spark, sf_dir):
@@ -468,7 +468,7 @@ def thread_context(spark, sf_dir):
     return aggregates.threads(turns(spark, sf_dir))
 
 
-@query(_TURNS + " SELECT thread_id, rank, seq, content FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS rank FROM c) WHERE rank <= 3")
+@query(_TURNS + " SELECT thread_id, CAST(rank AS INTEGER) AS rank, seq, content FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS rank FROM c) WHERE rank <= 3")
 def thread_contents(spark, sf_dir):
     return aggregates.thread_contents(turns(spark, sf_dir))
 
