@@ -37,14 +37,22 @@ SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 #: Names in class, id or role of what stands around the prose.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|recommended|"
-    r"share|sharing|social|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|subscription|signup|login|comments?|comment-?list|respond|replies|disqus|pagination|pager|toolbar|copyright|legal|complementary|contentinfo|search)(?=$|[\s_-])",
+    r"topbar|bottombar|rail|teasers?|outbrain|taboola|share|sharing|social|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|subscription|signup|login|comments?|comment-?list|respond|replies|disqus|pagination|pager|toolbar|copyright|legal|complementary|contentinfo|search)(?=$|[\s_\d-])",
     re.I,
 )
+#: Names of the prose's own heading, which is part of it.
+OWN = re.compile(r"\b(?:article|post|entry|story|content|main)[-_]+(?:header|heading|head|title)\b", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements that are never taken for what stands around the prose, whatever their class.
 WHOLE = frozenset(("html", "body", "main", "article"))
 CONTAINERS = frozenset("html body main article section div td center".split())
 
 
+def marked(name: str) -> bool:
+    """Whether a class, id or role says that an element stands around the prose; words may be joined by signs or by capitals."""
+    return bool(name) and bool(MARKS.search(OWN.sub("", HUMP.sub("-", name))))
+
+
 @dataclass
 class Line:
     text: str
@@ -113,10 +121,10 @@ class _Lines(HTMLParser):
         values = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
         around = tag in AROUND
         if values and tag not in WHOLE:
-            around = around or any(MARKS.search(values.get(k, "")) for k in ("class", "id", "role"))
+            around = around or any(marked(values.get(k, "")) for k in ("class", "id", "role"))
             around = around or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
         if tag in ("header",) and any(o.tag == "article" for o in self.open):
-            around = bool(values) and around and any(MARKS.search(values.get(k, "")) for k in ("class", "id", "role"))
+            around = bool(values) and around and any(marked(values.get(k, "")) for k in ("class", "id", "role"))
         self.open.append(_Open(tag, self.n, around, tag in SILENT))
         if tag in ("article", "main"):
             self.articles.add(self.n)
@@ -162,9 +170,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / np.convolve(np.ones(len(ratios)), kernel)[reach:-reach]
 
 
-def threshold(values: np.ndarray) -> float:
-    """Between the means of low and high values, settled by a few rounds of two-means on logarithms."""
-    logs = np.log1p(values)
+def threshold(logs: np.ndarray) -> float:
+    """Between the means of low and high values, settled by a few rounds of two-means."""
     cut = logs.mean()
     for _ in range(20):
         low, high = logs[logs <= cut], logs[logs > cut]
@@ -174,7 +181,7 @@ def threshold(values: np.ndarray) -> float:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return float(np.expm1(cut))
+    return float(cut)
 
 
 def main_text(html: str | None) -> str:
@@ -184,7 +191,8 @@ def main_text(html: str | None) -> str:
         return ""
     sizes = np.array([len(x.text) for x in found], float)
     ratios = smoothed(sizes / np.array([x.tags for x in found], float))
-    content = ratios >= threshold(ratios)
+    logs = np.log1p(ratios)
+    content = logs >= threshold(logs) - 1e-9
     weight = np.where(content, sizes, 0.0)
     mass: dict[int, float] = {}
     for x, w in zip(found, weight.tolist(), strict=True):

@@ -155,6 +155,12 @@ def test_main_text(body):
     assert main_text.main_text(PAGE % body) == "A title First & long paragraph of the text, with words. Short. Another long paragraph that ends it."
 
 
+def test_names_of_what_stands_around():
+    around = ["ad", "ad-box", "top_ads", "siteHeader", "pageFooter", "cookie-banner", "reader-comments", "sidebar1", "main-nav", "ad123", "notice"]
+    assert all(map(main_text.marked, around))
+    assert not any(map(main_text.marked, ["", "article-header", "post_title", "adjacent", "content", "badge", "shadow", "headline", "commentary"]))
+
+
 def test_main_text_of_odd_pages(spark):
     assert main_text.main_text("just text &lt;b&gt;") == "just text <b>"
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 500), (4, "u", "<nav>menu</nav>"), (4, "u", "<p>One\n  line</p>")]
