@@ -97,32 +97,27 @@ class Index:
         self.first = {w for tokens in self.tokens for w in tokens[: max(1, len(tokens) - SHINGLE + 1)]}
         self.short = [t for t, tokens in enumerate(self.tokens) if 0 < len(tokens) < SHINGLE]
 
-    def candidates(self, tokens: list[str]) -> dict[int, list[int]]:
-        """For each template the diagonals on which fingerprints agree. A template that is too short to be sure of a
-        winnowed fingerprint is looked up by all shingles of the document."""
-        found: dict[int, list[int]] = defaultdict(list)
+    def candidates(self, tokens: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """For each template the pairs (document place, template place) at which fingerprints agree. A template that is too
+        short to be sure of a winnowed fingerprint is looked up by all shingles of the document."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         # only shingles that begin like one of a template can be in the index; most documents have none and need no hashes
         begins = [i for i, w in enumerate(tokens) if w in self.first]
         known = [i for i in begins if shingles(tokens[i : i + SHINGLE])[0] in self.places]
-        if not known:
-            return self._short(tokens, found)
-        hashes = shingles(tokens)
-        known = [i for i in known if i < len(hashes)]
-        chosen = set(winnow(hashes))
-        for i in known:
-            for t, j in self.places[hashes[i]]:
-                if i in chosen or len(self.tokens[t]) < SHINGLE + WINNOW:
-                    found[t].append(i - j)
-        return self._short(tokens, found)
-
-    def _short(self, tokens: list[str], found: dict[int, list[int]]) -> dict[int, list[int]]:
+        if known:
+            hashes = shingles(tokens)
+            chosen = set(winnow(hashes))
+            for i in known:
+                for t, j in self.places[hashes[i]] if i < len(hashes) else ():
+                    if i in chosen or len(self.tokens[t]) < SHINGLE + WINNOW:
+                        found[t].append((i, j))
         for t in self.short:
             own = self.tokens[t]
-            found[t] += [i for i in range(len(tokens) - len(own) + 1) if tokens[i : i + len(own)] == own]
+            found[t] += [(i, 0) for i in range(len(tokens) - len(own) + 1) if tokens[i : i + len(own)] == own]
         return found
 
 
-def align(doc: list[str], template: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(doc: list[str | None], template: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """Best local alignment within the band: first and last document word (exclusive), and equal words.
 
     Cell (i, d) pairs template word i with document word i + diagonal + d - band.
@@ -158,23 +153,19 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[Mat
     tokens = [w.lower() for w in WORD.findall(text or "")]
     found: list[re.Match[str]] = []
     out: list[Match] = []
-    for t, diagonals in index.candidates(tokens).items():
+    for t, hits in index.candidates(tokens).items():
         template = index.tokens[t]
-        done: list[tuple[int, int]] = []
-        ordered = sorted(set(diagonals))
-        groups: list[list[int]] = []
-        for d in ordered:  # hits within half a band of each other share an alignment
-            if groups and d - groups[-1][0] <= BAND:
-                groups[-1].append(d)
-            else:
-                groups.append([d])
-        for group in groups:
-            begin, end, n = align(tokens, template, group[len(group) // 2])
-            share = n / len(template)
-            if share >= coverage and end > begin and not any(begin < e and b < end for b, e in done):
-                done.append((begin, end))
+        free: list[str | None] = list(tokens)  # words that a match has taken are none's any more
+        failed: set[int] = set()
+        for i, j in sorted(hits):
+            while free[i] is not None and i - j not in failed:
+                begin, end, n = align(free, template, i - j)
+                if end <= begin or n / len(template) < coverage:
+                    failed.add(i - j)
+                    break
                 found = found or words(text)
-                out.append(Match(index.names[t], found[begin].start(), found[end - 1].end(), share))
+                free[begin:end] = [None] * (end - begin)
+                out.append(Match(index.names[t], found[begin].start(), found[end - 1].end(), n / len(template)))
     return sorted(out, key=lambda m: (m.begin, m.end, m.template))
 
 
