@@ -127,10 +127,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     if bench.small:
         # bound, since a filter on a plain column would be pushed below it and split the text anew for every window
         return once(docs, __words=words(docs[text])).where(~bench.contains(F.col("__words"))).select(*docs.columns)
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    split = marked.select(F.col("__row").alias("row"), F.lit(0).alias("doc_id"), words(marked[text]).alias("w")).withColumn("n_words", F.size("w"))
-    hit = _candidates(split, bench).join(bench.windows.select("gram", "length"), ["gram", "length"], "left_semi").select(F.col("row").alias("__row")).distinct()
-    return marked.join(hit, "__row", "left_anti").select(*docs.columns)
+    # whether a document has a hit depends on its text alone, so texts meet again by their digest
+    marked = docs.withColumn("__key", F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256))
+    split = marked.select(F.col("__key").alias("row"), F.lit(0).alias("doc_id"), words(marked[text]).alias("w")).withColumn("n_words", F.size("w"))
+    hit = _candidates(split, bench).join(bench.windows.select("gram", "length"), ["gram", "length"], "left_semi").select(F.col("row").alias("__key")).distinct()
+    return marked.join(hit, "__key", "left_anti").select(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
