@@ -6,9 +6,10 @@ rounds over all dimensions go on until the sums hold. A cell's raked tokens over
 documents' sampling probability, scaled to a token budget and never above 1. A document stays if a hash of
 its key lies below its probability, so a sample is the same on every run and every cluster.
 
-Only cells are shuffled again and again; documents are read once to count and once to sample. Sums
-per value are pre-aggregated before their shuffle, so a source with a third of all rows makes no
-large task. The cells meet the documents by broadcast while a count finds them few, else by a join.
+Only cells take part in the rounds; documents are read once to count and once to sample. While a count finds
+the cells few, a round is three window sums over them in one task, and they meet the documents by broadcast. Beyond
+that, sums per value are pre-aggregated before their shuffle and joined, so a source with a third of all
+cells makes no large task, and the cells meet the documents by a join.
 
 Defined cases: null values of a dimension are a value of their own; null and empty texts have no tokens and
 go with their cell's probability; a cell without tokens has probability 0; values that a
@@ -21,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -30,7 +31,9 @@ NONE = "(none)"
 #: Rounds at most, and the largest distance of any sum from its target at which they end.
 ROUNDS = 30
 TOLERANCE = 1e-10
-#: Cells that are sent to every task; about 100 bytes each.
+#: Rounds that make one plan while the cells are few.
+ROUNDS_AT_ONCE = 6
+#: Cells that fit one task and are sent to every task; about 100 bytes each.
 BROADCAST_CELLS = 50_000
 
 
@@ -80,19 +83,36 @@ def _shares(cells: DataFrame, dimension: str, target: float | dict[str, float])
     return raw.join(total, F.lit(True)).select("value", F.expr("coalesce(try_divide(raw, total), 0D)").alias("target"))
 
 
-def rake(cells: DataFrame, targets: Targets) -> DataFrame:
+def _by_windows(now: DataFrame, aims: dict[str, DataFrame]) -> DataFrame:
+    """Some rounds over few cells: window sums in one task, no shuffle between them."""
+    for d in DIMENSIONS:
+        now = now.join(F.broadcast(aims[d].select(F.col("value").alias(d), F.col("target").alias(f"aim_{d}"))), d)
+    now = now.coalesce(1)
+    for _ in range(ROUNDS_AT_ONCE):
+        for d in DIMENSIONS:
+            scale = F.coalesce(F.try_divide(F.col(f"aim_{d}"), F.sum("w").over(Window.partitionBy(d))), F.lit(0.0))
+            now = now.withColumn("w", F.col("w") * scale)
+    return now.select(*DIMENSIONS, "tokens", "w")
+
+
+def _by_joins(now: DataFrame, aims: dict[str, DataFrame]) -> DataFrame:
+    """One round over any number of cells: sums pre-aggregated before their shuffle, then joined."""
+    for d in DIMENSIONS:
+        sums = now.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("sum"))
+        scale = sums.join(aims[d], "value").select("value", F.expr("coalesce(try_divide(target, sum), 0D)").alias("scale"))
+        now = now.join(scale, F.col(d) == F.col("value")).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("scale")).alias("w"))
+    return now
+
+
+def rake(cells: DataFrame, targets: Targets, few: bool) -> DataFrame:
     """Cells (source, lang, topic, tokens) with their raked share ``w`` of all tokens."""
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
         return cells.withColumn("w", F.lit(0.0))
     now = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
     aims = {d: stored(_shares(now, d, getattr(targets, d)), "targets") for d in DIMENSIONS}
-    for _ in range(ROUNDS):
-        for d in DIMENSIONS:
-            sums = now.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("sum"))
-            scale = sums.join(aims[d], "value").select("value", F.expr("coalesce(try_divide(target, sum), 0D)").alias("scale"))
-            now = now.join(scale, F.col(d) == F.col("value")).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("scale")).alias("w"))
-        now = stored(now, "raked")
+    for _ in range(0, ROUNDS, ROUNDS_AT_ONCE if few else 1):
+        now = stored(_by_windows(now, aims) if few else _by_joins(now, aims), "raked")
         off = [now.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("sum")).join(aims[d], "value").select(F.abs(F.col("sum") - F.col("target")).alias("off")) for d in DIMENSIONS[:-1]]
         if reduce(DataFrame.union, off).agg(F.max("off")).first()[0] <= TOLERANCE:
             break
@@ -126,8 +146,9 @@ def mix(docs: DataFrame, targets: Targets | None = None, text: str = "text", key
     marked = docs.withColumns({"mix_source": _value(docs[source]), "mix_lang": _value(docs[lang]), "mix_topic": _value(shape_topic(docs[text]) if topic is None else topic), "mix_tokens": token_count(docs[text])})
     names = {f"mix_{d}": d for d in DIMENSIONS}
     cells = stored(marked.groupBy(*(F.col(k).alias(d) for k, d in names.items())).agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    chances = probabilities(rake(cells, targets), targets.budget).select(*(F.col(d).alias(k) for k, d in names.items()), "probability")
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+    few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    chances = probabilities(rake(cells, targets, few), targets.budget).select(*(F.col(d).alias(k) for k, d in names.items()), "probability")
+    if few:
         chances = F.broadcast(chances)
     met = marked.join(chances, list(names), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return met.withColumn("sampled", uniform(F.col(key)) < F.col("probability"))
