@@ -208,7 +208,12 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", radius:
 
     Of rows with equal keys one stays; rows without a key cannot be told apart and all stay.
     """
-    rest = near_duplicates(df, text, key, radius).where("component_id is null or doc_id != component_id").select(F.col("doc_id").alias("__key")).where("__key is not null")
+    return keep_one(df, near_duplicates(df, text, key, radius), key)
+
+
+def keep_one(df: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is the component_id that ``named`` has for it."""
+    rest = named.where("component_id is null or doc_id != component_id").select(F.col("doc_id").alias("__key")).where("__key is not null")
     kept = df.join(rest.distinct(), df[key] == F.col("__key"), "left_anti")
     twice = df.where(df[key].isNotNull()).groupBy(df[key]).count().where("count > 1")
     if twice.isEmpty():

@@ -5,7 +5,8 @@ import re
 import numpy as np
 import xxhash
 
-from remarq.llm import decontaminate, simhash
+import corpus_pipeline
+from remarq.llm import decontaminate, near_copies, simhash
 from remarq.llm.components import components
 
 
@@ -96,6 +97,54 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == sorted(set(want.values()))
 
 
+def brute_copies(rows):
+    """doc_id -> smallest doc_id linked by five-word shingles with a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for i, t in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append((i, {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))}))
+    label = {i: i for i, _ in sets}
+    for k, a in sets:
+        for j, b in sets:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(label[j], label[k]), min(label[j], label[k])
+                label = {x: new if y == old else y for x, y in label.items()}
+    return label
+
+
+def edited(rng, words, share):
+    return ["edit%d" % rng.randrange(9999) if rng.random() < share else w for w in words]
+
+
+def test_near_copies_down_to_four_fifths_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):
+        base = ["w%d" % rng.randrange(900) for _ in range(rng.choice((3, 8, 100, 300)))]
+        rows += [(100 * i + c, " ".join(edited(rng, base, rng.choice((0, 0.01, 0.02, 0.04))))) for c in range(8)]
+    large = ["v%d" % rng.randrange(900) for _ in range(80)]
+    rows += [(2000 + c, " ".join(edited(rng, large, 0.015))) for c in range(60)]
+    rows += [(5000, None), (5001, " "), (5002, "A b"), (5003, "a  B"), (5004, "a b c")]
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component_id string").repartition(5)
+    want = brute_copies(rows)
+    points = dict(brute_components([(i, brute_fingerprint(t)) for i, t in rows]))
+    assert any(points[i] == i != want[i] for i in want)  # copies that lie beyond three bits
+    for few in (10, 0):  # all pairs at once, and rounds first
+        monkeypatch.setattr(near_copies, "FEW_PAIRS", few)
+        assert dict(map(tuple, near_copies.groups(df).collect())) == want
+    assert sorted(r.doc_id for r in near_copies.one_of_each(df).collect()) == sorted(set(want.values()))
+    assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_the_pipeline_drops_copies_beyond_three_bits(spark):
+    words = ["w%d" % i for i in range(300)]
+    near = ["x" if i % 50 == 20 else w for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(near)]
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 3
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.without_copies(spark, df, "").collect()] == [0]
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = list(range(n))
