@@ -29,6 +29,8 @@ SIGMA = 1.5
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is no part of the page's prose.
 SILENT = frozenset("script style noscript template title textarea select option button svg math iframe object canvas audio video head".split())
+#: Elements that may stand in a head; any other ends it, as words do.
+IN_HEAD = frozenset("base link meta title style script noscript template head html basefont bgsound noframes".split())
 #: Elements around the prose.
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -97,8 +99,18 @@ class _Lines(HTMLParser):
             self._line()
         del self.open[i:]
 
+    def _end_head(self, always: bool = False) -> None:
+        """Close an open head that something is about to leave; what stands in an element of the head stays there."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i].tag == "head":
+                if always or i == len(self.open) - 1:
+                    self._pop(i)
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag in BLOCKS:
             self._line()
         if tag in SIBLINGS:
@@ -144,6 +156,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not any(o.silent for o in self.open):
             self.parts.append(data)
 

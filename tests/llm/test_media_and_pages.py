@@ -168,3 +168,12 @@ def test_main_text_of_odd_pages(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in main_text.extract(df).collect())
     assert got == [(1, "", 0), (2, "", 0), (3, "", 0), (4, "", 0), (4, "One line", 8)]
     assert main_text.extract(df.limit(0)).count() == 0
+
+
+LONG = "A long paragraph of the text, with words that go on and on, so that nobody takes it for a menu."
+
+
+@pytest.mark.parametrize("begin", ["<body><p>", "<p>", "", "<body><div><h1></h1><p>"])
+def test_a_head_without_its_end(begin):
+    assert main_text.main_text(f"<html><head><title>T</title><meta name=a><noscript><img src=x></noscript>{begin}{LONG}") == LONG
+    assert main_text.main_text(f"<html><head><title>T</title></head>{begin}{LONG}") == LONG
