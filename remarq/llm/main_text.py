@@ -5,7 +5,8 @@ text-to-tag ratio is its characters over its tags. A Gaussian kernel smooths the
 above a threshold (the mean of the smoothed ratios, two-means refined) form the content cluster. The region of the page that
 holds most of that cluster's text, by nesting of the page's containers, is the article; all its
 lines belong to the text, short ones too. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, known by element or by their class, id and role, never count.
+adverts, forms and reader comments, known by element or by their class, id and role, never count; a name alone
+(or a form) does not condemn an element that wraps most of the content cluster.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; broken nesting is closed as
 browsers do; repeated rows stay repeated; empty tables give empty results; other columns are ignored
@@ -44,15 +45,21 @@ MARKS = re.compile(
 )
 #: Names of the prose's own heading, which is part of it.
 OWN = re.compile(r"\b(?:article|post|entry|story|content|main)[-_]+(?:header|heading|head|title)\b", re.I)
+#: Names of a layout that speak of another part: "has-sidebar" is no sidebar.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[-_]\S+", re.I)
+#: Classes that name the prose itself.
+PROSE = re.compile(r"(?:^|\s)(?:(?:main|page|site|post|entry|article|story|blog)[-_]*)?(?:content|article|post|entry|story|main|body|text)(?=$|\s)", re.I)
+#: Marks of what is no wrapper of a page, however much of it they hold, unless its heading or article is in there.
+NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|outbrain|taboola|nav|navbar|navigation|menu|breadcrumbs?|cookies?|consent|popup|modal|newsletter|subscribe|login|signup|comments?|comment-?list|respond|replies|disqus|pagination|pager|related|recommended)(?=$|[\s_\d-])", re.I)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements that are never taken for what stands around the prose, whatever their class.
 WHOLE = frozenset(("html", "body", "main", "article"))
-CONTAINERS = frozenset("html body main article section div td center".split())
+CONTAINERS = frozenset("html body main article section div form td center".split())
 
 
 def marked(name: str) -> bool:
     """Whether a class, id or role says that an element stands around the prose; words may be joined by signs or by capitals."""
-    return bool(name) and bool(MARKS.search(OWN.sub("", HUMP.sub("-", name))))
+    return bool(name) and bool(MARKS.search(OWN.sub("", LAYOUT.sub("", HUMP.sub("-", name)))))
 
 
 @dataclass
@@ -61,6 +68,7 @@ class Line:
     tags: int
     path: tuple[int, ...]
     around: bool
+    named: tuple[int, ...] = ()  # open elements that only their name, or being a form, puts around the prose
 
 
 @dataclass
@@ -69,6 +77,7 @@ class _Open:
     id: int
     around: bool
     silent: bool
+    named: bool
 
 
 @dataclass
@@ -85,12 +94,14 @@ class _Lines(HTMLParser):
         self.n = 0
         self.articles: set[int] = set()
         self.roots: set[int] = set()
+        self.names: dict[int, str] = {}
+        self.heading: set[int] = set()
 
     def _line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             path = tuple(o.id for o in self.open if o.tag in CONTAINERS)
-            self.lines.append(Line(text, self.tags, path, any(o.around for o in self.open)))
+            self.lines.append(Line(text, self.tags, path, any(o.around for o in self.open), tuple(o.id for o in self.open if o.named)))
             self.tags = 1
         self.parts = []
 
@@ -131,13 +142,18 @@ class _Lines(HTMLParser):
             return
         self.n += 1
         values = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        around = tag in AROUND
+        around = tag in AROUND and tag != "form"
+        named = tag == "form"
         if values and tag not in WHOLE:
-            around = around or any(marked(values.get(k, "")) for k in ("class", "id", "role"))
+            named = named or any(marked(values.get(k, "")) for k in ("class", "id", "role"))
             around = around or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
         if tag in ("header",) and any(o.tag == "article" for o in self.open):
-            around = bool(values) and around and any(marked(values.get(k, "")) for k in ("class", "id", "role"))
-        self.open.append(_Open(tag, self.n, around, tag in SILENT))
+            around = False
+        if tag in ("article", "main", "h1"):
+            self.heading.update(o.id for o in self.open if o.named)
+        if named:
+            self.names[self.n] = " ".join(HUMP.sub("-", values.get(k, "")) for k in ("class", "id", "role"))
+        self.open.append(_Open(tag, self.n, around, tag in SILENT, named))
         if tag in ("article", "main"):
             self.articles.add(self.n)
         if tag in ("html", "body"):
@@ -169,12 +185,12 @@ class _Lines(HTMLParser):
         self._line()
 
 
-def lines(html: str | None) -> tuple[list[Line], set[int], set[int]]:
-    """The page's lines, the ids of its article elements, and those of its html and body elements."""
+def lines(html: str | None) -> _Lines:
+    """The page's lines, with what the parser knows of its elements."""
     parser = _Lines()
     parser.feed(html or "")
     parser.end()
-    return parser.lines, parser.articles, parser.roots
+    return parser
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -198,15 +214,40 @@ def threshold(logs: np.ndarray) -> float:
     return float(cut)
 
 
+def cluster(found: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' sizes, and which of them form the content cluster."""
+    sizes = np.array([len(x.text) for x in found], float)
+    logs = np.log1p(smoothed(sizes / np.array([x.tags for x in found], float)))
+    return sizes, logs >= threshold(logs) - 1e-9
+
+
+def wrappers(page: _Lines, found: list[Line]) -> set[int]:
+    """Elements with the name of something around the prose that hold the prose: most of the content cluster lies in them, and
+    they hold the page's heading or article, or are also named as the prose, or leave next to nothing for the rest of the page."""
+    sizes, content = cluster(found)
+    mass: dict[int, float] = {}
+    for x, w in zip(found, np.where(content, sizes, 0.0).tolist(), strict=True):
+        for c in x.named:
+            mass[c] = mass.get(c, 0.0) + w
+    total = float(sizes[content].sum())
+    out = set()
+    for c, m in mass.items():
+        name = page.names[c]
+        if m > 0.5 * total and (c in page.heading or PROSE.search(name) or m >= 0.8 * total and not NEVER.search(name)):
+            out.add(c)
+    return out
+
+
 def main_text(html: str | None) -> str:
-    found, articles, roots = lines(html)
-    found = [x for x in found if not x.around]
+    page = lines(html)
+    articles, roots = page.articles, page.roots
+    found = [x for x in page.lines if not x.around]
+    if any(x.named for x in found):
+        whole = wrappers(page, found)
+        found = [x for x in found if whole.issuperset(x.named)]
     if not found:
         return ""
-    sizes = np.array([len(x.text) for x in found], float)
-    ratios = smoothed(sizes / np.array([x.tags for x in found], float))
-    logs = np.log1p(ratios)
-    content = logs >= threshold(logs) - 1e-9
+    sizes, content = cluster(found)
     weight = np.where(content, sizes, 0.0)
     mass: dict[int, float] = {}
     for x, w in zip(found, weight.tolist(), strict=True):

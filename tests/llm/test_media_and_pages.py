@@ -177,3 +177,17 @@ LONG = "A long paragraph of the text, with words that go on and on, so that nobo
 def test_a_head_without_its_end(begin):
     assert main_text.main_text(f"<html><head><title>T</title><meta name=a><noscript><img src=x></noscript>{begin}{LONG}") == LONG
     assert main_text.main_text(f"<html><head><title>T</title></head>{begin}{LONG}") == LONG
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class=no-sidebar", "div class=with-footer", "div class=search-results", "div class=topic-legal", "div class='post social'", "form", "div id=sidebar-layout"])
+def test_a_marked_wrapper_holds_the_article(wrapper):
+    tag = wrapper.split()[0]
+    page = f"<body><nav>Home</nav><{wrapper}><p>{LONG}</p><p>Short.</p><div class=sidebar>Other</div><p>{LONG}</p></{tag}><footer>End</footer>"
+    assert main_text.main_text(page) == f"{LONG} Short. {LONG}"
+
+
+@pytest.mark.parametrize("name", ["comments", "cookie-banner", "related", "post-comments", "newsletter"])
+def test_long_parts_around_the_article_stay_out(name):
+    part = f"<div class={name}>" + f"<p>{LONG}</p>" * 3 + "</div>"
+    assert main_text.main_text(f"<body><article><h1>Head</h1><p>{LONG}</p></article>{part}") == f"Head {LONG}"
+    assert main_text.main_text(f"<body>{part}") == ""
