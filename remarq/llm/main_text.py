@@ -4,7 +4,7 @@ The standard library's streaming parser turns a page into lines: the text betwee
 text-to-tag ratio is its characters over its tags. A Gaussian kernel smooths the ratios along the page, and lines
 above a threshold (the mean of the smoothed ratios, two-means refined) form the content cluster. The region of the page that
 holds most of that cluster's text, by nesting of the page's containers, is the article; all its
-lines belong to the text, short ones too. Lines inside menus, headers, footers, sidebars, notices,
+lines belong to the text, short ones too, and so do lines of the cluster's kind that stand beside it. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments, known by element or by their class, id and role, never count; a name alone
 (or a form) does not condemn an element that wraps most of the content cluster.
 
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 
 #: Width of the Gaussian kernel, in lines.
 SIGMA = 1.5
+#: Shares of the content cluster's median line from which a line beyond the region counts: of the cluster, and not of it.
+LONG, NEARLY = 0.25, 0.5
 #: Elements that begin and end a line.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is no part of the page's prose.
@@ -238,6 +240,29 @@ def wrappers(page: _Lines, found: list[Line]) -> set[int]:
     return out
 
 
+def outside(found: list[Line], region: int, sizes: np.ndarray, content: np.ndarray) -> set[int]:
+    """Lines beyond the region that belong to the text: those of the content cluster, those nearly as long and free of tags as its median line, and
+    where these make up most of what stands beside the region in a container, its other lines too. Short lines that only border on long ones are no part."""
+    main = next(x.path[: x.path.index(region) + 1] for x in found if region in x.path)
+    ratios = sizes / np.array([x.tags for x in found], float)
+    size, ratio = np.median(sizes[content]), np.median(ratios[content])
+    good = (content & (sizes >= LONG * size)) | ((sizes >= NEARLY * size) & (ratios >= NEARLY * ratio))
+    beside: dict[int, list[int]] = {}
+    out = set()
+    for i, x in enumerate(found):
+        if region in x.path:
+            continue
+        if good[i]:
+            out.add(i)
+        branch = next((c for c in x.path if c not in main), None)
+        if branch is not None:
+            beside.setdefault(branch, []).append(i)
+    for own in beside.values():
+        if sizes[[i for i in own if good[i]]].sum() >= 0.5 * sizes[own].sum():
+            out.update(own)
+    return out
+
+
 def main_text(html: str | None) -> str:
     page = lines(html)
     articles, roots = page.articles, page.roots
@@ -266,6 +291,8 @@ def main_text(html: str | None) -> str:
         # where only the page as a whole holds the content, what precedes and follows the content lines is not part of it
         marked = [i for i in inside if content[i]]
         inside = [i for i in inside if marked and marked[0] <= i <= marked[-1]]
+    else:
+        inside = sorted({*inside, *outside(found, region, sizes, content)})
     return " ".join(found[i].text for i in inside)
 
 

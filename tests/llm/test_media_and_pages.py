@@ -191,3 +191,19 @@ def test_long_parts_around_the_article_stay_out(name):
     part = f"<div class={name}>" + f"<p>{LONG}</p>" * 3 + "</div>"
     assert main_text.main_text(f"<body><article><h1>Head</h1><p>{LONG}</p></article>{part}") == f"Head {LONG}"
     assert main_text.main_text(f"<body>{part}") == ""
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<main><article>{a}</article><section>{b}</section></main>",
+        "<div class=entry><div>{a}</div><div>{b}</div></div>",
+        "<div class=entry><div>{b}</div><div>{a}</div></div>",
+        "<article>{a}</article><nav>Menu</nav><article>{b}</article>",
+    ],
+)
+def test_an_article_in_sibling_containers(body):
+    a = [f"First {i} {LONG}" for i in range(6)]
+    b = [f"Second {LONG}", "Short.", f"Third {LONG}"]
+    page = "<body><div><a>Home</a> <a>News</a> <a>About</a></div>" + body.format(a="".join(f"<p>{x}</p>" for x in a), b="".join(f"<p>{x}</p>" for x in b)) + "<div><a>Terms</a> <a>Contact</a></div>"
+    assert main_text.main_text(page) == " ".join(a + b if body.index("{a}") < body.index("{b}") else b + a)
