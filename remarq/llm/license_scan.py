@@ -8,7 +8,7 @@ banded alignment of words, local in both texts, finds the matched span and how m
 Templates are a parameter with a documented bound (``MOST_TEMPLATE_WORDS``); their index travels to every task. Documents are scanned whole, in
 one pass, each on its own: nothing is shuffled, so no source or common passage makes a large task.
 
-Defined cases: null, empty and wordless texts match nothing; equal templates are both reported; a template shorter than a
+Defined cases: null, empty and wordless texts match nothing; equal templates are both reported, else the best of those that meet on a span; a template shorter than a
 shingle is one shingle of all its words; several places of one template in a document are reported apart;
 repeated rows are reported alike; empty tables or no templates give no matches; other columns are ignored whatever their names.
 """
@@ -35,7 +35,11 @@ MATCH, MISMATCH, GAP = 2, -2, -1
 MOST_TEMPLATE_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
-#: Short notices of common licenses, in their public wording.
+#: Templates below this many words must have each of their telling words, those not in COMMON, inside the match.
+SHORT = 18
+COMMON = frozenset("a an and any for in is it of on or released distributed available published licensed license licence licenses international the this to under version v work software code program terms subject source form with see public conditions you may use".split())
+
+#: Notices, headers and grants of common licenses, in their public wording; the licenses' whole bodies are not among them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
@@ -46,6 +50,37 @@ TEMPLATES = {
     "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0",
+    "CC-BY-SA-3.0-short": "Licensed under CC BY-SA 3.0",
+    "CC-BY-ND-4.0-short": "Licensed under CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0-short": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0-short": "Licensed under CC BY-NC-ND 4.0",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "CC0-1.0-short": "Released under CC0 1.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "GPL-2.0": "Licensed under the GNU General Public License, version 2",
+    "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
+    "BSD": "Released under the BSD License",
+    "BSD-3-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "ISC": "Released under the ISC License",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "Zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
 
 
@@ -90,6 +125,7 @@ class Index:
         self.tokens = [[m[0].lower() for m in words(templates[n])] for n in self.names]
         if sum(map(len, self.tokens)) > MOST_TEMPLATE_WORDS:
             raise ValueError(f"templates have more than {MOST_TEMPLATE_WORDS} words")
+        self.telling = [set(tokens) - COMMON if len(tokens) < SHORT else set() for tokens in self.tokens]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, tokens in enumerate(self.tokens):
             for i, h in enumerate(shingles(tokens)):
@@ -148,11 +184,21 @@ def align(doc: list[str | None], template: list[str], diagonal: int, band: int =
     return best[1], best[2], best[3]
 
 
+def best(found: list[tuple[int, int, int, Match]]) -> list[Match]:
+    """Of matches (first word, last word exclusive, equal words, match) that share half of the shorter one, those with most equal words, then most of their template; equals stay."""
+    kept: list[tuple[int, int, int, Match]] = []
+    for own in sorted(found, key=lambda x: (-x[2], -x[3].coverage)):
+        better = (k for k in kept if (k[2], k[3].coverage) != (own[2], own[3].coverage))
+        if not any(2 * (min(own[1], k[1]) - max(own[0], k[0])) >= min(own[1] - own[0], k[1] - k[0]) for k in better):
+            kept.append(own)
+    return [k[3] for k in kept]
+
+
 def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[Match]:
     """All matches of a text, by place."""
     tokens = [w.lower() for w in WORD.findall(text or "")]
     found: list[re.Match[str]] = []
-    out: list[Match] = []
+    out: list[tuple[int, int, int, Match]] = []
     for t, hits in index.candidates(tokens).items():
         template = index.tokens[t]
         free: list[str | None] = list(tokens)  # words that a match has taken are none's any more
@@ -160,13 +206,13 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[Mat
         for i, j in sorted(hits):
             while free[i] is not None and i - j not in failed:
                 begin, end, n = align(free, template, i - j)
-                if end <= begin or n / len(template) < coverage:
+                if end <= begin or n / len(template) < coverage or not index.telling[t].issubset(free[begin:end]):
                     failed.add(i - j)
                     break
                 found = found or words(text)
                 free[begin:end] = [None] * (end - begin)
-                out.append(Match(index.names[t], found[begin].start(), found[end - 1].end(), n / len(template)))
-    return sorted(out, key=lambda m: (m.begin, m.end, m.template))
+                out.append((begin, end, n, Match(index.names[t], found[begin].start(), found[end - 1].end(), n / len(template))))
+    return sorted(best(out), key=lambda m: (m.begin, m.end, m.template))
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", key: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:

@@ -76,6 +76,20 @@ def test_license_scan_finds_what_brute_force_does():
         assert any(m.template == name and m.coverage == 1.0 for m in license_scan.scan(text, index))
 
 
+def test_licenses_by_their_own_names():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for text, name in [
+        ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0-short"),
+        ("Released under the BSD License", "BSD"),
+        ("Licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        *((t, n) for n, t in license_scan.TEMPLATES.items()),
+    ]:
+        assert [m.template for m in license_scan.scan(f"Some words. {text} and more", index)] == [name], name
+    assert license_scan.scan("Released under the Foo License", index) == []
+    assert license_scan.scan("Licensed under CC BY-XX 4.0", index) == []
+
+
 def brute_rake(cells, aims, dimensions, rounds=200):
     total = sum(t for *_, t in cells)
     w = [t / total for *_, t in cells]
