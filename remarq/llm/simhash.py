@@ -6,18 +6,22 @@ v is orthogonal to all of them: its mask drops exactly such positions, and the t
 collide in its table. That holds for every pair within the radius, without exception.
 
 Only distinct fingerprints enter the tables. A bucket with more than ``BUCKET`` of them goes to another level: 15 masks
-from other vectors split it further, under the same guarantee, on the positions still open; three
-levels leave few open positions, which bounds what a bucket can hold. A bucket gives a spanning
+from other vectors split it further, under the same guarantee, on the positions still open. Three
+levels leave 18 open positions at most (for a radius of three): a bucket that is still large looks up each fingerprint with up to three of
+these flipped, which takes time in proportion to its size. A bucket gives a spanning
 forest of its links, never all pairs, and components join the forests.
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; a null doc_id keeps
 its row and never names a component unless the whole component has none; repeated rows stay
-repeated; empty tables give empty results; other columns are ignored whatever their names.
+repeated; a very long text is hashed whole, its shingles' bits summed in blocks; empty tables give empty results; other columns are
+ignored whatever their names. Of a component ``one_of_each`` keeps the row with the smallest doc_id (one with a doc_id before one
+without), among equal ones that with the smallest hash of its text, and of rows equal in both any one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import column, columns, free
 from .components import components
 from .storage import stored
 
@@ -58,14 +63,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit integer; one pass, no shuffle."""
+    """doc_id, the text's own hash and the fingerprint, both as signed 64-bit integers; one pass, no shuffle."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in part.column(1)), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in part.column(2)), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    return df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return with_digest(df, text, key).mapInArrow(run, "doc_id long, digest long, fp long")
+
+
+def with_digest(df: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, a 64-bit hash of the text, and the text: doc_id and hash tell rows apart that are not equal in both."""
+    return df.select(column(key).cast("long").alias("doc_id"), F.xxhash64(column(text)).alias("digest"), column(text).alias("text"))
 
 
 def masks(level: int, radius: int = RADIUS) -> list[int]:
@@ -80,19 +90,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _keys(level: int, fp: Column, fixed: Column) -> Column:
+def _keys(level: int, radius: int, fp: Column, fixed: Column) -> Column:
     """One struct per mask: the positions fixed so far with the mask's, and the fingerprint's bits there."""
     each = []
-    for m in masks(level):
+    for m in masks(level, radius):
         now = fixed.bitwiseOR(F.lit(_signed(m)))
         each.append(F.struct(now.alias("fixed"), fp.bitwiseAND(now).alias("bits")))
     return F.explode(F.array(*each))
 
 
+def _by_flips(fp: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links inside one large sorted bucket: each fingerprint with up to ``radius`` of the bucket's differing bits flipped is looked up."""
+    spread = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    bits = [1 << i for i in range(BITS) if spread >> i & 1]
+    left, right = [], []
+    for r in range(1, radius + 1):
+        for some in combinations(bits, r):
+            other = fp ^ np.uint64(sum(some))
+            at = np.minimum(np.searchsorted(fp, other), len(fp) - 1)
+            own = np.flatnonzero((fp[at] == other) & (at > np.arange(len(fp))))
+            left.append(own)
+            right.append(at[own])
+    return left, right
+
+
 def _forest(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what lies within the radius inside each run; rows of a run are adjacent."""
+    """Links that join what lies within the radius inside each run; rows of a run are adjacent, and sorted as signed numbers."""
     label = np.arange(len(fp))
     left, right = [], []
+    edges = np.flatnonzero(np.diff(run)) + 1
+    for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)], strict=True):
+        if end - begin > BUCKET:
+            order = np.argsort(fp[begin:end], kind="stable") + begin
+            a, b = _by_flips(fp[order], radius)
+            left += [order[i] for i in a]
+            right += [order[j] for j in b]
+            run = np.where((np.arange(len(run)) >= begin) & (np.arange(len(run)) < end), -1 - np.arange(len(run)), run)  # done: nothing is left to compare
     for step in range(1, len(fp)):
         same = np.flatnonzero(run[step:] == run[:-step])
         if not len(same):
@@ -179,7 +212,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, level
     rows = distinct.select("fp", F.lit(0).cast("long").alias("fixed"))
     found = None
     for level in range(levels):
-        keyed = rows.select("fp", _keys(level, F.col("fp"), F.col("fixed")).alias("k")).select("k.fixed", "k.bits", "fp")
+        keyed = rows.select("fp", _keys(level, radius, F.col("fp"), F.col("fixed")).alias("k")).select("k.fixed", "k.bits", "fp")
         dealt = keyed.repartition("fixed", "bits").sortWithinPartitions("fixed", "bits", "fp")
         here = stored(_link(dealt, radius, bucket if level < levels - 1 else None), "simhash-links")
         own = here.where("b is not null").select("a", "b")
@@ -191,31 +224,40 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, level
     return found
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id it is linked to, itself included)."""
+def _named(df: DataFrame, text: str, key: str, radius: int) -> DataFrame:
+    """Per document: doc_id, digest, fp, label (of its component) and component_id."""
     marked = stored(fingerprints(df, text, key), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     labels = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     grouped = distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     of_label = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = grouped.join(of_label, "label").select("fp", "component_id")
+    return marked.join(grouped.join(of_label, "label").select("fp", "label", "component_id"), "fp")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id it is linked to, itself included)."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _named(df, text, key, radius).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` with one document of every component, that with the smallest key.
+    """The rows of ``df`` with one document of every component; which one, the module says."""
+    return keep_one(df, _named(df, text, key, radius), text, key)
 
-    Of rows with equal keys one stays; rows without a key cannot be told apart and all stay.
-    """
-    return keep_one(df, near_duplicates(df, text, key, radius), key)
 
+def keep_one(df: DataFrame, named: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``df`` that come first in their group; ``named`` has doc_id, digest and label of all rows.
 
-def keep_one(df: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose key is the component_id that ``named`` has for it."""
-    rest = named.where("component_id is null or doc_id != component_id").select(F.col("doc_id").alias("__key")).where("__key is not null")
-    kept = df.join(rest.distinct(), df[key] == F.col("__key"), "left_anti")
-    twice = df.where(df[key].isNotNull()).groupBy(df[key]).count().where("count > 1")
-    if twice.isEmpty():
-        return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).union(kept.where(F.col(key).isNull()))
+    A group's first row comes from an aggregation that combines before its shuffle. Only the keys of rows that go meet the texts again.
+    """
+    rows = stored(named.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n")), "rows-of-groups")
+    first = rows.groupBy("label").agg(F.min_by(F.struct("doc_id", "digest"), F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("f"))
+    met = rows.join(first, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("digest") == F.col("f.digest")))
+    k, h, k2, h2 = free(df, "row_key", "row_digest", "own_key", "own_digest")
+    marked = df.withColumns({k: column(key).cast("long"), h: F.xxhash64(column(text))})
+    rest = met.where("not stays").select(F.col("doc_id").alias(k2), F.col("digest").alias(h2))
+    # the digest comes first and is never null, so rows without a key are dealt out by their texts
+    kept = marked.join(rest, (F.col(h) == F.col(h2)) & F.col(k).eqNullSafe(F.col(k2)), "left_anti")
+    if not met.where("stays and n > 1").isEmpty():
+        kept = kept.dropDuplicates([k, h])
+    return kept.select(*columns(df))
