@@ -7,12 +7,13 @@ finds where the stored members' bytes begin, and then reads any record with one
 
 Writing: equal payloads (by SHA-1 and length) have one response record, that with the largest key; the others are
 revisit records that name it. Who revisits whom is found on digests alone, aggregated before they are
-shuffled; the page bodies are shuffled once, by page, so a payload that many pages share makes no large task.
+shuffled; the page bodies are shuffled once, by page and digest, so a payload that many pages share makes no large task.
 
 Defined cases: a null body is an empty payload, and like any other may have revisits; a null key writes a record
 whose id is empty and which is never the one that others revisit (unless no record with that payload has a key, then all are responses);
-repeated rows (equal keys) are repeated records, all of which follow the same rule: of equal keys with
-the largest key of a payload all are responses; a null or blank url becomes ``about:blank``; empty tables give
+repeated keys are repeated records, each of which follows the rule for its own payload: of equal keys with
+the largest key of a payload all are responses; a null or blank url becomes ``about:blank``; a very long body is one record, held whole by
+the task that writes it and by the one that reads it; empty tables give
 no archives and no rows; other columns are ignored whatever their names.
 """
 
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import column
 from .storage import fresh_folder, new_file, open_fs, stored
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.csv"
@@ -188,11 +190,10 @@ def _key(identifier: str) -> int | None:
 
 
 def _revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """key and refers_to of the pages that revisit another, from digests alone."""
-    body = F.coalesce(F.col("body"), F.lit(""))
-    marked = pages.where("key is not null").select("key", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= least_bytes)
+    """key, digest, n (bytes) and refers_to of the pages that revisit another, from digests alone."""
+    marked = pages.where("key is not null").select("key", "digest", "n").where(F.col("n") >= least_bytes)
     groups = marked.groupBy("digest", "n").agg(F.max("key").alias("refers_to"), F.min("key").alias("least")).where("least != refers_to").drop("least")
-    return marked.join(groups, ["digest", "n"]).where("key != refers_to").select("key", "refers_to").distinct()
+    return marked.join(groups, ["digest", "n"]).where("key != refers_to").select("key", "digest", "n", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -202,8 +203,10 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", bod
     """
     spark = pages.sparkSession
     folder = fresh_folder(spark, "warc")
-    chosen = pages.select(pages[key].cast("long").alias("key"), pages[url].alias("url"), pages[body].alias("body"))
-    dealt = chosen.join(_revisits(chosen, least_bytes), "key", "left")  # the join's partitions make the archives
+    chosen = pages.select(column(key).cast("long").alias("key"), column(url).alias("url"), F.coalesce(column(body), F.lit("")).alias("body"))
+    chosen = chosen.withColumns({"digest": F.sha1(F.col("body").cast("binary")), "n": F.octet_length("body")})
+    # the join's partitions make the archives; digest and length tell bodies of one key apart, and deal out pages without a key
+    dealt = chosen.join(_revisits(chosen, least_bytes), ["key", "digest", "n"], "left").select("key", "url", "body", "refers_to")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for part in parts for r in zip(*(part.column(c) for c in ("key", "url", "body", "refers_to")), strict=True))
