@@ -11,26 +11,42 @@ the cells few, a round is three window sums over them in one task, and they meet
 that, sums per value are pre-aggregated before their shuffle and joined, so a source with a third of all
 cells makes no large task, and the cells meet the documents by a join.
 
+Tokens and topic are Columns that a caller may give. By default a token is what stands between white space, and a topic is a hashed-term
+cluster: every word of five letters and more votes, by its hash, for one side of each of three planes, so texts that share most
+of their longer words get the same of eight clusters.
+
+Targets that no weights can meet (a value whose cells have no tokens, sums that contradict each other) end the raking after ``ROUNDS``; the
+distance that is left is given back, and a warning names it when it exceeds ``MOST_OFF``, or an error if the targets are strict.
+
 Defined cases: null values of a dimension are a value of their own; null and empty texts have no tokens and
 go with their cell's probability; a cell without tokens has probability 0; values that a
 target does not name keep their natural share, and all shares are scaled to sum to one; null keys
-are hashed like an empty one; repeated rows share their fate; empty tables give empty results; other columns stay as they are.
+are hashed like an empty one; repeated rows, and different keys with equal hashes, share their fate; a very long text is one row of
+words in the task that reads it; empty tables give empty results; other columns stay as they are, whatever their names
+(``mix`` alone puts its own in the place of columns with the same names).
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import column, columns, free
 from .storage import stored
 
 NONE = "(none)"
 #: Rounds at most, and the largest distance of any sum from its target at which they end.
 ROUNDS = 30
 TOLERANCE = 1e-10
+#: Distance of a sum from its target, as a share of all tokens, beyond which the targets count as not met.
+MOST_OFF = 1e-4
+#: What words stand between, as a pattern of Java and of RE2; the least letters of a word that votes on the topic; its planes.
+SPACES = r"[ \t\n\x0B\f\r]+"
+VOTING, PLANES = 5, 3
 #: Rounds that make one plan while the cells are few.
 ROUNDS_AT_ONCE = 6
 #: Cells that fit one task and are sent to every task; about 100 bytes each.
@@ -46,25 +62,34 @@ class Targets:
     topic: float | dict[str, float] = 0.7
     #: The sample's expected tokens as a share of all.
     budget: float = 0.5
+    #: Whether targets that cannot be met are an error.
+    strict: bool = False
 
 
 DIMENSIONS = ("source", "lang", "topic")
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
 def token_count(text: Column) -> Column:
-    """Words between spaces: what raking weighs documents by."""
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(F.length(text) > 0, spaces + 1).otherwise(0).cast("long")
+    """Words between white space: what raking weighs documents by."""
+    return F.size(_words(text)).cast("long")
 
 
-def shape_topic(text: Column) -> Column:
-    """A coarse topic from a text's form: tables, marked-up noise, notes and articles."""
-    return (
-        F.when(F.coalesce(text.contains(" | "), F.lit(False)), "table")
-        .when(F.coalesce(text.contains("&&&") | text.contains("$$$"), F.lit(False)), "noise")
-        .when(F.coalesce(F.length(text), F.lit(0)) < 500, "note")
-        .otherwise("article")
-    )
+def _side(digits: str) -> list[str]:
+    """For every plane the hexadecimal digits that vote for its far side."""
+    return ["".join(d for d in digits if int(d, 16) >> p & 1) for p in range(PLANES)]
+
+
+def hashed_topic(text: Column) -> Column:
+    """The cluster of a text's longer words, "t0" to "t7"."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    voting = F.filter(_words(lowered), lambda w: F.length(w) >= VOTING)
+    votes = F.array_join(F.transform(voting, lambda w: F.substring(F.md5(w.cast("binary")), 1, 1)), "")
+    far = [F.length(votes) - F.length(F.translate(votes, digits, "")) for digits in _side("0123456789abcdef")]
+    return F.concat(F.lit("t"), sum((F.when(2 * n > F.length(votes), 1 << p).otherwise(0) for p, n in enumerate(far)), F.lit(0)).cast("string"))
 
 
 def _value(column: Column) -> Column:
@@ -104,19 +129,26 @@ def _by_joins(now: DataFrame, aims: dict[str, DataFrame]) -> DataFrame:
     return now
 
 
-def rake(cells: DataFrame, targets: Targets, few: bool) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with their raked share ``w`` of all tokens."""
+def rake(cells: DataFrame, targets: Targets, few: bool) -> tuple[DataFrame, float]:
+    """Cells (source, lang, topic, tokens) with their raked share ``w`` of all tokens, and the largest distance of a sum from its target."""
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
-        return cells.withColumn("w", F.lit(0.0))
+        return cells.withColumn("w", F.lit(0.0)), 0.0
     now = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
     aims = {d: stored(_shares(now, d, getattr(targets, d)), "targets") for d in DIMENSIONS}
+    left = 0.0
     for _ in range(0, ROUNDS, ROUNDS_AT_ONCE if few else 1):
         now = stored(_by_windows(now, aims) if few else _by_joins(now, aims), "raked")
-        off = [now.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("sum")).join(aims[d], "value").select(F.abs(F.col("sum") - F.col("target")).alias("off")) for d in DIMENSIONS[:-1]]
-        if reduce(DataFrame.union, off).agg(F.max("off")).first()[0] <= TOLERANCE:
+        off = [now.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("sum")).join(aims[d], "value").select(F.abs(F.col("sum") - F.col("target")).alias("off")) for d in DIMENSIONS]
+        left = reduce(DataFrame.union, off).agg(F.max("off")).first()[0]
+        if left <= TOLERANCE:
             break
-    return now
+    if left > MOST_OFF:
+        said = f"raking ends {left:.2g} of all tokens from its targets: they cannot all be met"
+        if targets.strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    return now, left
 
 
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
@@ -140,39 +172,58 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, targets: Targets | None = None, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` besides ``mix_source, mix_lang, mix_topic, mix_tokens, probability, sampled``."""
+#: What ``mix`` adds.
+ADDED = ("mix_source", "mix_lang", "mix_topic", "mix_tokens", "probability", "sampled")
+
+
+def _mixed(docs: DataFrame, targets: Targets | None, text: str, key: str, source: str, lang: str, topic: Column | None, tokens: Column | None) -> tuple[DataFrame, list[str]]:
+    """All rows and columns of ``docs`` and those of ADDED, under the names given back, which clash with none."""
     targets = targets or Targets()
-    marked = docs.withColumns({"mix_source": _value(docs[source]), "mix_lang": _value(docs[lang]), "mix_topic": _value(shape_topic(docs[text]) if topic is None else topic), "mix_tokens": token_count(docs[text])})
-    names = {f"mix_{d}": d for d in DIMENSIONS}
-    cells = stored(marked.groupBy(*(F.col(k).alias(d) for k, d in names.items())).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    names = free(docs, *ADDED)
+    of_source, of_lang, of_topic, n_tokens, probability, sampled = names
+    counted = F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else token_count(column(text))
+    marked = docs.withColumns({of_source: _value(column(source)), of_lang: _value(column(lang)), of_topic: _value(hashed_topic(column(text)) if topic is None else topic), n_tokens: counted})
+    pairs = dict(zip(names[:3], DIMENSIONS, strict=True))
+    cells = stored(marked.groupBy(*(F.col(k).alias(d) for k, d in pairs.items())).agg(F.sum(n_tokens).alias("tokens")), "cells")
     few = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    chances = probabilities(rake(cells, targets, few), targets.budget).select(*(F.col(d).alias(k) for k, d in names.items()), "probability")
+    raked, _ = rake(cells, targets, few)
+    chances = probabilities(raked, targets.budget).select(*(F.col(d).alias(k) for k, d in pairs.items()), F.col("probability").alias(probability))
     if few:
         chances = F.broadcast(chances)
-    met = marked.join(chances, list(names), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
-    return met.withColumn("sampled", uniform(F.col(key)) < F.col("probability"))
+    met = marked.join(chances, names[:3], "left").withColumn(probability, F.coalesce(probability, F.lit(0.0)))
+    return met.withColumn(sampled, uniform(column(key)) < F.col(probability)), names
+
+
+def mix(docs: DataFrame, targets: Targets | None = None, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, and ``mix_source, mix_lang, mix_topic, mix_tokens, probability, sampled``."""
+    mixed, names = _mixed(docs, targets, text, key, source, lang, topic, tokens)
+    own = [column(c) for c in docs.columns if c.lower() not in ADDED]
+    return mixed.select(*own, *(F.col(n).alias(a) for n, a in zip(names, ADDED, strict=True)))
 
 
-def sample(docs: DataFrame, targets: Targets | None = None, **columns) -> DataFrame:
+def sample(docs: DataFrame, targets: Targets | None = None, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
     """The sampled rows of ``docs``, its columns alone."""
-    mixed = mix(docs, targets, **columns)
-    return mixed.where("sampled").select(*docs.columns)
+    mixed, names = _mixed(docs, targets, text, key, source, lang, topic, tokens)
+    return mixed.where(F.col(names[-1])).select(*columns(docs))
 
 
-def report(docs: DataFrame, targets: Targets | None = None, **columns) -> DataFrame:
+def report(docs: DataFrame, targets: Targets | None = None, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
     """Per document: doc_id, source, lang, topic, tokens, probability (six places), sampled."""
-    mixed = mix(docs, targets, **columns)
-    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("probability", 6).alias("probability"), "sampled")
+    mixed, names = _mixed(docs, targets, text, key, source, lang, topic, tokens)
+    own = [F.round(F.col(n), 6) if a == "probability" else F.col(n) for n, a in zip(names, ADDED, strict=True)]
+    return mixed.select(column(key).alias("doc_id"), *(c.alias(a.removeprefix("mix_")) for c, a in zip(own, ADDED, strict=True)))
 
 
 def report_sql(targets: Targets | None = None, rounds: int = 12, scalings: int = 8) -> str:
     """The same rows in DuckDB SQL; a number of rounds that is enough for the sums to hold."""
     targets = targets or Targets()
+    split = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    votes = f"array_to_string(list_transform(list_filter({split.format(lowered)}, lambda x: length(x) >= {VOTING}), lambda x: md5(x)[1]), '')"
+    far = " + ".join(f"CASE WHEN 2 * (length(votes) - length(translate(votes, '{digits}', ''))) > length(votes) THEN {1 << p} ELSE 0 END" for p, digits in enumerate(_side("0123456789abcdef")))
     parts = [
-        f"""d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
-  CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '&&&') OR contains(text, '$$$') THEN 'noise' WHEN length(coalesce(text, '')) < 500 THEN 'note' ELSE 'article' END AS topic,
-  CASE WHEN length(text) > 0 THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS tokens FROM documents)""",
+        f"""d AS MATERIALIZED (SELECT doc_id, source, lang, 't' || CAST({far} AS VARCHAR) AS topic, tokens
+  FROM (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {votes} AS votes, len({split.format("coalesce(text, '')")}) AS tokens FROM documents))""",
         "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) / (SELECT CAST(sum(tokens) AS DOUBLE) FROM d) AS w FROM d GROUP BY source, lang, topic)",
     ]
     for d in DIMENSIONS:

@@ -108,7 +108,9 @@ def test_raked_sums_meet_their_targets(spark, few):
     cells = [(s, g, t, rng.randint(1, 500)) for s in ("a", "b", "c", mixing.NONE) for g in ("en", "de", "xx") for t in ("note", "table")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     targets = mixing.Targets(source=0.5, lang={"en": 0.5, "de": 0.3}, topic=1.0)
-    raked = {(r.source, r.lang, r.topic): r.w for r in mixing.rake(df, targets, few).collect()}
+    found, off = mixing.rake(df, targets, few)
+    raked = {(r.source, r.lang, r.topic): r.w for r in found.collect()}
+    assert off < 1e-6
     total = sum(c[3] for c in cells)
     aims = []
     for d, target in enumerate((targets.source, targets.lang, targets.topic)):
