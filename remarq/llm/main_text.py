@@ -1,15 +1,19 @@
 """Operator 2: main text of web pages by text-to-tag ratio.
 
 The standard library's streaming parser turns a page into lines: the text between two block-level tags. A line's
-text-to-tag ratio is its characters over its tags. A Gaussian kernel smooths the ratios along the page, and lines
+text-to-tag ratio is its characters outside links over its tags. A Gaussian kernel smooths the ratios along the page, and lines
 above a threshold (the mean of the smoothed ratios, two-means refined) form the content cluster. The region of the page that
-holds most of that cluster's text, by nesting of the page's containers, is the article; all its
-lines belong to the text, short ones too, and so do lines of the cluster's kind that stand beside it. Lines inside menus, headers, footers, sidebars, notices,
+holds most of that cluster's text, by nesting of the page's containers, is the article. In it the cluster decides line by line: its lines are the
+text, and of the others those that stay are no links, and stand in the region itself, in a part of it that the cluster has most of, or in an article
+element. Lines of the cluster's kind that stand beside the region are part of the text too, unless they are a small part of a page-wide container.
+
+A second signal is what elements and names say: lines inside menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments, known by element or by their class, id and role, never count; a name alone
 (or a form) does not condemn an element that wraps most of the content cluster.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; broken nesting is closed as
-browsers do; repeated rows stay repeated; empty tables give empty results; other columns are ignored
+browsers do; a very long page is one list of lines in the task that reads it; equal ratios are on the same side of the threshold, and
+where all are equal every line is content; repeated rows stay repeated; empty tables give empty results; other columns are ignored
 whatever their names.
 """
 
@@ -24,10 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .columns import column
+
 #: Width of the Gaussian kernel, in lines.
 SIGMA = 1.5
 #: Shares of the content cluster's median line from which a line beyond the region counts: of the cluster, and not of it.
 LONG, NEARLY = 0.25, 0.5
+#: Share of a line's text in links from which it is a link; share of the content that a part of a page-wide container holds if it is more than a notice.
+LINKED, MORE = 0.5, 0.2
 #: Elements that begin and end a line.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is no part of the page's prose.
@@ -71,6 +79,7 @@ class Line:
     path: tuple[int, ...]
     around: bool
     named: tuple[int, ...] = ()  # open elements that only their name, or being a form, puts around the prose
+    linked: int = 0  # characters inside links
 
 
 @dataclass
@@ -92,6 +101,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[_Open] = []
         self.parts: list[str] = []
+        self.linked: list[str] = []
         self.tags = 1
         self.n = 0
         self.articles: set[int] = set()
@@ -103,9 +113,10 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             path = tuple(o.id for o in self.open if o.tag in CONTAINERS)
-            self.lines.append(Line(text, self.tags, path, any(o.around for o in self.open), tuple(o.id for o in self.open if o.named)))
+            linked = len(" ".join("".join(self.linked).split()))
+            self.lines.append(Line(text, self.tags, path, any(o.around for o in self.open), tuple(o.id for o in self.open if o.named), linked))
             self.tags = 1
-        self.parts = []
+        self.parts, self.linked = [], []
 
     def _pop(self, i: int) -> None:
         if any(o.tag in BLOCKS or o.silent for o in self.open[i:]):
@@ -178,6 +189,8 @@ class _Lines(HTMLParser):
             self._end_head()
         if not any(o.silent for o in self.open):
             self.parts.append(data)
+            if any(o.tag == "a" for o in self.open):
+                self.linked.append(data)
 
     def unknown_decl(self, data: str) -> None:
         pass
@@ -216,11 +229,15 @@ def threshold(logs: np.ndarray) -> float:
     return float(cut)
 
 
+def ratios(found: list[Line]) -> np.ndarray:
+    """Characters outside links over tags."""
+    return np.array([max(0, len(x.text) - x.linked) / x.tags for x in found], float)
+
+
 def cluster(found: list[Line]) -> tuple[np.ndarray, np.ndarray]:
     """The lines' sizes, and which of them form the content cluster."""
-    sizes = np.array([len(x.text) for x in found], float)
-    logs = np.log1p(smoothed(sizes / np.array([x.tags for x in found], float)))
-    return sizes, logs >= threshold(logs) - 1e-9
+    logs = np.log1p(smoothed(ratios(found)))
+    return np.array([len(x.text) for x in found], float), logs >= threshold(logs) - 1e-9
 
 
 def wrappers(page: _Lines, found: list[Line]) -> set[int]:
@@ -240,32 +257,53 @@ def wrappers(page: _Lines, found: list[Line]) -> set[int]:
     return out
 
 
-def outside(found: list[Line], region: int, sizes: np.ndarray, content: np.ndarray) -> set[int]:
+def outside(found: list[Line], region: int, sizes: np.ndarray, content: np.ndarray, wide: set[int]) -> set[int]:
     """Lines beyond the region that belong to the text: those of the content cluster, those nearly as long and free of tags as its median line, and
-    where these make up most of what stands beside the region in a container, its other lines too. Short lines that only border on long ones are no part."""
+    where these make up most of what stands beside the region in a container, its other lines too. Short lines that only border on long ones are no part,
+    and beside the region in a page-wide container only what holds a good share of the content is."""
     main = next(x.path[: x.path.index(region) + 1] for x in found if region in x.path)
-    ratios = sizes / np.array([x.tags for x in found], float)
-    size, ratio = np.median(sizes[content]), np.median(ratios[content])
-    good = (content & (sizes >= LONG * size)) | ((sizes >= NEARLY * size) & (ratios >= NEARLY * ratio))
-    beside: dict[int, list[int]] = {}
+    own = ratios(found)
+    size, ratio = np.median(sizes[content]), np.median(own[content])
+    good = (content & (sizes >= LONG * size)) | ((sizes >= NEARLY * size) & (own >= NEARLY * ratio))
+    total = sizes[content].sum()
+    beside: dict[tuple[int, int], list[int]] = {}
     out = set()
     for i, x in enumerate(found):
         if region in x.path:
             continue
-        if good[i]:
-            out.add(i)
-        branch = next((c for c in x.path if c not in main), None)
-        if branch is not None:
-            beside.setdefault(branch, []).append(i)
-    for own in beside.values():
-        if sizes[[i for i in own if good[i]]].sum() >= 0.5 * sizes[own].sum():
-            out.update(own)
+        at = next((k for k, c in enumerate(x.path) if c not in main), None)
+        if at is None:
+            if good[i]:
+                out.add(i)
+        else:
+            beside.setdefault((x.path[at - 1] if at else 0, x.path[at]), []).append(i)
+    for (parent, _), some in beside.items():
+        mass = sizes[[i for i in some if good[i]]].sum()
+        if parent in wide and mass < MORE * total:
+            continue
+        out.update(some if mass >= 0.5 * sizes[some].sum() else [i for i in some if good[i]])
     return out
 
 
+def within(found: list[Line], region: int | None, sizes: np.ndarray, content: np.ndarray, article: bool) -> list[int]:
+    """The region's lines that belong to the text, in page order: the cluster decides, see the module."""
+    inside = [i for i, x in enumerate(found) if region is None or region in x.path]
+    parts: dict[int | None, list[int]] = {}
+    part_of: dict[int, int | None] = {}
+    for i in inside:
+        path = found[i].path
+        rest = path[path.index(region) + 1 :] if region is not None else ()
+        part_of[i] = rest[0] if rest else None
+        parts.setdefault(part_of[i], []).append(i)
+    poor = {c for c, some in parts.items() if c is not None and sizes[[i for i in some if content[i]]].sum() < 0.5 * sizes[some].sum()}
+    return [i for i in inside if content[i] or (found[i].linked < LINKED * sizes[i] and (article or part_of[i] not in poor))]
+
+
 def main_text(html: str | None) -> str:
     page = lines(html)
     articles, roots = page.articles, page.roots
+    # containers that hold parts around the prose, by element, by name or as links, besides the prose itself
+    wide = {c for x in page.lines if x.around or x.named or x.linked >= LINKED * len(x.text) for c in x.path} | roots
     found = [x for x in page.lines if not x.around]
     if any(x.named for x in found):
         whole = wrappers(page, found)
@@ -286,19 +324,19 @@ def main_text(html: str | None) -> str:
     else:
         heavy = [c for c, m in mass.items() if m >= 0.7 * total]
         region = max(heavy, default=None)
-    inside = [i for i, x in enumerate(found) if region is None or region in x.path]
+    inside = within(found, region, sizes, content, bool(own))
     if region is None or region in roots:
         # where only the page as a whole holds the content, what precedes and follows the content lines is not part of it
         marked = [i for i in inside if content[i]]
         inside = [i for i in inside if marked and marked[0] <= i <= marked[-1]]
     else:
-        inside = sorted({*inside, *outside(found, region, sizes, content)})
+        inside = sorted({*inside, *outside(found, region, sizes, content, wide)})
     return " ".join(found[i].text for i in inside)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns, text, n_chars (code points) per page; one pass, no shuffle."""
-    chosen = pages.select(*(pages[c] for c in keep), pages[html].alias("__html"))
+    chosen = pages.select(*(column(c).alias(c) for c in keep), column(html).alias("body"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", text string, n_chars long"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
