@@ -1,14 +1,19 @@
 """Operator 8: FLAC media columns, encoded and decoded with numpy, many frames at a time.
 
-A byte payload becomes a mono FLAC stream of 8-bit samples (byte - 128) in frames of 576 samples: a constant, verbatim, or fixed
-linear predictor subframe with Rice residuals, whichever is shortest. A seek table names the
-sample and byte offset of every frame, so any sample range is read from the frames around it, and
-frames decode side by side: each step takes the next residual of every frame in a slice. Decoding
+A byte payload becomes a mono FLAC stream of 8-bit samples (byte - 128) in frames of 576 samples: a constant, verbatim, fixed
+linear predictor (orders 0 to 2) or LPC subframe (order ``LPC_ORDER``, fitted to the frame's autocorrelation) with Rice residuals in one partition, whichever is shortest. A seek table names the
+sample and byte offset of every frame, or of every so many in a very long stream, so any sample range is read from the frames around it, and
+frames decode side by side: each step takes the next residual of every frame in a slice. Where the table is thin or there is none, the frames in between are walked
+from one end to the next. Decoding
 covers constant, verbatim, fixed (orders 0 to 4) and LPC subframes, any partition order and escaped partitions of both Rice
-methods; it verifies each frame's header CRC-8 and CRC-16, and the stream's MD5.
+methods; it verifies each frame's header CRC-8 and CRC-16, and the stream's MD5. Other profiles (stereo, other block or sample sizes, wasted bits) are
+refused with an error.
+
+Media are rows of a table that is written and read back. ``pcm_blocks`` decodes them to rows of PCM bytes with the offset of their first sample, to be written as a
+table; ``read_samples`` takes a range from the blocks that hold it.
 
 Defined cases: a null or empty text is one frame of padding; equal texts give equal streams; repeated rows stay
-repeated; empty tables give empty results; other columns are left out whatever their names.
+repeated; a very long text is encoded and decoded in slices of frames, though its bytes are held whole by the task; empty tables give empty results; other columns are left out whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .columns import column
+from .storage import stored
 
 FRAME = 576
 PAD = 255
@@ -32,6 +41,10 @@ SLICE = 4096
 BATCH_BYTES = 2 << 20
 MOST_ORDER = 2
 MOST_K = 8
+#: Order of LPC subframes, bits of a quantised coefficient, and their shift.
+LPC_ORDER, PRECISION, SHIFT = 6, 10, 8
+#: Samples of a PCM block: a whole number of frames.
+PCM_BLOCK = FRAME * 2048
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -95,21 +108,67 @@ def _heads(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, lengths
 
 
+def _rice_cost(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals folded to whole numbers, the better of two Rice parameters near their mean, and the bits that they take."""
+    u = ((r << 1) ^ (r >> 31)).astype(np.uint16)
+    mean = u.mean(axis=1, dtype=np.float32)
+    guess = np.clip(np.floor(np.log2(np.maximum(1.0, mean * 0.6931))), 0, MOST_K - 1).astype(np.uint16)
+    sizes = [u.shape[1] * (k.astype(np.int64) + 1) + (u >> k[:, None]).sum(axis=1, dtype=np.int64) for k in (guess, guess + 1)]
+    return u, np.where(sizes[1] < sizes[0], guess + 1, guess).astype(np.uint16), np.minimum(*sizes)
+
+
+def lpc(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients of each frame (the one for the sample before comes first), and the residuals that they leave."""
+    x = samples.astype(np.float32)
+    r = np.stack([np.einsum("ij,ij->i", x[:, lag:], x[:, : x.shape[1] - lag]) for lag in range(LPC_ORDER + 1)], axis=1).astype(np.float64)
+    error, a = r[:, 0] + 1e-9, np.zeros((len(x), LPC_ORDER))
+    for i in range(LPC_ORDER):  # Levinson and Durbin's recursion, all frames together
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = 1 << (PRECISION - 1)
+    q = np.clip(np.rint(a * (1 << SHIFT)), -most, most - 1).astype(np.int32)
+    y = samples.astype(np.int32)
+    guess = sum(q[:, j : j + 1] * y[:, LPC_ORDER - 1 - j : y.shape[1] - 1 - j] for j in range(LPC_ORDER)) >> SHIFT
+    return q, y[:, LPC_ORDER:] - guess
+
+
+def _put(out: np.ndarray, at: np.ndarray, value: np.ndarray, size: int) -> None:
+    """Adds values of up to 16 bits at bit positions of a buffer that is zero there; no two in one call touch the same byte."""
+    shifted = (value & ((1 << size) - 1)) << (24 - (at & 7) - size)
+    for i in range(3):
+        out[(at >> 3) + i] |= ((shifted >> (16 - 8 * i)) & 255).astype(np.uint8)
+
+
+def _put_rice(out: np.ndarray, start: np.ndarray, u: np.ndarray, k: np.ndarray) -> None:
+    """Rice codes of each row, one behind the other from the row's bit position."""
+    k = k[:, None]
+    q = u >> k
+    size = q + 1 + k
+    bit = (np.cumsum(size, axis=1) - size + start[:, None] + q).ravel()  # of the one that ends the unary part
+    value = ((1 << k) | (u & ((1 << k) - 1))).ravel()
+    byte = bit >> 3
+    shifted = value << (16 - (bit & 7) - (np.broadcast_to(k, u.shape).ravel() + 1))
+    for part, where in ((shifted >> 8, byte), (shifted & 255, byte + 1)):
+        runs = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
+        out[where[runs]] += np.add.reduceat(part, runs).astype(np.uint8)
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Samples as int8 rows of a frame each -> the frames' bytes one after another, and each frame's end."""
     n_frames = len(samples)
-    x = samples.astype(np.int16)
-    folded, cost, first = [], [], []
+    x = samples.astype(np.int32)
+    coefficients, left = lpc(samples)
+    #: For each kind its order, folded residuals and parameters, and the bits of its subframe behind the first byte.
+    kinds, cost = [], []
     for order in range(MOST_ORDER + 1):
-        r = np.diff(x, n=order, axis=1)
-        u = ((r << 1) ^ (r >> 15)).astype(np.uint16)
-        mean = u.mean(axis=1, dtype=np.float32)
-        guess = np.clip(np.floor(np.log2(np.maximum(1.0, mean * 0.6931))), 0, MOST_K - 1).astype(np.uint16)
-        sizes = [u.shape[1] * (k.astype(np.int64) + 1) + (u >> k[:, None]).sum(axis=1, dtype=np.int64) for k in (guess, guess + 1)]
-        k = np.where(sizes[1] < sizes[0], guess + 1, guess).astype(np.uint16)
-        folded.append(u)
-        first.append(k)
-        cost.append(8 * order + 10 + np.minimum(*sizes))
+        u, k, bits = _rice_cost(np.diff(x, n=order, axis=1))
+        kinds.append((order, u, k))
+        cost.append(8 * order + 10 + bits)
+    wild = (np.abs(left) >= 1 << 15).any(axis=1)
+    u, k, bits = _rice_cost(np.where(wild[:, None], 0, left))
+    kinds.append((LPC_ORDER, u, k))
+    cost.append(np.where(wild, 1 << 40, 8 * LPC_ORDER + 9 + LPC_ORDER * PRECISION + 10 + bits))
     cost = np.array(cost)
     best = cost.argmin(axis=0)
     bits = cost[best, np.arange(n_frames)]
@@ -119,7 +178,7 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
     heads, head_sizes = _heads(numbers)
     ends = np.cumsum(head_sizes + body + 2)
     begin = ends - (head_sizes + body + 2)
-    out = np.zeros(int(ends[-1]) + 2 if n_frames else 2, np.uint8)
+    out = np.zeros(int(ends[-1]) + 3 if n_frames else 3, np.uint8)
     for i in range(int(head_sizes.max()) if n_frames else 0):
         some = np.flatnonzero(head_sizes > i)
         out[begin[some] + i] = heads[some, i]
@@ -130,30 +189,27 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
     own = np.flatnonzero(verbatim)
     out[at[own]] = 2
     out[(at[own] + 1)[:, None] + np.arange(FRAME)] = raw[own]
-    for order in range(MOST_ORDER + 1):
-        own = np.flatnonzero((best == order) & ~constant & ~verbatim)
+    for kind, (order, u, k) in enumerate(kinds):
+        own = np.flatnonzero((best == kind) & ~constant & ~verbatim)
         if not len(own):
             continue
-        u, k = folded[order][own].astype(np.int64), first[order][own].astype(np.int64)
-        out[at[own]] = (8 | order) << 1
+        linear = kind == len(kinds) - 1
+        out[at[own]] = (31 + order if linear else 8 | order) << 1
         for i in range(order):
             out[at[own] + 1 + i] = raw[own, i]
-        params = at[own] + 1 + order
-        out[params], out[params + 1] = k >> 2, (k & 3) << 6
-        k = k[:, None]
-        q = u >> k
-        size = q + 1 + k
-        start = np.cumsum(size, axis=1) - size + (params * 8 + 10)[:, None]
-        bit = (start + q).ravel()  # of the one that ends the unary part
-        value = ((1 << k) | (u & ((1 << k) - 1))).ravel()
-        byte = bit >> 3
-        shifted = value << (16 - (bit & 7) - (np.broadcast_to(k, u.shape).ravel() + 1))
-        for part, where in ((shifted >> 8, byte), (shifted & 255, byte + 1)):
-            runs = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
-            out[where[runs]] += np.add.reduceat(part, runs).astype(np.uint8)
+        params = (at[own] + 1 + order) * 8
+        if linear:
+            _put(out, params, np.full(len(own), PRECISION - 1), 4)
+            _put(out, params + 4, np.full(len(own), SHIFT), 5)
+            for j in range(order):
+                _put(out, params + 9 + j * PRECISION, coefficients[own, j].astype(np.int64), PRECISION)
+            params = params + 9 + order * PRECISION
+        k = k[own].astype(np.int64)
+        _put(out, params + 6, k, 4)  # behind the method and the partition order, both zero
+        _put_rice(out, params + 10, u[own].astype(np.int64), k)
     crc = _crc16(out, begin, ends - 2)
     out[ends - 2], out[ends - 1] = crc >> 8, crc & 255
-    return out[:-2], ends
+    return out[:-3], ends
 
 
 class _Bits:
@@ -306,7 +362,7 @@ def decode_frames(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.n
                     pos[same] = there
                 r = _residuals(bits, pos, FRAME, order)
                 for i in range(order, FRAME):
-                    x[i] = r[i - order] + ((coefficients * x[i - order : i][::-1]).sum(axis=0) >> shift)
+                    x[i] = r[i - order] + (np.einsum("ij,ij->j", coefficients, x[i - order : i][::-1]) >> shift)
             else:
                 r = _residuals(bits, pos, FRAME, order)
                 for level in range(order, 0, -1):  # sums from the highest difference down
@@ -355,9 +411,13 @@ class Stream:
             at += 4 + size
             if kind & 128:
                 break
-        self.begin = at
-        self.samples = points["sample"].astype(np.int64)
-        self.offsets = points["offset"].astype(np.int64) + at
+        n_frames = -(-self.n_samples // FRAME)
+        samples, offsets = (points["sample"].astype(np.int64), points["offset"].astype(np.int64) + at) if points is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known = samples < self.n_samples  # without placeholders
+        samples, offsets = samples[known], offsets[known]
+        if not len(samples) or samples[0]:
+            samples, offsets = np.concatenate([[0], samples]), np.concatenate([[at], offsets])
+        self.samples, self.offsets = (samples, offsets) if len(samples) == n_frames else walked(data, samples // FRAME, offsets, n_frames)
 
     def read(self, data: bytes, start: int, end: int) -> bytes:
         """Payload bytes ``start`` to ``end``, from the frames that hold them and no others."""
@@ -371,6 +431,19 @@ class Stream:
         return (samples.view(np.uint8) ^ 128).tobytes()[skip : skip + end - start]
 
 
+def walked(data: bytes, frames: np.ndarray, offsets: np.ndarray, n_frames: int) -> tuple[np.ndarray, np.ndarray]:
+    """First samples and offsets of all frames, found from some of them: each step takes the next frame behind every known one."""
+    found = np.full(n_frames, -1, np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    stop = np.append(frames[1:], n_frames)
+    while len(frames):
+        found[frames] = offsets
+        _, ends = decode_frames(raw, offsets)
+        more = frames + 1 < stop
+        frames, stop, offsets = frames[more] + 1, stop[more], ends[more]
+    return np.arange(n_frames) * FRAME, found
+
+
 def encode_payloads(texts: list[bytes]) -> list[bytes]:
     """The streams of padded texts."""
     n_frames = np.array([max(1, -(-len(t) // FRAME)) for t in texts])
@@ -431,7 +504,7 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 def to_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes of the text in UTF-8, and its FLAC stream as a binary column ``media``; one pass, no shuffle."""
-    chosen = df.select(df[key].alias("doc_id"), df[text].alias("t"))
+    chosen = df.select(column(key).alias("doc_id"), column(text).alias("t"))
     kind = chosen.schema[0].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,6 +540,34 @@ def from_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """doc_id, first_sample, n_samples, pcm (unsigned 8-bit): the decoded media in blocks of ``PCM_BLOCK`` samples, to be written as a table."""
+    kind = media.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a, b in _groups(pa.compute.binary_length(part.column(1)).to_pylist(), BATCH_BYTES):
+                ids = part.column(0).slice(a, b - a)
+                for i, payload in enumerate(decode_payloads(part.column(1).slice(a, b - a).to_pylist())):
+                    starts = range(0, len(payload), PCM_BLOCK)
+                    blocks = [payload[s : s + PCM_BLOCK] for s in starts]
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids.slice(i, 1)] * len(blocks)), pa.array(starts, pa.int64()), pa.array(map(len, blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["doc_id", "first_sample", "n_samples", "pcm"])
+
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, first_sample long, n_samples long, pcm binary")
+
+
+def read_samples(blocks: DataFrame, key, start: int, end: int) -> bytes:
+    """Samples ``start`` to ``end`` of one document, from the blocks that hold them: both conditions reach the table's scan."""
+    rows = blocks.where((F.col("doc_id") == key) & (F.col("first_sample") < end) & (F.col("first_sample") >= start - start % PCM_BLOCK)).select("first_sample", "pcm").distinct().orderBy("first_sample").collect()
+    skip = start - rows[0]["first_sample"] if rows else 0
+    return b"".join(bytes(r["pcm"]) for r in rows)[skip : skip + end - start]
+
+
+def round_trip(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Write the media to the shared folder, then describe what is read back from there."""
+    return from_media(stored(to_media(df, text, key), "media"))
+
+
 def feature(payload: bytes) -> str:
     x = (np.frombuffer(payload, np.uint8) ^ 128).view(np.int8)
     positive = x >= 0

@@ -47,7 +47,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.from_media(flac.to_media(_table(spark, sf_dir, "documents")))
+    return flac.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
