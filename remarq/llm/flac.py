@@ -9,7 +9,7 @@ covers constant, verbatim, fixed (orders 0 to 4) and LPC subframes, any partitio
 methods; it verifies each frame's header CRC-8 and CRC-16, and the stream's MD5. Other profiles (stereo, other block or sample sizes, wasted bits) are
 refused with an error.
 
-Media are rows of a table that is written and read back. ``pcm_blocks`` decodes them to rows of PCM bytes with the offset of their first sample, to be written as a
+Media are written one behind the other into files, with a table of their places, and read back by range; or they are a column. ``pcm_blocks`` decodes them to rows of PCM bytes with the offset of their first sample, to be written as a
 table; ``read_samples`` takes a range from the blocks that hold it.
 
 Defined cases: a null or empty text is one frame of padding; equal texts give equal streams; repeated rows stay
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import column
-from .storage import stored
+from .storage import fresh_folder, new_file, open_fs, stored
 
 FRAME = 576
 PAD = 255
@@ -45,6 +45,8 @@ MOST_K = 8
 LPC_ORDER, PRECISION, SHIFT = 6, 10, 8
 #: Samples of a PCM block: a whole number of frames.
 PCM_BLOCK = FRAME * 2048
+#: Bytes of a media file from which a new one begins.
+CONTAINER_BYTES = 64 << 20
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -502,6 +504,25 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+#: Columns of described media besides doc_id.
+DESCRIBED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _described(ids: pa.Array, sizes: pa.Array, media: list[bytes]) -> pa.RecordBatch:
+    payloads = decode_payloads(media)
+    rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)) for p, m in zip(payloads, media, strict=True)]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([ids, sizes, *columns], names=["doc_id", *(c.split()[0] for c in DESCRIBED.split(", "))])
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Groups of texts in UTF-8 of a bounded size, with their begin and end."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    for a, b in _groups([max(FRAME, n) for n in pa.compute.binary_length(texts).to_pylist()], BATCH_BYTES):
+        yield a, b, texts.slice(a, b - a).to_pylist()
+
+
 def to_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes of the text in UTF-8, and its FLAC stream as a binary column ``media``; one pass, no shuffle."""
     chosen = df.select(column(key).alias("doc_id"), column(text).alias("t"))
@@ -509,12 +530,8 @@ def to_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(1).cast(pa.large_binary()).fill_null(b"")
-            sizes = [max(FRAME, len(t)) for t in (v.as_buffer() or b"" for v in texts)]
-            for a, b in _groups([int(s) for s in sizes], BATCH_BYTES):
-                own = texts.slice(a, b - a).to_pylist()
-                media = encode_payloads(own)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([len(t) for t in own], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            for a, b, own in _texts(part.column(1)):
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([len(t) for t in own], pa.int64()), pa.array(encode_payloads(own), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return chosen.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
@@ -523,21 +540,13 @@ def from_media(media: DataFrame) -> DataFrame:
     """Reads a ``media`` column back and describes it: sizes and digests of payload and stream, and a feature string:
     frames, mean, mean square and sign changes of the samples."""
     kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            streams = part.column(2)
-            sizes = pa.compute.binary_length(streams).to_pylist()
-            for a, b in _groups(sizes, BATCH_BYTES):
-                own = streams.slice(a, b - a).to_pylist()
-                payloads = decode_payloads(own)
-                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature(p)) for p, s in zip(payloads, own, strict=True)]
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), *columns], names=names)
+            for a, b in _groups(pa.compute.binary_length(part.column(2)).to_pylist(), BATCH_BYTES):
+                yield _described(part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), part.column(2).slice(a, b - a).to_pylist())
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, {DESCRIBED}")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -563,9 +572,68 @@ def read_samples(blocks: DataFrame, key, start: int, end: int) -> bytes:
     return b"".join(bytes(r["pcm"]) for r in rows)[skip : skip + end - start]
 
 
+def _containers(parts: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str, pa.Array, pa.Array, list[int]]]:
+    """Writes media one behind the other into files of ``CONTAINER_BYTES`` or a little more: each closed file's URI, its ids, sizes of texts, and the media's ends."""
+    groups = ((part.column(0).slice(a, b - a), own) for part in parts for a, b, own in _texts(part.column(1)))
+    group = next(groups, None)
+    while group is not None:
+        ids, sizes, ends = [], [], [0]
+        with new_file(folder, "media.flac") as (out, uri):
+            while group is not None and ends[-1] < CONTAINER_BYTES:
+                for media in encode_payloads(group[1]):
+                    out.write(media)
+                    ends.append(ends[-1] + len(media))
+                ids.append(group[0])
+                sizes += map(len, group[1])
+                group = next(groups, None)
+        yield uri, pa.concat_arrays(ids), pa.array(sizes, pa.int64()), ends
+
+
+def write_media(df: DataFrame, folder: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Media files in ``folder``, and a table, already stored, of where each document's media is: doc_id, n_bytes, uri, offset, length."""
+    chosen = df.select(column(key).alias("doc_id"), column(text).alias("t"))
+    kind = chosen.schema[0].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri, ids, sizes, ends in _containers(parts, folder):
+            starts = np.array(ends)
+            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array([uri] * len(ids)), pa.array(starts[:-1]), pa.array(np.diff(starts))], names=["doc_id", "n_bytes", "uri", "offset", "length"])
+
+    return stored(chosen.mapInArrow(run, f"doc_id {kind}, n_bytes long, uri string, offset long, length long"), "media-index")
+
+
+def read_media(index: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and ``media`` by range reads of the files that ``index`` names."""
+    kind = index.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i, (uri, offset, length) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                files, path = open_fs(uri)
+                with files.open_input_file(path) as file:
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(i, 1), part.column(1).slice(i, 1), pa.array([file.read_at(length, offset)], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return index.select("doc_id", "n_bytes", "uri", "offset", "length").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+
+
 def round_trip(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Write the media to the shared folder, then describe what is read back from there."""
-    return from_media(stored(to_media(df, text, key), "media"))
+    """The rows of :func:`from_media` for media that were stored: each task writes files to the shared folder, closes them, reads
+    them back from there, and removes them. Together the media of plain text are larger than their texts, which is why they do not stay."""
+    folder = fresh_folder(df.sparkSession, "media")
+    chosen = df.select(column(key).alias("doc_id"), column(text).alias("t"))
+    kind = chosen.schema[0].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri, ids, sizes, ends in _containers(parts, folder):
+            files, path = open_fs(uri)
+            with files.open_input_file(path) as file:
+                for a, b in _groups(np.diff(ends).tolist(), BATCH_BYTES):
+                    data = file.read_at(ends[b] - ends[a], ends[a])
+                    own = [data[ends[i] - ends[a] : ends[i + 1] - ends[a]] for i in range(a, b)]
+                    yield _described(ids.slice(a, b - a), sizes.slice(a, b - a), own)
+            files.delete_file(path)
+
+    return chosen.mapInArrow(run, f"doc_id {kind}, {DESCRIBED}")
 
 
 def feature(payload: bytes) -> str:

@@ -207,3 +207,52 @@ def test_an_article_in_sibling_containers(body):
     b = [f"Second {LONG}", "Short.", f"Third {LONG}"]
     page = "<body><div><a>Home</a> <a>News</a> <a>About</a></div>" + body.format(a="".join(f"<p>{x}</p>" for x in a), b="".join(f"<p>{x}</p>" for x in b)) + "<div><a>Terms</a> <a>Contact</a></div>"
     assert main_text.main_text(page) == " ".join(a + b if body.index("{a}") < body.index("{b}") else b + a)
+
+
+def test_stored_media_and_pcm_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flac, "CONTAINER_BYTES", 3000)
+    monkeypatch.setattr(flac, "BATCH_BYTES", 2000)
+    rows = [(i, (None, "", "abc é " * (50 * i), "x" * 1500)[i % 4]) for i in range(12)] + [(2, "abc é " * 100)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, media string").repartition(2)
+    direct = sorted(map(tuple, flac.from_media(flac.to_media(df)).collect()))
+    assert sorted(map(tuple, flac.round_trip(df).collect())) == direct
+    index = flac.write_media(df, f"file://{tmp_path}/media")
+    assert index.select("uri").distinct().count() > 2
+    media = flac.read_media(index)
+    assert sorted(map(tuple, flac.from_media(media).collect())) == direct
+    long = spark.createDataFrame([(1, "0123456789" * 200_000), (2, "short")], "doc_id long, text string")
+    flac.pcm_blocks(flac.to_media(long)).write.parquet(f"{tmp_path}/pcm")
+    blocks = spark.read.parquet(f"{tmp_path}/pcm")
+    whole = padded(b"0123456789" * 200_000)
+    assert blocks.where("doc_id = 1").count() == -(-len(whole) // flac.PCM_BLOCK) == 2
+    for a, b in ((0, 9), (flac.PCM_BLOCK - 5, flac.PCM_BLOCK + 5), (len(whole) - 3, len(whole) + 9)):
+        assert flac.read_samples(blocks, 1, a, b) == whole[a:b]
+    assert flac.read_samples(blocks, 3, 0, 9) == b""
+    assert flac.round_trip(df.limit(0)).count() == 0
+
+
+def without_table(stream, every=None):
+    """The stream with every so many seek points, or with no seek table."""
+    info, size = stream[: 4 + 38], int.from_bytes(stream[4 + 38 + 1 : 4 + 38 + 4], "big")
+    table, rest = stream[46 : 46 + size], stream[46 + size :]
+    if every is None:
+        return b"fLaC" + bytes([0x80]) + info[5:] + rest
+    points = b"".join(table[i : i + 18] for i in range(0, len(table), 18 * every)) + b"\xff" * 18
+    return info + b"\x83" + len(points).to_bytes(3, "big") + points + rest
+
+
+def test_thin_and_missing_seek_tables_are_walked():
+    for text in TEXTS[2:]:
+        (stream,) = flac.encode_payloads([text])
+        for every in (None, 1, 2, 7):
+            other = without_table(stream, every)
+            assert flac.decode_payloads([other, stream]) == [padded(text)] * 2
+            assert flac.Stream(other).read(other, 3, 500) == padded(text)[3:500]
+
+
+def test_lpc_subframes_are_written_where_they_are_shortest():
+    wave = (100 * np.sin(np.arange(flac.FRAME * 3) / 9)).astype(np.int8)
+    (stream,) = flac.encode_payloads([(wave.view(np.uint8) ^ 128).tobytes()])
+    found = flac.Stream(stream)
+    assert {stream[at + 6] >> 1 for at in found.offsets} == {31 + flac.LPC_ORDER}
+    assert len(stream) < 0.6 * len(wave) and flac.decode_payloads([stream]) == [(wave.view(np.uint8) ^ 128).tobytes()]
