@@ -30,7 +30,7 @@ def sentiment_hundredths(text: Column, lexicon: Lexicon) -> Column:
 
 
 def _pairs(taxonomy: Taxonomy, kind: str) -> list[tuple[str, str, str]]:
-    return [(term.lower(), label, term) for label, terms in taxonomy.labels[kind] for term in terms]
+    return [(term.lower(), label, term) for label, terms in taxonomy.labels[kind].items() for term in terms]
 
 
 def longest_label(text: Column, taxonomy: Taxonomy, kind: str) -> Column:

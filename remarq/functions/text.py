@@ -87,11 +87,7 @@ def author_hash(*ids: Column) -> Column:
 
 def safe_int(value: Column) -> Column:
     """Truncated towards zero; what is no number is 0."""
-    return F.coalesce(F.expr("try_cast(try_cast({} as double) as bigint)".format(_sql(value))) if isinstance(value, str) else value.try_cast("double").try_cast("bigint"), F.lit(0))
-
-
-def _sql(name: str) -> str:
-    return f"`{name}`"
+    return F.coalesce(value.try_cast("double").try_cast("bigint"), F.lit(0))
 
 
 def epoch_iso(value: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: the warning of the quality report.
+# The warning of the quality report, the title of a thread without one.
 SMALL_SAMPLE = "样本量较小，仅适合演示"
+UNNAMED = "未命名帖子"
 
 
 def tier(n: Column) -> Column:
@@ -18,11 +19,14 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def quality_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """One row: counts, duplicate and noise shares, language histogram, confidence tier, warning."""
-    n_raw = raw.agg(F.count("*").alias("raw_count"))
-    counts = cleaned.agg(F.count("*").alias("clean_count"), F.count_if(~F.col("is_duplicate")).alias("dedup_count"))
-    languages = cleaned.groupBy("language").count().agg(F.map_from_entries(F.collect_list(F.struct("language", "count"))).alias("language_distribution"))
-    one = n_raw.join(counts, F.lit(True)).join(languages, F.lit(True))
+    """One row: counts, duplicate and noise shares, language histogram, confidence tier, warning. One pass over each table."""
+    by_language = cleaned.groupBy("language").agg(F.count("*").alias("n"), F.count_if(~F.col("is_duplicate")).alias("kept"))
+    counts = by_language.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("clean_count"),
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("dedup_count"),
+        F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("language_distribution"),
+    )
+    one = raw.agg(F.count("*").alias("raw_count")).join(F.broadcast(counts), F.lit(True))
     return one.select(
         "raw_count",
         "clean_count",
@@ -35,6 +39,22 @@ def quality_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     )
 
 
+def with_noise_ratio(quality: DataFrame, noise: DataFrame) -> DataFrame:
+    """A quality report whose noise share is the clusters', where a run has rows; both are tables of one row."""
+    own = noise.select(F.col("noise_ratio").alias("__of_clusters"))
+    return quality.join(F.broadcast(own), F.lit(True)).withColumn("noise_ratio", F.when(F.col("dedup_count") > 0, F.col("__of_clusters")).otherwise(F.col("noise_ratio"))).drop("__of_clusters")
+
+
+def fallback_quality(cleaned: DataFrame) -> DataFrame:
+    """The quality report where none was kept: from the comments alone, as if they were the raw ones."""
+    return quality_report(cleaned, cleaned)
+
+
+def dashboard(tasks: DataFrame) -> DataFrame:
+    """One row over a table of tasks: all, completed, and of each sport."""
+    return tasks.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), *(F.count_if(F.col("domain") == d).alias(d) for d in ("basketball", "football")))
+
+
 def distribution(df: DataFrame, column: str, name: str = "value") -> DataFrame:
     return df.groupBy(F.col(column).alias(name)).agg(F.count("*").alias("n"))
 
@@ -53,15 +73,16 @@ def negative_ratio(df: DataFrame) -> DataFrame:
 
 
 def label_report(df: DataFrame, field: str) -> DataFrame:
-    """A row per category of a label struct: count, share of the non-duplicates, top 3 by likes, sentiment histogram."""
-    own = df.where(~F.col("is_duplicate"))
-    total = own.agg(F.count("*").alias("total"))
-    named = own.where(F.col(field).isNotNull()).withColumn("category", F.col(f"{field}.category"))
-    counts = named.groupBy("category").agg(F.count("*").alias("n"))
+    """A row per category of a label struct: count, share of the non-duplicates, top 3 by likes, sentiment histogram.
+
+    One pass counts, the rows without a label too; another keeps three rows of a category in every task before they are shuffled.
+    """
+    own = df.where(~F.col("is_duplicate")).select(F.col(f"{field}.category").alias("category"), F.col("sentiment.label").alias("mood"))
+    cells = own.groupBy("category", "mood").agg(F.count("*").alias("c"))
+    counts = cells.groupBy("category").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("mood", "c"))).alias("sentiment_distribution"))
+    shares = counts.withColumn("total", F.sum("n").over(Window.partitionBy())).where("category is not null")  # a row per category
     top = label_examples(df, field).groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cleaned_content"))), lambda x: x["cleaned_content"]).alias("examples"))
-    moods = named.groupBy("category", F.col("sentiment.label").alias("mood")).count().groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("mood", "count"))).alias("sentiment_distribution"))
-    met = counts.join(F.broadcast(total), F.lit(True)).join(top, "category").join(moods, "category")
-    return met.select("category", "n", _ratio(F.col("n"), F.col("total")).alias("ratio"), "examples", "sentiment_distribution").orderBy(F.desc("n"), "category")
+    return shares.join(F.broadcast(top), "category").select("category", "n", _ratio(F.col("n"), F.col("total")).alias("ratio"), "examples", "sentiment_distribution").orderBy(F.desc("n"), "category")
 
 
 def label_examples(df: DataFrame, field: str, k: int = 3) -> DataFrame:
@@ -71,14 +92,17 @@ def label_examples(df: DataFrame, field: str, k: int = 3) -> DataFrame:
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("category", "rank", "seq", "like_count", "cleaned_content")
 
 
-def threads(df: DataFrame, k: int = 10) -> DataFrame:
-    """The first k threads: key (thread, else url, else id), comments, first text; in order of appearance."""
-    def given(name: str) -> Column:
-        return F.when(F.col(name) != "", F.col(name))
+def _given(name: str) -> Column:
+    return F.when(F.col(name) != "", F.col(name))
+
 
-    keyed = df.withColumn("thread_key", F.coalesce(given("thread_id"), given("source_url"), F.col("id")))
-    grouped = keyed.groupBy("thread_key").agg(F.count("*").alias("n_comments"), F.min("seq").alias("first_seq"), F.min_by("content", "seq").alias("first_content"))
-    return grouped.orderBy("first_seq").limit(k)
+def threads(df: DataFrame, k: int = 10) -> DataFrame:
+    """The first k threads in order of appearance: key (thread, else url, else id), title (else topic), excerpt, url, comments, first text."""
+    have = df.withColumns({c: F.lit(None).cast("string") for c in ("thread_title", "thread_excerpt", "topic") if c not in df.columns})
+    keyed = have.withColumn("thread_key", F.coalesce(_given("thread_id"), _given("source_url"), F.col("id")))
+    first = F.min_by(F.struct(F.coalesce(_given("thread_title"), _given("topic"), F.lit(UNNAMED)).alias("title"), F.coalesce("thread_excerpt", F.lit("")).alias("excerpt"), F.coalesce("source_url", F.lit("")).alias("url"), "content"), "seq")
+    grouped = keyed.groupBy("thread_key").agg(F.count("*").alias("n_comments"), F.min("seq").alias("first_seq"), first.alias("f"))
+    return grouped.orderBy("first_seq").limit(k).select("thread_key", "f.title", "f.excerpt", "f.url", "n_comments", "first_seq", F.col("f.content").alias("first_content"))
 
 
 def thread_contents(df: DataFrame, per_thread: int = 3) -> DataFrame:
@@ -110,8 +134,8 @@ def dominant_topic(clusters: DataFrame) -> DataFrame:
     return clusters.where(~F.col("is_noise")).orderBy(F.desc("cluster_size"), "cluster_id").limit(1)
 
 
-def drill_down(df: DataFrame, keyword: str | None = None, label: str | None = None, cluster_id: int | None = None) -> DataFrame:
-    """Rows by keyword (any case), sentiment label or cluster."""
+def drill_down(df: DataFrame, keyword: str | None = None, label: str | None = None, cluster_id: int | None = None, k: int = 36) -> DataFrame:
+    """Rows by keyword (any case), sentiment label or cluster; without any of these the first k that represent their cluster."""
     out = df
     if keyword:
         out = out.where(F.lower("cleaned_content").contains(keyword.lower()))
@@ -119,9 +143,16 @@ def drill_down(df: DataFrame, keyword: str | None = None, label: str | None = No
         out = out.where(F.col("sentiment.label") == label)
     if cluster_id is not None:
         out = out.where(F.col("cluster_id") == cluster_id)
+    if not keyword and not label and cluster_id is None:
+        return out.where(F.col("representative_reason") != "").orderBy("seq").limit(k)
     return out
 
 
+def remapped(df: DataFrame, task: str) -> DataFrame:
+    """Rows under ids that are unique over all tasks, with the id that they had."""
+    return df.withColumns({"original_id": F.col("id"), "id": F.concat_ws(":", F.lit(task), F.col("id"))})
+
+
 def annotated(df: DataFrame, representatives: DataFrame | None = None, reason: str = "representative") -> DataFrame:
     """The read model: a comment with its scores, and why it represents its cluster if it does."""
     out = df.select("seq", "id", "platform", "content", "cleaned_content", "language", "like_count", "quality_score", "is_duplicate", "cluster_id", F.col("sentiment.label").alias("sentiment_label"), F.col("sentiment.score").alias("sentiment_score"), F.col("painpoint.category").alias("painpoint_category"), F.col("positive_attribution.category").alias("positive_category"), F.col("stance.label").alias("stance_label"))

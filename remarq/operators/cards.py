@@ -48,20 +48,15 @@ def confidence_reason(n: Column, total: Column) -> Column:
 
 
 def candidates(df: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """Rows (kind, category, seq, id, ...) of all groups: pain labels, positive labels, names of clusters that are no noise."""
+    """Rows (kind, category, seq, id, ...) of all groups: pain labels, positive labels, names of clusters that are no noise. One pass over the comments."""
     own = df.where(~F.col("is_duplicate"))
-    rest = ["seq", "id", "content", "cleaned_content", "source_url", "like_count"]
-    parts = [
-        own.where(F.col("painpoint").isNotNull()).select(F.lit(0).alias("kind"), F.col("painpoint.category").alias("category"), *rest),
-        own.where(F.col("positive_attribution").isNotNull()).select(F.lit(1).alias("kind"), F.col("positive_attribution.category").alias("category"), *rest),
-    ]
+    groups = [F.struct(F.lit(0).alias("kind"), F.col("painpoint.category").alias("category")), F.struct(F.lit(1).alias("kind"), F.col("positive_attribution.category").alias("category"))]
     if clusters is not None:
-        names = clusters.where(~F.col("is_noise")).select("cluster_id", F.col("cluster_name").alias("category"))
-        parts.append(own.join(names, "cluster_id").select(F.lit(2).alias("kind"), "category", *rest))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where(F.col("category") != "")
+        names = clusters.where(~F.col("is_noise")).select("cluster_id", "cluster_name")
+        own = own.join(F.broadcast(names), "cluster_id", "left")  # a row per cluster
+        groups.append(F.struct(F.lit(2).alias("kind"), F.col("cluster_name").alias("category")))
+    given = F.filter(F.array(*groups), lambda g: F.coalesce(g["category"], F.lit("")) != "")
+    return own.select(F.explode(given).alias("g"), "seq", "id", "content", "cleaned_content", "source_url", "like_count").select("g.kind", "g.category", "seq", "id", "content", "cleaned_content", "source_url", "like_count")
 
 
 def evidence(rows: DataFrame) -> DataFrame:

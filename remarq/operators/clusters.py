@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Taxonomy
+from ..storage import stored
 
 # Names that appear in results.
 NOISE_KEY, NOISE_NAME = "__noise__", "噪声/低信息评论"
@@ -48,12 +49,6 @@ def numbered(df: DataFrame, key: str = "cluster_key") -> DataFrame:
     return sizes.withColumn("cluster_id", F.when(F.col("cluster_key") == NOISE_KEY, -1).otherwise(ranked))
 
 
-def rule_clusters(df: DataFrame, tax: Taxonomy) -> DataFrame:
-    """Comments with ``cluster_key`` and ``cluster_id``."""
-    keyed = rule_key(df, tax)
-    return keyed.join(numbered(keyed).select("cluster_key", "cluster_id"), "cluster_key")
-
-
 def k_for(n: int) -> int:
     return max(2, min(6, int(n**0.5)))
 
@@ -76,6 +71,14 @@ def kmeans_clusters(df: DataFrame, vector: str = "embedding", seed: int = SEED,
     return found.unionByName(df.where("is_noise_row").withColumn("cluster_label", F.lit(-1)))
 
 
+def have_vectors(df: DataFrame, vector: str = "embedding") -> bool:
+    """Whether every row has a vector that is not empty; a table without rows or without the column has none."""
+    if vector not in df.columns:
+        return False
+    bad, n = df.agg(F.count_if(F.coalesce(F.size(vector), F.lit(0)) <= 0), F.count("*")).first()
+    return n > 0 and not bad
+
+
 def method_for(n: int, vectors: bool = True) -> str:
     """The method ladder: k-means from 12 rows on if all have vectors, else rules."""
     return "kmeans" if n >= 12 and vectors else "rules"
@@ -93,8 +96,12 @@ def mode_label(df: DataFrame, tax: Taxonomy) -> DataFrame:
     label = F.coalesce("painpoint.category", "positive_attribution.category")
     named = top_counts(df.where(label.isNotNull()).withColumn("label", label), ["cluster_id"], "label", 1).select("cluster_id", "label")
     stances = top_counts(df.withColumn("stance_label", F.col("stance.label")), ["cluster_id"], "stance_label", 1).select("cluster_id", "stance_label")
-    talk = F.when(F.col("stance_label") == tax.names("stance")[-1], NEUTRAL_NAME).otherwise(F.concat("stance_label", F.lit(TALK)))
-    return stances.join(named, "cluster_id", "left").select("cluster_id", F.coalesce("label", talk).alias("base_name"))
+    return stances.join(named, "cluster_id", "left").select("cluster_id", F.coalesce("label", _talk(tax)).alias("base_name"))
+
+
+def _talk(tax: Taxonomy) -> Column:
+    """The name that a stance gives to a cluster without labels."""
+    return F.when(F.col("stance_label") == tax.names("stance")[-1], NEUTRAL_NAME).otherwise(F.concat("stance_label", F.lit(TALK)))
 
 
 def keywords(df: DataFrame, k: int = 6) -> DataFrame:
@@ -119,21 +126,39 @@ def representatives(df: DataFrame, k: int = 3) -> DataFrame:
     return df.where(~F.col("is_duplicate")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("cluster_id", "rank", "seq", "id")
 
 
+def sizes(df: DataFrame) -> DataFrame:
+    """cluster_id, cluster_size and is_noise of the non-duplicates' clusters; one pass."""
+    counted = df.where(~F.col("is_duplicate")).groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), F.bool_and("is_noise_row").alias("all_noise"))
+    return counted.select("cluster_id", "cluster_size", ((F.col("cluster_id") == -1) | F.col("all_noise")).alias("is_noise"))
+
+
 def summary(df: DataFrame, tax: Taxonomy, method: str = "rules") -> DataFrame:
-    """A row per cluster: size, share of the non-duplicates, noise flag, name, keywords, sentiment histogram, examples."""
+    """A row per cluster: size, share of the non-duplicates, noise flag, name, keywords, sentiment histogram, examples.
+
+    Labels, stances and moods are counted in one pass, into cells that only their numbers bound; two more passes find keywords and examples.
+    """
     own = df.where(~F.col("is_duplicate"))
-    total = own.agg(F.count("*").alias("total"))
-    base = own.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), F.bool_and("is_noise_row").alias("all_noise"))
-    moods = top_counts(own.withColumn("mood", F.col("sentiment.label")), ["cluster_id"], "mood", 99)
-    histogram = moods.groupBy("cluster_id").agg(F.map_from_entries(F.collect_list(F.struct("mood", "n"))).alias("sentiment_distribution"), F.min_by("mood", "rank").alias("mood"))
+    label = F.coalesce("painpoint.category", "positive_attribution.category")
+    cells = own.groupBy("cluster_id", label.alias("label"), F.col("stance.label").alias("stance_label"), F.col("sentiment.label").alias("mood")).agg(F.count("*").alias("c"), F.min("seq").alias("f"), F.bool_and("is_noise_row").alias("noisy"))
+    cells = stored(cells, "cluster-cells")
+    base = cells.groupBy("cluster_id").agg(F.sum("c").alias("cluster_size"), F.bool_and("noisy").alias("all_noise"))
+    base = base.withColumn("total", F.sum("cluster_size").over(Window.partitionBy()))  # a row per cluster
+
+    def first_of(column: str) -> DataFrame:
+        counted = cells.where(F.col(column).isNotNull()).groupBy("cluster_id", column).agg(F.sum("c").alias("n"), F.min("f").alias("f"))
+        place = F.struct((-F.col("n")).alias("a"), "f", column)
+        return counted.groupBy("cluster_id").agg(F.min_by(column, place).alias(column), F.map_from_entries(F.collect_list(F.struct(column, "n"))).alias(f"{column}_counts"))
+
     words = keywords(own).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("top_keywords"))
     texts = examples(own).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cleaned_content"))), lambda x: x["cleaned_content"]).alias("representative_comments"))
-    met = base.join(mode_label(own, tax), "cluster_id").join(histogram, "cluster_id").join(words, "cluster_id", "left").join(texts, "cluster_id", "left").join(F.broadcast(total), F.lit(True))
+    met = base
+    for part in (first_of("label"), first_of("stance_label"), first_of("mood"), words, texts):
+        met = met.join(F.broadcast(part), "cluster_id", "left")  # a row per cluster each
     noisy = (F.col("cluster_id") == -1) | F.col("all_noise")
     mood = F.coalesce(F.create_map(*(F.lit(x) for kv in SENTIMENT_NAMES.items() for x in kv))[F.col("mood")], F.col("mood"))
     shown = F.coalesce(F.when(F.size("top_keywords") > 0, F.array_join(F.slice("top_keywords", 1, 3), "、")), F.lit(NO_KEYWORDS))
-    name = F.when(noisy, NOISE_NAME).otherwise(F.substring(F.concat_ws("｜", "base_name", shown, mood), 1, 80))
-    return met.select("cluster_id", name.alias("cluster_name"), "cluster_size", F.round(F.col("cluster_size") / F.col("total"), 4).alias("cluster_ratio"), F.coalesce("top_keywords", F.array().cast("array<string>")).alias("top_keywords"), "sentiment_distribution", F.lit(method).alias("method"), noisy.alias("is_noise"), "representative_comments")
+    name = F.when(noisy, NOISE_NAME).otherwise(F.substring(F.concat_ws("｜", F.coalesce("label", _talk(tax)), shown, mood), 1, 80))
+    return met.select("cluster_id", name.alias("cluster_name"), "cluster_size", F.round(F.col("cluster_size") / F.col("total"), 4).alias("cluster_ratio"), F.coalesce("top_keywords", F.array().cast("array<string>")).alias("top_keywords"), F.col("mood_counts").alias("sentiment_distribution"), F.lit(method).alias("method"), noisy.alias("is_noise"), F.coalesce("representative_comments", F.array().cast("array<string>")).alias("representative_comments"))
 
 
 def noise_ratio(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -14,15 +14,17 @@ from ..functions import text
 THRESHOLD = 0.92
 #: Rows that are compared with the leaders at once.
 BLOCK = 256
+#: Comments of a task, at most: the limit of a run's configuration.
+MOST_ROWS = 5000
 
 
 def exact(df: DataFrame, body: str = "cleaned_content") -> DataFrame:
     """``content_hash``, ``is_duplicate`` and ``duplicate_group_id`` by hash alone, over the whole table.
 
     The first row of every hash comes from an aggregation that combines before its shuffle; a text that a third of all rows share costs one
-    row per task there, and the join that hands it back is one that adaptive execution splits.
+    row per task there, and the join that hands it back is one that adaptive execution splits. It reads ``df`` twice: give it a stored table.
     """
-    hashed = df.withColumn("content_hash", text.content_hash(F.col(body)))
+    hashed = df if "content_hash" in df.columns else df.withColumn("content_hash", text.content_hash(F.col(body)))
     first = hashed.groupBy("content_hash").agg(F.min("seq").alias("__first"))
     met = hashed.join(first, "content_hash")
     return met.withColumns({"is_duplicate": F.col("seq") != F.col("__first"), "duplicate_group_id": F.when(F.col("seq") != F.col("__first"), text.group_id(F.col("content_hash")))}).drop("__first")
@@ -59,16 +61,18 @@ def _greedy(ids: np.ndarray, hashes: np.ndarray, vectors: np.ndarray, theta: flo
     return of
 
 
-def near(df: DataFrame, theta: float = THRESHOLD, task: str = "task_id", body: str = "cleaned_content") -> DataFrame:
+def near(df: DataFrame, theta: float = THRESHOLD, task: str = "task_id", body: str = "cleaned_content", most: int = MOST_ROWS) -> DataFrame:
     """Hash and cosine duplicates inside every task, in order of ``seq``: is_duplicate, duplicate_group_id, leader_seq.
 
     Whom a leader claims depends on all rows before, so a task's rows go to one worker; tasks are bounded by
-    their comment limit and are spread over the cluster. A worker holds a task's vectors and compares blocks of rows with the leaders.
+    their comment limit (more than ``most`` rows are an error) and are spread over the cluster. A worker holds a task's vectors and compares blocks of rows with the leaders.
     """
     ready = df.withColumns({"content_hash": text.content_hash(F.col(body)), "embedding": text.embedding(F.col(body))})
     schema = "task string, seq long, leader_seq long"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) > most:
+            raise ValueError(f"task {group['task'].iloc[0]} has {len(group)} comments; near duplicates are found in tasks of {most} at most")
         rows = group.sort_values("seq", kind="stable")
         vectors = np.array(rows["embedding"].tolist(), float).reshape(len(rows), -1)
         of = _greedy(rows["seq"].to_numpy(), rows["content_hash"].to_numpy(), vectors, theta)
@@ -134,9 +138,3 @@ def group_sizes(df: DataFrame) -> DataFrame:
     """Hashes that several rows share: size, first seq."""
     return df.groupBy("content_hash").agg(F.count("*").alias("n_rows"), F.min("seq").alias("first_seq")).where("n_rows > 1")
 
-
-def rank_in_group(df: DataFrame, key: str = "content_hash") -> DataFrame:
-    """Place of each row among those of its hash."""
-    return df.withColumn("copy", F.row_number().over(Window.partitionBy(key).orderBy("seq")) - 1)
-
-

@@ -14,34 +14,59 @@ REFERENCE_TERMS = ("官方", "官网", "裁判报告", "联盟公告")
 INFORMATION_TERMS = ("数据", "统计", "正负值", "命中率", "投篮", "三分", "篮板", "助攻", "抢断", "盖帽", "失误", "比分", "效率", "轮换", "阵容", "伤病", "判罚", "裁判", "战术", "热区", "薪资")
 OCR_TERMS = ("pts", "reb", "ast", "stl", "blk", "fg", "3pt", "score", "final", "injury", "out", "questionable", "referee", "official", "report", "得分", "篮板", "助攻", "抢断", "盖帽", "命中率", "伤病", "缺阵", "裁判", "报告")
 AUTHORITY_RANK = {"official": 4, "official_reference": 3, "editorial": 2, "community_data": 1}
+OFFICIAL_REASON, AUTHORITY_REASON, INFORMATION_REASON, MATCH_REASON = "官方体育域名", "权威来源信号：", "数据/赛事信号：", "匹配当前比赛或球队"
+LOW_VALUE, NO_SIGNAL, NO_RELEVANCE = "图片信息量低", "OCR 未提供足够的可见数据或报告信号", "与当前比赛相关性不足"
+RELEVANCE, LEVELS = ("high", "medium", "low", "unrelated"), ("high", "medium", "low")
 # End of fixed values.
+#: Fields of an answer about an image.
+ANSWER = "url string, status string, summary string, ocr_text string, data_points array<string>, relevance string, information_value string, confidence string, model string"
 
 
-def _count(body: Column, terms: tuple[str, ...]) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: body.contains(t))) if terms else F.lit(0)
+def _hits(body: Column, terms: tuple[str, ...]) -> Column:
+    """The terms that occur, in order of spelling."""
+    return F.array_sort(F.filter(F.array(*map(F.lit, terms)), lambda t: body.contains(t))) if terms else F.array().cast("array<string>")
 
 
 def source_score(df: DataFrame, match_terms: tuple[str, ...] = (), information: tuple[str, ...] = INFORMATION_TERMS) -> DataFrame:
-    """``information_score`` and ``authority_level`` from title, summary, source_url and source_kind."""
+    """``information_score``, ``authority_level`` and ``selection_reasons`` from title, summary, source_url and source_kind."""
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     official = F.lit(False)
     for domain in OFFICIAL_DOMAINS:
         official = official | (host == domain) | host.endswith(f".{domain}")
-    score = F.when(official, 4).otherwise(0) + F.when(_count(body, AUTHORITY_TERMS) > 0, 3).otherwise(0) + F.least(F.lit(4), _count(body, information)) + F.when(_count(body, match_terms) > 0, 1).otherwise(0)
-    level = F.when(official, "official").when(_count(body, REFERENCE_TERMS) > 0, "official_reference").when((F.col("source_kind") == "news") | body.contains("流言板"), "editorial").otherwise("community_data")
-    return df.withColumns({"information_score": score, "authority_level": level})
+    found, told, ours = _hits(body, AUTHORITY_TERMS), _hits(body, information), F.size(_hits(body, match_terms)) > 0
+    score = F.when(official, 4).otherwise(0) + F.when(F.size(found) > 0, 3).otherwise(0) + F.least(F.lit(4), F.size(told)) + F.when(ours, 1).otherwise(0)
+    level = F.when(official, "official").when(F.size(_hits(body, REFERENCE_TERMS)) > 0, "official_reference").when((F.col("source_kind") == "news") | body.contains("流言板"), "editorial").otherwise("community_data")
+    reasons = F.array_compact(
+        F.array(
+            F.when(official, F.lit(OFFICIAL_REASON)),
+            F.when(F.size(found) > 0, F.concat(F.lit(AUTHORITY_REASON), F.array_join(F.slice(found, 1, 3), "、"))),
+            F.when(F.size(told) > 0, F.concat(F.lit(INFORMATION_REASON), F.array_join(F.slice(told, 1, 4), "、"))),
+            F.when(ours, F.lit(MATCH_REASON)),
+        )
+    )
+    return df.withColumns({"information_score": score, "authority_level": level, "selection_reasons": reasons})
 
 
 def thread_candidates(df: DataFrame) -> DataFrame:
-    """The first comment of each thread that has images: title, summary, url, images."""
-    with_images = df.where(F.size(F.coalesce("thread_image_urls", F.array().cast("array<string>"))) > 0)
-    first = with_images.groupBy("thread_id").agg(F.min_by(F.struct("seq", "thread_title", "thread_excerpt", "source_url", "thread_image_urls"), "seq").alias("f"))
-    return first.select(F.col("f.seq").alias("seq"), F.col("f.thread_title").alias("title"), F.col("f.thread_excerpt").alias("summary"), F.col("f.source_url").alias("source_url"), F.col("f.thread_image_urls").alias("image_urls"), F.lit("thread").alias("source_kind"))
+    """The first comment of each thread (by its id, else its url) if that has images: title (else topic), summary, url, images."""
+    kinds = {"thread_id": "string", "thread_title": "string", "thread_excerpt": "string", "topic": "string", "source_url": "string", "thread_image_urls": "array<string>"}
+    whole = df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
+
+    def given(name: str) -> Column:
+        return F.when(F.col(name) != "", F.col(name))
+
+    keyed = whole.withColumn("key", F.coalesce(given("thread_id"), given("source_url"))).where("key is not null")
+    first = keyed.groupBy("key").agg(F.min_by(F.struct("seq", F.coalesce(given("thread_title"), "topic", F.lit("")).alias("title"), "thread_excerpt", "source_url", "thread_image_urls"), "seq").alias("f"))
+    images = informative_images(F.coalesce("f.thread_image_urls", F.array().cast("array<string>")))
+    found = first.select(F.col("f.seq").alias("seq"), F.col("f.title").alias("title"), F.coalesce("f.thread_excerpt", F.lit("")).alias("summary"), F.coalesce("f.source_url", F.lit("")).alias("source_url"), images.alias("image_urls"), F.lit("thread").alias("source_kind"))
+    return found.where(F.size("image_urls") > 0)
 
 
 def news_candidates(items: DataFrame) -> DataFrame:
-    return items.where((F.col("status") != "error") & (F.size("image_urls") > 0)).select("seq", "title", "summary", "source_url", "image_urls", F.lit("news").alias("source_kind"))
+    """Context items that were read and have images."""
+    usable = items.where(F.col("status") != "error").withColumn("image_urls", informative_images(F.coalesce("image_urls", F.array().cast("array<string>"))))
+    return usable.where(F.size("image_urls") > 0).select("seq", "title", "summary", "source_url", "image_urls", F.lit("news").alias("source_kind"))
 
 
 def informative_images(urls: Column, most: int = 4) -> Column:
@@ -60,18 +85,56 @@ def ranked_sources(candidates: DataFrame, least: int = 2) -> DataFrame:
     return candidates.where(F.col("information_score") >= least).withColumn("rank", F.row_number().over(order))
 
 
-def budgeted_images(ranked: DataFrame, budget: int) -> DataFrame:
-    """A row per distinct image in rank order; beyond the budget its status is ``skipped_limit``."""
-    each = ranked.select("rank", F.posexplode(informative_images(F.col("image_urls"))).alias("pos", "url"))
-    first = each.groupBy("url").agg(F.min(F.struct("rank", "pos")).alias("place")).select("url", "place.*")
+def budgeted_images(ranked: DataFrame, budget: int, enabled: bool = True) -> DataFrame:
+    """A row per distinct image in rank order, with its source; beyond the budget its status is ``skipped_limit``, without analysis ``disabled``."""
+    each = ranked.select("rank", "title", "source_url", "source_kind", "authority_level", "information_score", *(["selection_reasons"] if "selection_reasons" in ranked.columns else []), F.posexplode(informative_images(F.col("image_urls"))).alias("pos", "url"))
+    rest = [c for c in each.columns if c not in ("url", "rank", "pos")]
+    first = each.groupBy("url").agg(F.min(F.struct("rank", "pos")).alias("place"), F.min_by(F.struct(*rest), F.struct("rank", "pos")).alias("source")).select("url", "place.*", "source.*")
     place = F.row_number().over(Window.orderBy("rank", "pos"))
-    return first.withColumn("status", F.when(place <= budget, "selected").otherwise("skipped_limit"))
+    return first.withColumn("status", F.when(place <= budget, "selected").otherwise("skipped_limit") if enabled else F.lit("disabled"))
+
+
+def answer(url: str, reply: dict, model: str = "") -> dict:
+    """A service's reply about an image in bounded, known values."""
+
+    def text(value, most: int) -> str:
+        return ("；".join(str(x).strip() for x in value if str(x).strip()) if isinstance(value, list) else str(value or "").strip())[:most]
+
+    def choice(name: str, allowed: tuple[str, ...], fallback: str) -> str:
+        value = str(reply.get(name) or "").strip().lower()
+        return value if value in allowed else fallback
+
+    points = reply.get("data_points") or []
+    points = [text(p, 500) for p in (points if isinstance(points, list) else [points])]
+    return {
+        "url": url, "status": "completed", "summary": text(reply.get("summary"), 800), "ocr_text": text(reply.get("ocr_text"), 500), "data_points": [p for p in points if p][:16],
+        "relevance": choice("relevance", RELEVANCE, "medium"), "information_value": choice("information_value", LEVELS, "low"), "confidence": choice("confidence", LEVELS, "low"), "model": model,
+    }
+
+
+def analysed(images: DataFrame, service: Callable[[dict], dict] | None, model: str = "", tries: int = 2) -> list[dict]:
+    """An answer for each selected image. The service takes a source with one image; it is called on the driver, at most
+    ``tries`` times for each of a bounded number of images, and its failures are answers too."""
+    out = []
+    for row in images.where("status = 'selected'").orderBy("rank", "pos").collect():
+        if service is None:
+            out.append({"url": row["url"], "status": "skipped_missing_key", "model": model})
+            continue
+        for attempt in range(tries):
+            try:
+                out.append(answer(row["url"], service({**row.asDict(recursive=True), "image_urls": [row["url"]]}), model))
+                break
+            except Exception:  # noqa: BLE001  whatever the service throws
+                if attempt == tries - 1:
+                    out.append({"url": row["url"], "status": "error", "model": model})
+    return out
 
 
-def analysed(images: DataFrame, service: Callable[[list[str]], list[dict]]) -> list[dict]:
-    """The service's answers for the selected images; it is called on the driver, for a bounded number of images."""
-    urls = [r["url"] for r in images.where("status = 'selected'").orderBy("rank", "pos").select("url").collect()]
-    return service(urls) if urls else []
+def with_answers(images: DataFrame, answers: list[dict]) -> DataFrame:
+    """The images with what the service said of them, whether they count and, if analysed in vain, why not."""
+    said = images.sparkSession.createDataFrame([tuple(a.get(c.split()[0]) for c in ANSWER.split(", ")) for a in answers], ANSWER)
+    met = images.withColumnRenamed("status", "planned").join(F.broadcast(said), "url", "left")
+    return included(met.withColumn("status", F.coalesce("status", "planned")).drop("planned"))
 
 
 def ocr_informative(ocr: Column) -> Column:
@@ -81,14 +144,18 @@ def ocr_informative(ocr: Column) -> Column:
     period = low.rlike(r"\b(?:1st|2nd|3rd|4th|q[1-4])\b") | body.rlike("第[一二三四1-4]节")
     clock = body.rlike(r"\b\d{1,2}:\d{2}\b")
     numbers = F.size(F.regexp_extract_all(body, F.lit(r"(\d+(?:\.\d+)?)"), 1))
-    return (F.length(body) >= 6) & ~(period & clock) & ((numbers >= 2) | (_count(low, OCR_TERMS) > 0))
+    return (F.length(body) >= 6) & ~(period & clock) & ((numbers >= 2) | (F.size(_hits(low, OCR_TERMS)) > 0))
 
 
 def included(df: DataFrame) -> DataFrame:
-    """``included_in_summary`` of analysed images."""
-    good = ("high", "medium")
-    return df.withColumn("included_in_summary", (F.col("status") == "completed") & F.col("relevance").isin(*good) & F.col("information").isin(*good) & ocr_informative(F.col("ocr_text")))
+    """``included_in_summary`` of analysed images, and ``exclusion_reason``."""
+    good, done, told = ("high", "medium"), F.col("status") == "completed", ocr_informative(F.col("ocr_text"))
+    counts = F.coalesce(done & F.col("relevance").isin(*good) & F.col("information_value").isin(*good) & told, F.lit(False))
+    why = F.when(done & ~counts, F.when(F.col("information_value") == "low", LOW_VALUE).when(~told, NO_SIGNAL).otherwise(NO_RELEVANCE)).otherwise("")
+    return df.withColumns({"included_in_summary": counts, "exclusion_reason": F.coalesce(why, F.lit(""))})
 
 
 def evidence_view(df: DataFrame, most: int = 8) -> DataFrame:
-    return df.where("included_in_summary").orderBy("rank").limit(most)
+    """What prompts and reports show of the images that count."""
+    chosen = df.where("included_in_summary").orderBy("rank", "pos").limit(most)
+    return chosen.select("source_kind", "title", "source_url", "authority_level", "selection_reasons", F.col("summary").alias("visual_summary"), "ocr_text", "data_points", "relevance", "information_value", "confidence", "model", F.array("url").alias("image_urls"))

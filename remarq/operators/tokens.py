@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
@@ -69,13 +69,24 @@ def boost(key: Column, tax: Taxonomy) -> Column:
 def word_cloud(df: DataFrame, tax: Taxonomy, limit: int = 60) -> DataFrame:
     """word, df, weight of the most telling tokens. Tokens are distinct in a row, so term and document frequency are one.
 
-    Only one number (the rows with tokens) and one maximum are global; both are aggregates that join as single rows.
+    The number of rows with tokens joins as a single row; the largest score is that of the first of the top, so nothing else is global.
     """
     n = df.where(~F.col("is_duplicate") & (F.size("tokens") > 0)).agg(F.count("*").alias("n"))
     scored = document_frequency(df).join(F.broadcast(n), F.lit(True)).withColumn("score", F.col("df") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1) * boost(F.col("key"), tax))
     top = scored.orderBy(F.desc("score"), "key").limit(limit)
-    most = scored.agg(F.max("score").alias("most"))
-    return top.join(F.broadcast(most), F.lit(True)).select("word", "df", F.round(1 + F.col("score") / F.col("most") * 9, 3).alias("weight"))
+    return top.select("word", "df", F.round(1 + F.col("score") / F.max("score").over(Window.partitionBy()) * 9, 3).alias("weight"))
+
+
+def word_clouds(df: DataFrame, tax: Taxonomy) -> DataFrame:
+    """cloud ("all", "positive", "negative"), word, df, weight."""
+    parts = [word_cloud(of_polarity(df, c), tax).withColumn("cloud", F.lit(c)) for c in ("all", "positive", "negative")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def shown_words(cloud: DataFrame, most: int = 50) -> DataFrame:
+    """What a chart shows of a cloud: the first words of 2 to 12 characters, at a weight of one at least."""
+    tidy = cloud.withColumn("word", F.trim("word")).where(F.length("word").between(2, 12))
+    return tidy.orderBy(F.desc("weight"), "word").limit(most).withColumn("weight", F.greatest(F.col("weight"), F.lit(1.0)))
 
 
 def of_polarity(df: DataFrame, polarity: str) -> DataFrame:
@@ -88,8 +99,18 @@ def of_polarity(df: DataFrame, polarity: str) -> DataFrame:
     return df
 
 
+# The clouds' captions.
+CAPTIONS = {
+    "all": "全量词云基于 %d 条去重评论，用 TF-IDF 并提升领域词权重生成。",
+    "positive": "正向词云只统计 %d 条正向评论，用于观察被认可的选题角度。",
+    "negative": "负向词云只统计 %d 条负向评论，用于定位争议和风险表达。",
+}
+# End of fixed values.
+
+
 def captions(df: DataFrame) -> DataFrame:
-    """How many non-duplicates each of the three clouds describes."""
+    """How many non-duplicates each of the three clouds describes, and the clouds' captions."""
     own = df.where(~F.col("is_duplicate"))
     score = F.col("sentiment.score")
-    return own.agg(F.count("*").alias("n_all"), F.count_if(score > 0.1).alias("n_positive"), F.count_if(score < -0.1).alias("n_negative"))
+    counts = own.agg(F.count("*").alias("n_all"), F.count_if(score > 0.1).alias("n_positive"), F.count_if(score < -0.1).alias("n_negative"))
+    return counts.select("*", *(F.format_string(text, f"n_{c}").alias(f"caption_{c}") for c, text in CAPTIONS.items()))

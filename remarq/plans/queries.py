@@ -1,7 +1,8 @@
 """The queries over the driver's tables, each with the same rows in DuckDB SQL where SQL has them.
 
 Documents, conversations and pages stand in for comments, threads and articles: a document is a comment of its
-source, a conversation is a thread, a page is an article. The corpora are in Latin script, so the ``latin`` lexicon is used.
+source, a conversation is a thread, a page is an article. The corpora are in Latin script, so the ``latin`` lexicon is used; ``generated`` has the
+queries with the packaged lists. Every query reads and cleans its texts once: what several steps need is written to the shared folder in between.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.lexicon import LATIN_SENTIMENT, taxonomy
-from ..operators import aggregates, cards, clusters, comments, dedup, media, tokens
+from ..operators import aggregates, cards, clusters, comments, dedup, tokens
 from ..sources import articles
+from ..storage import spread, stored
 from ..streaming import trend
 from . import pipeline
+from .chain import Chain, histogram, normal_sql, quality_sql, quoted
 
 TAX = taxonomy("latin")
 KEYWORD = "moron"
@@ -45,7 +48,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("platform"), F.col("text").alias("content"), (F.col("n_chars") % 900).alias("like_count"), F.lit("").alias("source_url"), F.col("source").alias("thread_id"), "lang")
 
 
@@ -59,120 +62,34 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact(cleaned(spark, sf_dir))
+    hashed = cleaned(spark, sf_dir).select("seq", "language", text.content_hash(F.col("cleaned_content")).alias("content_hash"))
+    return dedup.exact(stored(hashed, "hashed"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments.labels(comments.sentiment(deduped(spark, sf_dir), LATIN_SENTIMENT), TAX)
+    rows = comments.labels(comments.sentiment(cleaned(spark, sf_dir), LATIN_SENTIMENT), TAX)
+    return dedup.exact(stored(rows.withColumn("content_hash", text.content_hash(F.col("cleaned_content"))), "scored"))
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.analysed(deduped(spark, sf_dir), "latin")
+    return dedup.exact(stored(pipeline.analysed(cleaned(spark, sf_dir), "latin"), "analysed"))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.with_clusters(marked(spark, sf_dir))
 
 
-# --- the same steps in SQL ---------------------------------------------------------------------
-
-
-def _quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _normal_sql(x: str) -> str:
-    out = f"coalesce({x}, '')"
-    out = f"trim(regexp_replace({out}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
-    for sign, word in text.EMOJI:
-        out = f"replace({out}, {_quoted(sign)}, {_quoted(word)})"
-    for pattern in ("@[^\\s\\p{Z}]+", "(^|[\\s\\p{Z}])(作者|置顶评论|回复|赞)([\\s\\p{Z}]|$)", "展开[\\s\\p{Z}]*\\d+[\\s\\p{Z}]*条回复", "<[^>]+>", "[^\\p{L}\\p{N}_，。！？、,.!?：:；;（）()\\-\\s\\p{Z}]"):
-        out = f"regexp_replace({out}, {_quoted(pattern)}, ' ', 'g')"
-    return f"trim(regexp_replace({out}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
-
-
-def _quality_sql(x: str) -> str:
-    short = f"lower(regexp_replace({x}, '[\\s\\p{{Z}}]+', '', 'g'))"
-    flood, telling = (", ".join(map(_quoted, w)) for w in (text.FLOOD, text.SHORT_BUT_TELLING))
-    adverts = "(?i)" + "|".join(text.ADVERTS)
-    return f"CASE WHEN {short} IN ({flood}) THEN 0.0::DOUBLE WHEN regexp_matches({x}, {_quoted(adverts)}) THEN 0.1 WHEN length({short}) <= 1 THEN 0.0 WHEN length({short}) <= 4 AND {short} NOT IN ({telling}) THEN 0.45 ELSE least(1.0::DOUBLE, 0.55::DOUBLE + length({short}) / 80.0::DOUBLE) END"
-
-
-def _language_sql(x: str) -> str:
-    return f"CASE WHEN length(regexp_replace({x}, '[^一-鿿]', '', 'g')) >= length(regexp_replace({x}, '[^A-Za-z]', '', 'g')) THEN 'zh' ELSE 'en' END"
-
-
-def _pairs(kind: str) -> list[tuple[str, str]]:
-    return [(t.lower(), label) for label, terms in TAX.labels[kind] for t in terms]
-
-
-def _label_sql(kind: str, x: str = "low") -> tuple[str, str]:
-    """label and confidence."""
-    pairs = _pairs(kind)
-    hit = " OR ".join(f"contains({x}, {_quoted(t)})" for t, _ in pairs)
-    if kind == "stance":
-        default, sure, unsure = TAX.names(kind)[-1], 0.78, 0.45
-    else:
-        pairs, default, sure, unsure = sorted(pairs, key=lambda p: -len(p[0])), TAX.names(kind)[0], 0.82, 0.55
-    label = "CASE " + " ".join(f"WHEN contains({x}, {_quoted(t)}) THEN {_quoted(v)}" for t, v in pairs) + f" ELSE {_quoted(default)} END"
-    return label, f"CASE WHEN {hit} THEN {sure}::DOUBLE ELSE {unsure}::DOUBLE END"
-
-
-def _hundredths_sql(x: str = "low") -> str:
-    each = " + ".join(f"CASE WHEN contains({x}, {_quoted(t.lower())}) THEN {w} ELSE 0 END" for t, w in LATIN_SENTIMENT.terms)
-    return f"greatest(-100, least(100, {each}))"
-
-
-def _tokens_sql() -> str:
-    """Keys of a row's tokens."""
-    cut = "[，。！？、；：,.!?;:()\\[\\]{}<>《》“”\"''|/\\\\\\-]+"
-    body = "regexp_replace(regexp_replace(regexp_replace(cleaned_content, 'https?://[^\\s\\p{Z}]+', ' ', 'g'), '@[^\\s\\p{Z}]+', ' ', 'g'), '#([^#]+)#', ' \\1 ', 'g')"
-    body = f"trim(regexp_replace(regexp_replace({body}, '{cut}', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
-    terms = ", ".join(_quoted(t.lower()) for t in sorted(TAX.known_terms) if len(t) > 1 and t.lower() not in TAX.stop_words)
-    stop = ", ".join(map(_quoted, TAX.stop_words))
-    words = "list_transform(regexp_extract_all(body, '([A-Za-z][A-Za-z0-9_-]+)', 1), lambda w: lower(w))"
-    keep = f"length(t) > 1 AND t NOT IN ({stop}) AND NOT regexp_full_match(t, '[0-9]+') AND NOT (regexp_full_match(t, '[0-9a-zA-Z_-]+') AND length(t) <= 2)"
-    known = f"list_filter([{terms}], lambda t: contains(lower(body), t))"
-    return f"SELECT *, list_distinct(list_filter(list_concat({known}, {words}), lambda t: {keep})) AS keys FROM (SELECT *, {body} AS body FROM l)"
-
+_SQL = Chain(
+    "SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id, source AS platform, source AS thread_id, text AS content, n_chars % 900 AS like_count, '' AS source_url, lang FROM documents",
+    TAX,
+    LATIN_SENTIMENT,
+)
+_C, _E, _L, _T, _K = _SQL.cleaned, _SQL.deduped, _SQL.labelled, _SQL.tokenized, _SQL.clustered
 
-_STANCE, _STANCE_SURE = _label_sql("stance")
-_PAIN, _PAIN_SURE = _label_sql("negative")
-_GOOD, _GOOD_SURE = _label_sql("positive")
-_FALLBACK = _quoted(TAX.names("stance")[-1])
-_KNOWN = ", ".join(_quoted(t) for t in sorted({t.lower() for t in TAX.known_terms}))
 
-_C = f"""WITH r AS MATERIALIZED (SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id, source AS platform, source AS thread_id, text AS content, n_chars % 900 AS like_count, lang, {_normal_sql('text')} AS cleaned_content FROM documents),
-c AS MATERIALIZED (SELECT *, {_quality_sql('cleaned_content')} AS quality_score, {_language_sql('cleaned_content')} AS language, lower(cleaned_content) AS low FROM r WHERE cleaned_content <> '' AND {_quality_sql('cleaned_content')} > 0.2)"""
-_E = (
-    _C
-    + """,
-h AS MATERIALIZED (SELECT *, sha1(regexp_replace(low, '[^\\p{L}\\p{N}_]+', '', 'g')) AS content_hash FROM c),
-e AS MATERIALIZED (SELECT *, seq <> min(seq) OVER (PARTITION BY content_hash) AS is_duplicate, CASE WHEN seq <> min(seq) OVER (PARTITION BY content_hash) THEN substr(content_hash, 1, 12) END AS duplicate_group_id FROM h)"""
-)
-_L = (
-    _E
-    + f""",
-s AS MATERIALIZED (SELECT *, {_hundredths_sql()} AS hundredths FROM e),
-l AS MATERIALIZED (SELECT *, hundredths / 100.0::DOUBLE AS score, CASE WHEN hundredths >= 55 THEN 'strong_positive' WHEN hundredths >= 15 THEN 'positive' WHEN hundredths <= -55 THEN 'strong_negative' WHEN hundredths <= -15 THEN 'negative' ELSE 'neutral' END AS label,
-  CASE WHEN hundredths < -10 THEN {_PAIN} END AS pain, CASE WHEN hundredths < -10 THEN {_PAIN_SURE} END AS pain_sure,
-  CASE WHEN hundredths > 10 THEN {_GOOD} END AS good, CASE WHEN hundredths > 10 THEN {_GOOD_SURE} END AS good_sure,
-  {_STANCE} AS stance, {_STANCE_SURE} AS stance_sure FROM s)"""
-)
-_T = (
-    _L
-    + f""",
-t AS MATERIALIZED ({_tokens_sql()}),
-n AS MATERIALIZED (SELECT *, NOT (coalesce(pain_sure >= 0.6, false) OR coalesce(good_sure >= 0.6, false) OR list_has_any(keys, [{_KNOWN}])) AND (stance = {_FALLBACK} OR length(trim(cleaned_content)) <= 8) AS is_noise_row FROM t)"""
-)
-_K = (
-    _T
-    + f""",
-k AS MATERIALIZED (SELECT *, CASE WHEN is_noise_row THEN '{clusters.NOISE_KEY}' ELSE coalesce(pain, good, CASE WHEN stance IN ('{clusters.INFORMATION}', {_FALLBACK}) THEN '{clusters.NEUTRAL_NAME}' ELSE stance || '{clusters.TALK}' END) END AS cluster_key FROM n),
-z AS MATERIALIZED (SELECT cluster_key, count(*) AS cluster_size FROM k WHERE NOT is_duplicate GROUP BY cluster_key),
-y AS MATERIALIZED (SELECT *, CASE WHEN cluster_key = '{clusters.NOISE_KEY}' THEN -1 ELSE row_number() OVER (ORDER BY cluster_key = '{clusters.NOISE_KEY}', cluster_size DESC, cluster_key) - 1 END AS cluster_id FROM z),
-g AS MATERIALIZED (SELECT k.*, CASE WHEN NOT is_duplicate THEN cluster_id END AS cluster_id FROM k LEFT JOIN y ON k.cluster_key = y.cluster_key)"""
-)
+def shown(counts):
+    """A map of counts as text, by key: what can be compared with SQL."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
 
 
 # --- text --------------------------------------------------------------------------------------
@@ -184,7 +101,7 @@ def normalize_text(spark, sf_dir):
     return d.select("seq", text.normalize(text.collapsed(F.coalesce("content", F.lit("")))).alias("cleaned_content"))
 
 
-@query(_C + f" SELECT seq, round({_quality_sql('cleaned_content')}, 6) AS quality_score FROM r")
+@query(_C + f" SELECT seq, round({quality_sql('cleaned_content')}, 6) AS quality_score FROM r")
 def quality_score(spark, sf_dir):
     return normalize_text(spark, sf_dir).select("seq", F.round(text.quality_score(F.col("cleaned_content")), 6).alias("quality_score"))
 
@@ -270,7 +187,7 @@ def has_earlier_near_dup(spark, sf_dir):
 
 @query()
 def near_dedup_leaders(spark, sf_dir):
-    t = comments.clean(turns(spark, sf_dir)).withColumn("task_id", F.col("platform"))
+    t = comments.clean(turns(spark, sf_dir)).withColumn("task_id", F.col("thread_id"))
     return dedup.near(t, NEAR).select("seq", "task_id", "is_duplicate", "leader_seq")
 
 
@@ -310,17 +227,22 @@ def label_classify(spark, sf_dir):
 
 
 def _topn_sql(field: str) -> str:
-    return _L + f" SELECT {field} AS category, count(*) AS n, round(count(*) / (SELECT count(*) FROM l WHERE NOT is_duplicate)::DOUBLE, 4) AS ratio FROM l WHERE NOT is_duplicate AND {field} IS NOT NULL GROUP BY {field}"
+    return f"""{_L}, own AS (SELECT *, row_number() OVER (PARTITION BY {field} ORDER BY like_count DESC, seq) AS i FROM l WHERE NOT is_duplicate AND {field} IS NOT NULL)
+SELECT {field} AS category, count(*) AS n, round(count(*) / (SELECT count(*) FROM l WHERE NOT is_duplicate)::DOUBLE, 4) AS ratio, string_agg(cleaned_content, '|' ORDER BY i) FILTER (i <= 3) AS examples, {histogram("label")} AS moods FROM own GROUP BY {field}"""
+
+
+def label_rows(df: DataFrame, field: str) -> DataFrame:
+    return aggregates.label_report(df, field).select("category", "n", "ratio", F.array_join("examples", "|").alias("examples"), shown(F.col("sentiment_distribution")).alias("moods"))
 
 
 @query(_topn_sql("pain"))
 def pain_labels(spark, sf_dir):
-    return aggregates.label_report(scored(spark, sf_dir), "painpoint").select("category", "n", "ratio")
+    return label_rows(stored(scored(spark, sf_dir), "deduped"), "painpoint")
 
 
 @query(_topn_sql("good"))
 def positive_labels(spark, sf_dir):
-    return aggregates.label_report(scored(spark, sf_dir), "positive_attribution").select("category", "n", "ratio")
+    return label_rows(stored(scored(spark, sf_dir), "deduped"), "positive_attribution")
 
 
 @query(_L + " SELECT pain AS category, CAST(rank AS INTEGER) AS rank, seq, like_count FROM (SELECT *, row_number() OVER (PARTITION BY pain ORDER BY like_count DESC, seq) AS rank FROM l WHERE NOT is_duplicate AND pain IS NOT NULL) WHERE rank <= 3")
@@ -350,33 +272,26 @@ SELECT raw_count, clean_count, dedup_count, round((clean_count - dedup_count) /
   CASE WHEN dedup_count < 100 THEN 'low' WHEN dedup_count < 300 THEN 'medium' ELSE 'high' END AS sample_confidence_level FROM q"""
 )
 def data_quality_report(spark, sf_dir):
-    q = aggregates.quality_report(documents(spark, sf_dir), deduped(spark, sf_dir))
+    q = aggregates.quality_report(_table(spark, sf_dir, "documents"), deduped(spark, sf_dir))
     return q.select("raw_count", "clean_count", "dedup_count", "duplicate_ratio", "noise_ratio", *(F.coalesce(F.try_element_at("language_distribution", F.lit(x)), F.lit(0)).alias(f"n_{x}") for x in ("en", "zh")), "sample_confidence_level")
 
 
 # --- tokens and clusters -----------------------------------------------------------------------
 
 
-_DF = _T + ", f AS MATERIALIZED (SELECT key, count(*) AS df FROM (SELECT unnest(keys) AS key FROM t WHERE NOT is_duplicate) GROUP BY key)"
-
-
-@query(_DF + " SELECT key, df FROM f")
+@query(_SQL.frequencies + " SELECT key, df FROM f")
 def doc_frequency(spark, sf_dir):
     return tokens.document_frequency(marked(spark, sf_dir)).select("key", "df")
 
 
-@query(
-    _DF
-    + f""", w AS (SELECT key, df, df * (ln(((SELECT count(*) FROM t WHERE NOT is_duplicate AND len(keys) > 0) + 1) / (df + 1)::DOUBLE) + 1) * CASE WHEN key IN ({_KNOWN}) THEN 1.75 WHEN length(key) >= 4 AND ({' OR '.join(f"contains(key, {_quoted(t)})" for t in sorted({t.lower() for t in TAX.known_terms}))}) THEN 1.35 ELSE 1.0 END AS score FROM f)
-SELECT key, df, round(1 + score / (SELECT max(score) FROM w) * 9, 3) AS weight FROM (SELECT * FROM w ORDER BY score DESC, key LIMIT 60)"""
-)
+@query(_SQL.cloud())
 def tfidf_top(spark, sf_dir):
     return tokens.word_cloud(marked(spark, sf_dir), TAX).select(F.lower("word").alias("key"), "df", "weight")
 
 
 @query(_L + " SELECT count(*) AS n_all, count(*) FILTER (score > 0.1) AS n_positive, count(*) FILTER (score < -0.1) AS n_negative FROM l WHERE NOT is_duplicate")
 def word_cloud_captions(spark, sf_dir):
-    return tokens.captions(scored(spark, sf_dir))
+    return tokens.captions(scored(spark, sf_dir)).select("n_all", "n_positive", "n_negative")
 
 
 @query(_K + " SELECT seq, is_noise_row, cluster_key, CAST(cluster_id AS BIGINT) AS cluster_id FROM g")
@@ -384,15 +299,26 @@ def rule_clusters(spark, sf_dir):
     return clustered(spark, sf_dir).select("seq", "is_noise_row", "cluster_key", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
-@query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(*) AS cluster_size, round(count(*) / (SELECT count(*) FROM g WHERE NOT is_duplicate)::DOUBLE, 4) AS cluster_ratio, cluster_id = -1 OR bool_and(is_noise_row) AS is_noise FROM g WHERE NOT is_duplicate GROUP BY cluster_id")
+@query(_SQL.summary)
 def cluster_summary(spark, sf_dir):
-    return clusters.summary(clustered(spark, sf_dir), TAX).select(F.col("cluster_id").cast("long").alias("cluster_id"), "cluster_size", "cluster_ratio", "is_noise")
+    return summary_rows(clusters.summary(stored(with_low_tokens(clustered(spark, sf_dir)), "clustered"), TAX))
+
+
+def with_low_tokens(df: DataFrame) -> DataFrame:
+    """Tokens in small letters, as SQL has them: words that differ in case alone count as one there."""
+    return df.withColumn("tokens", F.array_distinct(F.transform("tokens", lambda t: F.lower(t))))
+
+
+def summary_rows(found: DataFrame) -> DataFrame:
+    """A summary in comparable form."""
+    words, texts = F.array_join("top_keywords", ","), F.array_join("representative_comments", "|")
+    return found.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.lower("cluster_name").alias("cluster_name"), "cluster_size", "cluster_ratio", words.alias("top_keywords"), shown(F.col("sentiment_distribution")).alias("moods"), "is_noise", texts.alias("representative_comments"))
 
 
 @query(_K + f""", m AS (SELECT cluster_id, coalesce(pain, good) AS label, count(*) AS n, min(seq) AS f FROM g WHERE NOT is_duplicate AND coalesce(pain, good) IS NOT NULL GROUP BY ALL),
-o AS (SELECT cluster_id, stance, count(*) AS n, min(seq) AS f FROM g WHERE NOT is_duplicate GROUP BY ALL)
-SELECT CAST(o.cluster_id AS BIGINT) AS cluster_id, coalesce(label, CASE WHEN stance = {_FALLBACK} THEN '{clusters.NEUTRAL_NAME}' ELSE stance || '{clusters.TALK}' END) AS base_name
-FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f, stance) AS i FROM o) o LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f, label) AS i FROM m) m ON o.cluster_id = m.cluster_id AND m.i = 1 WHERE o.i = 1""")
+oo AS (SELECT cluster_id, stance, count(*) AS n, min(seq) AS f FROM g WHERE NOT is_duplicate GROUP BY ALL)
+SELECT CAST(o.cluster_id AS BIGINT) AS cluster_id, coalesce(label, CASE WHEN stance = {_SQL.fallback} THEN '{clusters.NEUTRAL_NAME}' ELSE stance || '{clusters.TALK}' END) AS base_name
+FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f, stance) AS i FROM oo) o LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, f, label) AS i FROM m) m ON o.cluster_id = m.cluster_id AND m.i = 1 WHERE o.i = 1""")
 def cluster_mode_label(spark, sf_dir):
     own = clustered(spark, sf_dir).where(~F.col("is_duplicate"))
     return clusters.mode_label(own, TAX).select(F.col("cluster_id").cast("long").alias("cluster_id"), "base_name")
@@ -400,7 +326,7 @@ def cluster_mode_label(spark, sf_dir):
 
 @query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(rank AS INTEGER) AS rank, key, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first_seq, key) AS rank FROM (SELECT cluster_id, key, count(*) AS n, min(seq) AS first_seq FROM (SELECT cluster_id, seq, unnest(keys) AS key FROM g WHERE NOT is_duplicate) GROUP BY cluster_id, key)) WHERE rank <= 6")
 def cluster_keywords(spark, sf_dir):
-    own = clustered(spark, sf_dir).where(~F.col("is_duplicate")).withColumn("tokens", F.array_distinct(F.transform("tokens", lambda t: F.lower(t))))
+    own = with_low_tokens(clustered(spark, sf_dir).where(~F.col("is_duplicate")))
     return clusters.keywords(own).select(F.col("cluster_id").cast("long").alias("cluster_id"), "rank", F.col("word").alias("key"), "n")
 
 
@@ -422,31 +348,25 @@ def noise_ratio(spark, sf_dir):
 
 @query(_K + " SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(*) AS cluster_size FROM g WHERE NOT is_duplicate AND cluster_id >= 0 GROUP BY cluster_id HAVING NOT bool_and(is_noise_row) ORDER BY cluster_size DESC, cluster_id LIMIT 1")
 def dominant_topic(spark, sf_dir):
-    return aggregates.dominant_topic(clusters.summary(clustered(spark, sf_dir), TAX)).select(F.col("cluster_id").cast("long").alias("cluster_id"), "cluster_size")
+    return aggregates.dominant_topic(clusters.sizes(clustered(spark, sf_dir))).select(F.col("cluster_id").cast("long").alias("cluster_id"), "cluster_size")
 
 
 @query(_K + " SELECT (SELECT count(*) FROM documents) AS n_raw, count(*) AS n_clean, count(*) FILTER (NOT is_duplicate) AS n_dedup, count(*) FILTER (NOT is_duplicate AND pain IS NOT NULL) AS n_pain, count(*) FILTER (NOT is_duplicate AND good IS NOT NULL) AS n_positive, count(DISTINCT CASE WHEN NOT is_duplicate AND cluster_id >= 0 THEN cluster_id END) AS n_clusters FROM g")
 def run_summary(spark, sf_dir):
-    return aggregates.run_summary(documents(spark, sf_dir), clustered(spark, sf_dir))
+    return aggregates.run_summary(_table(spark, sf_dir, "documents"), clustered(spark, sf_dir))
 
 
 # --- cards, threads, sources, reads ------------------------------------------------------------
 
 
-@query(
-    _L
-    + """, a AS (SELECT 0 AS kind, pain AS category, seq, id, like_count FROM l WHERE NOT is_duplicate AND pain IS NOT NULL UNION ALL SELECT 1, good, seq, id, like_count FROM l WHERE NOT is_duplicate AND good IS NOT NULL),
-b AS (SELECT *, count(*) OVER (PARTITION BY kind, category) AS n, min(seq) OVER (PARTITION BY kind, category) AS f, row_number() OVER (PARTITION BY kind, category ORDER BY like_count DESC, seq) AS i FROM a),
-d AS (SELECT kind, category, n, f, string_agg(id, ',' ORDER BY i) AS ids FROM b WHERE i <= 3 AND n >= 2 GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (ORDER BY n DESC, kind, f, category) AS place FROM d),
-u AS (SELECT *, row_number() OVER (PARTITION BY ids ORDER BY place) AS copy FROM p),
-v AS (SELECT *, row_number() OVER (ORDER BY place) AS card_rank, (SELECT count(*) FROM l WHERE NOT is_duplicate) AS sample_size FROM u WHERE copy = 1)
-SELECT CAST(card_rank AS INTEGER) AS card_rank, category, ids, n AS evidence_count, sample_size, round(n / sample_size::DOUBLE, 4) AS affected_ratio,
-  CASE WHEN sample_size < 100 THEN 'low' WHEN n >= 12 AND n / sample_size::DOUBLE >= 0.12 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM v WHERE card_rank <= 4"""
-)
+@query(_SQL.cards(False))
 def evidence_cards(spark, sf_dir):
-    found = cards.cards(scored(spark, sf_dir))
-    return found.select("card_rank", "category", F.array_join("evidence_comment_ids", ",").alias("ids"), "evidence_count", "sample_size", "affected_ratio", "confidence")
+    return card_rows(cards.cards(stored(scored(spark, sf_dir), "deduped")))
+
+
+def card_rows(found: DataFrame) -> DataFrame:
+    evidence = F.array_join(F.transform("evidence_comments", lambda e: e["content"]), "|")
+    return found.select("card_rank", "title", "card_type", "category", F.array_join("evidence_comment_ids", ",").alias("ids"), evidence.alias("evidence"), "evidence_count", "sample_size", "affected_ratio", "confidence", "confidence_reason", F.array_join("suggested_actions", "|").alias("actions"), "expected_impact", F.col("ab_test_design.hypothesis").alias("hypothesis"))
 
 
 @query(_K + " SELECT seq, id, platform, language, like_count, round(quality_score, 6) AS quality_score, is_duplicate, CAST(cluster_id AS BIGINT) AS cluster_id, label AS sentiment_label, round(score, 2) AS sentiment_score, pain AS painpoint_category, good AS positive_category, stance AS stance_label FROM g")
@@ -463,9 +383,10 @@ def drilldown_keyword(spark, sf_dir):
 _TURNS = "WITH c AS (SELECT conv_id * 1000 + turn AS seq, CAST(conv_id AS VARCHAR) AS thread_id, text AS content FROM conversations)"
 
 
-@query(_TURNS + " SELECT thread_id AS thread_key, count(*) AS n_comments, min(seq) AS first_seq, arg_min(content, seq) AS first_content FROM c GROUP BY thread_id ORDER BY first_seq LIMIT 10")
+@query(_TURNS + " SELECT thread_id AS thread_key, 'conversation ' || thread_id AS title, left(arg_min(content, seq), 20) AS excerpt, '' AS url, count(*) AS n_comments, min(seq) AS first_seq, arg_min(content, seq) AS first_content FROM c GROUP BY thread_id ORDER BY first_seq LIMIT 10")
 def thread_context(spark, sf_dir):
-    return aggregates.threads(turns(spark, sf_dir))
+    t = turns(spark, sf_dir)
+    return aggregates.threads(t.withColumns({"thread_title": F.concat_ws(" ", F.lit("conversation"), "thread_id"), "thread_excerpt": F.substring("content", 1, 20)}))
 
 
 @query(_TURNS + " SELECT thread_id, CAST(rank AS INTEGER) AS rank, seq, content FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS rank FROM c) WHERE rank <= 3")
@@ -478,18 +399,10 @@ def thread_caps(spark, sf_dir):
     return aggregates.capped(turns(spark, sf_dir), 2, 200).select("seq", "thread_id")
 
 
-@query(
-    f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages)
-SELECT page_id, CAST(least(4, len(list_filter([{', '.join(map(_quoted, ('the', 'tion', 'de', 'erer', 'und')))}], lambda t: contains(title || ' ', t)))) AS INTEGER) AS information_score, 'editorial' AS authority_level FROM p"""
-)
-def source_info_score(spark, sf_dir):
-    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("").alias("summary"), F.col("url").alias("source_url"), F.lit("news").alias("source_kind"))
-    return media.source_score(p, information=("the", "tion", "de", "erer", "und")).select("page_id", "information_score", "authority_level")
-
-
-@query()
+@query("SELECT url, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'))[1:300] AS title, 'fetched' AS status, 0 AS n_images FROM pages")
 def article_fields(spark, sf_dir):
-    return articles.articles(_table(spark, sf_dir, "pages"))
+    found = articles.articles(spread(_table(spark, sf_dir, "pages")))
+    return found.select("url", "title", "status", F.size("image_urls").alias("n_images"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, 'document' AS kind, length(text) AS size FROM documents UNION ALL SELECT conv_id || '-' || turn, 'turn', length(text) FROM conversations")

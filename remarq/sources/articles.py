@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 LEAST_PARAGRAPH, MOST_BODY, MOST_SUMMARY, MOST_TITLE, MOST_IMAGES, MOST_URLS, MOST_MANUAL = 24, 1800, 2400, 300, 6, 6, 3000
 SKIPPED_IMAGES = ("avatar", "logo", "icon", ".gif")
 TIME_KEYS = ("article:published_time", "publishdate", "pubdate")
+# Titles of items that no article gave.
+MANUAL_TITLE, FAILED_TITLE = "用户提供的比赛背景", "新闻上下文读取失败"
+# End of fixed values.
 SCHEMA = "url string, title string, summary string, published string, image_urls array<string>, status string, error string"
 
 
@@ -106,7 +109,7 @@ def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
                         raise ValueError("address is not public")
                     rows.append(parse_article(body, address))
                 except Exception as e:  # noqa: BLE001  one page's failure is a row
-                    rows.append({"url": address, "title": "article could not be read", "summary": "", "published": "", "image_urls": [], "status": "error", "error": str(e)[:300]})
+                    rows.append({"url": address, "title": FAILED_TITLE, "summary": str(e)[:300], "published": "", "image_urls": [], "status": "error", "error": str(e)[:300]})
             yield pd.DataFrame(rows, columns=["url", "title", "summary", "published", "image_urls", "status", "error"])
 
     return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, SCHEMA)
@@ -114,12 +117,29 @@ def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
 
 def manual(spark: SparkSession, note: str) -> DataFrame:
     """A note given by hand as a context item."""
-    rows = [("", "manual context", note.strip()[:MOST_MANUAL], "", [], "provided", "")] if note.strip() else []
+    rows = [("", MANUAL_TITLE, note.strip()[:MOST_MANUAL], "", [], "provided", "")] if note.strip() else []
     return spark.createDataFrame(rows, SCHEMA)
 
 
 def fetched(spark: SparkSession, urls: list[str], fetch: Callable[[str], str]) -> DataFrame:
-    """Articles of the first distinct addresses through a given fetch function; without a network it reads stored pages."""
-    own = list(dict.fromkeys(urls))[:MOST_URLS]
-    pages = [(u, fetch(u) if public_url(u) else "") for u in own]
-    return articles(spark.createDataFrame(pages, "url string, html string"))
+    """Articles of the first distinct addresses through a given fetch function; one that fails is a row with status ``error``."""
+    pages, failed = [], []
+    for url in list(dict.fromkeys(urls))[:MOST_URLS]:
+        try:
+            pages.append((url, fetch(url) if public_url(url) else ""))
+        except Exception as e:  # noqa: BLE001  whatever the function throws
+            failed.append((url, FAILED_TITLE, str(e)[:300], "", [], "error", str(e)[:300]))
+    return articles(spark.createDataFrame(pages, "url string, html string")).unionByName(spark.createDataFrame(failed, SCHEMA))
+
+
+def context(spark: SparkSession, note: str, urls: list[str], fetch: Callable[[str], str] | None = None) -> DataFrame:
+    """A run's context items in order: the note, then the articles. Without a fetch function addresses are errors."""
+
+    def none(url: str) -> str:
+        raise ValueError("no way to fetch was given")
+
+    parts = [manual(spark, note).withColumn("part", F.lit(0)), fetched(spark, urls, fetch or none).withColumn("part", F.lit(1))]
+    order = F.create_map(*(F.lit(x) for i, u in enumerate(dict.fromkeys(urls)) for x in (u, i))) if urls else None
+    place = F.coalesce(F.try_element_at(order, F.col("url")), F.lit(0)) if order is not None else F.lit(0)
+    whole = parts[0].unionByName(parts[1])
+    return whole.withColumns({"seq": F.col("part") * 1000 + place, "source_url": F.col("url")}).drop("part")

@@ -1,54 +1,76 @@
-"""From a configuration to comments of all its sources."""
+"""From a configuration to comments of its source."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files, synthetic, threads
 
+#: Columns of threads that a source without them has as nulls.
+THREAD = {"thread_id": "string", "thread_title": "string", "thread_excerpt": "string", "thread_image_urls": "array<string>", "board": "string"}
+
 
 @dataclass(frozen=True)
 class Plan:
     source: str
+    platform: str
     most: int
-    options: dict
+    options: dict[str, Any]
 
 
 def _file(spark: SparkSession, plan: Plan) -> DataFrame:
-    return files.comments_from_file(spark, plan.options["path"], plan.most, platform=plan.source, topic=plan.options.get("topic", ""), mapping=plan.options.get("mapping"))
+    return files.comments_from_file(spark, plan.options["path"], plan.most, platform=plan.platform, topic=plan.options.get("topic", ""), mapping=plan.options.get("mapping"))
 
 
 def _mock(spark: SparkSession, plan: Plan) -> DataFrame:
-    return synthetic.comments(spark, plan.options.get("sport", "basketball"), min(plan.most, 16), topic=plan.options.get("topic", ""))
+    o = plan.options
+    most = min(plan.most, len(synthetic.SENTENCES["basketball"]))
+    return synthetic.comments(spark, o.get("sport", "basketball"), most, plan.platform, o.get("topic", ""), o.get("task", "0"), o.get("board", ""))
 
 
 def _threads(spark: SparkSession, plan: Plan) -> DataFrame:
-    pages = spark.read.option("wholetext", True).text(plan.options["path"]).select(F.col("value").alias("html"), F.lit(plan.options.get("url", "")).alias("url"))
-    rows = threads.capped(threads.parse_pages(pages), plan.most, 1)
-    return rows.select(F.monotonically_increasing_id().alias("seq"), "id", F.lit("forum").alias("platform"), "topic", "content", "author_hash", "like_count", "reply_count", "publish_time", "source_url", F.lit(None).cast("string").alias("parent_id"))
-
-
-#: Sources by name; unknown names mean the generated one.
-REGISTRY: dict[str, Callable[[SparkSession, Plan], DataFrame]] = {"csv": _file, "json": _file, "export": _file, "forum": _threads, "mock": _mock}
-FILES = ("csv", "json", "export")
-
-
-def plans(platforms: list[str], most: int, options: dict) -> list[Plan]:
-    """A file source is the only plan and keeps the whole cap; others share it evenly, one row at least."""
-    names = [p if p in REGISTRY else "mock" for p in platforms] or ["mock"]
-    file = next((n for n in names if n in FILES), None)
-    if file:
-        return [Plan(file, most, options)]
-    return [Plan(n, max(1, most // len(names)), options) for n in names]
+    """Stored pages: a table of ``html, url``, or the path of one page. Each of the distinct threads has an even share, rounded up."""
+    pages, urls = plan.options.get("pages"), list(dict.fromkeys(plan.options.get("urls") or ()))
+    if pages is None:
+        if not plan.options.get("path"):
+            raise ValueError("a forum source takes stored pages: a table of html and url, or the path of one")
+        pages = spark.read.option("wholetext", True).text(plan.options["path"]).select(F.col("value").alias("html"), F.lit(urls[0] if urls else plan.options["path"]).alias("url"))
+    rows = threads.capped(threads.parse_pages(pages), plan.most, max(1, len(urls)))
+    return rows.select(F.monotonically_increasing_id().alias("seq"), "id", F.lit(plan.platform).alias("platform"), "topic", "content", "author_hash", "like_count", "reply_count", "publish_time", "source_url", F.lit(None).cast("string").alias("parent_id"), *THREAD)
+
+
+# Names of sources; unknown ones mean the generated one.
+REGISTRY: dict[str, Callable[[SparkSession, Plan], DataFrame]] = {
+    "mock": _mock,
+    "hupu_public": _threads,
+    "csv": _file,
+    "json": _file,
+    "mediacrawler": _file,
+}
+FILES = ("csv", "json", "mediacrawler")
+NO_PLATFORM = "sample"
+# End of fixed values.
+
+
+def plans(source: str, platforms: list[str], most: int, options: dict[str, Any]) -> list[Plan]:
+    """A file is one plan, of the first platform, with the whole cap; else the platforms share it evenly, one row at least."""
+    name = source if source in REGISTRY else "mock"
+    if name in FILES:
+        return [Plan(name, platforms[0] if platforms else NO_PLATFORM, most, options)]
+    return [Plan(name, p, max(1, most // max(1, len(platforms))), options) for p in platforms]
 
 
 def collect(spark: SparkSession, found: list[Plan]) -> DataFrame:
     """All plans' comments, plan after plan."""
-    parts = [REGISTRY[p.source](spark, p).withColumn("__plan", F.lit(i)) for i, p in enumerate(found)]
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.withColumn("seq", F.col("__plan") * F.lit(1 << 50) + F.col("seq")).drop("__plan")
+    parts = []
+    for i, p in enumerate(found):
+        rows = REGISTRY[p.source](spark, p)
+        rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in THREAD.items() if c not in rows.columns})
+        parts.append(rows.withColumn("seq", F.lit(i) * F.lit(1 << 50) + F.col("seq")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

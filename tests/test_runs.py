@@ -80,47 +80,127 @@ def test_media_ranking(spark):
     assert [(r.seq, r.authority_level, r.information_score) for r in ranked.orderBy("rank").collect()] == [(1, "official", 9), (3, "community_data", 2)]
     images = media.budgeted_images(ranked, 1)
     assert {r.url: r.status for r in images.collect()} == {"http://i/a.png": "selected", "http://i/longer.jpg": "skipped_limit"}
-    assert media.analysed(images, lambda urls: [{"url": u} for u in urls]) == [{"url": "http://i/a.png"}]
     ocr = spark.createDataFrame([("PTS 30 REB 11",), ("Q4 02:13 LAL 99",), ("hello world",), ("final report",), (None,)], "t string")
     assert [r.x for r in ocr.select(media.ocr_informative(F.col("t")).alias("x")).collect()] == [True, False, False, True, False]
 
 
-def test_outcome_guard(spark):
-    context = "终场哨响，红队以两分之差击败蓝队，锁定胜局。"
-    report = {"summary": "红队输球令人失望", "risks": ["蓝队取胜后", "防守不稳"], "key_findings": [], "opportunities": [], "data_gaps": []}
-    out = insight.guarded(report, context, ["红队", "蓝队"])
-    assert out["risks"] == ["防守不稳"] and "战胜" in out["summary"] and out["data_gaps"] == [insight.GUARD_NOTE]
-    assert insight.guarded(report, "没有结果", ["红队", "蓝队"]) == report
+def facts(said, **more):
+    return {"match_name": "红队 vs 蓝队", "home_team": "蓝队", "away_team": "红队", "news": [{"status": "provided", "summary": said}], "clusters": [{"cluster_name": "篮板｜防守｜负向", "is_noise": False}], **more}
+
+
+def test_outcome_guard():
+    known = facts("红队客场 105-95 击败蓝队，系列赛领先。")
+    assert insight.outcome(known) == ("红队", "蓝队")
+    assert insight.outcome(facts("红队终场前击败强大的蓝队")) is None  # the loser must follow the verb
+    assert insight.outcome(facts("红队赢了。随后击败蓝队")) is None  # a new sentence
+    assert insight.outcome(facts("红队，主场作战，力克蓝队")) == ("红队", "蓝队")
+    assert insight.outcome({**known, "home_team": ""}) is None
+    assert insight.outcome({**known, "news": [{"status": "error", "summary": "红队击败蓝队"}]}) is None
+    report = insight.empty() | {"summary": "部分球迷对红队的失利表示不满。", "negative_insights": ["红队失利源于进攻问题", "红队很好，对手落败"], "risks": ["蓝队最终取胜"], "fact_opinion_gaps": ["a"]}
+    out = insight.guarded(report, known)
+    assert "失利" not in out["summary"] and "篮板" in out["summary"] and "负向" not in out["summary"]
+    assert out["negative_insights"] == ["红队很好，对手落败"] and out["risks"] == []  # a comma begins another clause
+    assert out["fact_opinion_gaps"] == ["a", insight.GUARD_NOTE]
+    assert insight.guarded(report, facts("没有结果")) == report
+
+
+def test_insight_of_a_service():
+    plain = insight.insight(facts("x", painpoints=[{"category": "p"}], positives=[{"category": "q"}]))
+    assert set(plain) == {*insight.TEXTS, *insight.LISTS} and "「q」" in plain["summary"] and plain["key_viewpoints"] == ["篮板｜防守｜负向"]
+    assert plain["news_context_summary"] == insight.NEWS.format(n=1)
+    assert insight.insight({})["news_context_summary"] == insight.NO_NEWS
 
     def broken(_):
         raise RuntimeError("down")
 
-    assert insight.insight({}, service=broken)["data_gaps"] == ["down"]
-    assert insight.insight({}, enabled=False)["summary"] == ""
+    failed = insight.insight({}, broken, name="s")
+    assert failed["summary"] == insight.FAILED_SUMMARY.format(service="s", error="down") and failed["risks"] == [insight.FAILED_RISK.format(service="s")]
+    assert insight.insight({}, enabled=False)["summary"] == insight.DISABLED
+    asked = []
+    reply = 'Here: {"summary": {"a": 1, "b": ""}, "risks": "one", "key_viewpoints": [{"x": ["y", "z"]}, ""], "positive_insights": {"k": "v"}} done'
+    out = insight.insight(facts("x", representatives=[{"i": i} for i in range(20)]), lambda p: asked.append(p) or reply)
+    assert out["summary"] == "a：1" and out["risks"] == ["one"] and out["key_viewpoints"] == ["x：y；z"] and out["positive_insights"] == ["k：v"] and out["controversies"] == []
+    assert '{"i": 11}' in asked[0] and '{"i": 12}' not in asked[0]
+    assert insight.insight({}, lambda p: "no object")["summary"].startswith("LLM provider")
 
 
 def test_config():
-    c = AnalysisConfig.from_dict({"domain": "nope", "keywords": "a, b a", "max_images": 99, "dedup_threshold": 0.0})
-    assert (c.domain, c.keywords, c.max_images, c.dedup_threshold) == ("basketball", ("a", "b"), 20, 0.86)
+    c = AnalysisConfig.from_dict({"domain": "nope", "keywords": "a， b,a\nc d", "max_images": 99, "dedup_threshold": 0.0, "enable_images": False})
+    assert (c.domain, c.keywords, c.max_images, c.dedup_threshold, c.enable_images) == ("basketball", ("a", "b", "c d"), 20, 0.86, False)
+    assert (c.max_comments, AnalysisConfig().max_images, c.board, c.data_source) == (120, 6, "nba", "mock")
+    for bad in ({"max_comments": 0}, {"domain": "x"}, {"data_source": "x"}, {"mode": "x"}, {"max_images": 21}, {"dedup_threshold": 2.0}):
+        with pytest.raises(ValueError):
+            AnalysisConfig(**bad)
+    assert [(p.platform, p.most) for p in router.plans("mock", ["a", "b"], 9, {})] == [("a", 4), ("b", 4)]
+    assert [(p.source, p.platform, p.most) for p in router.plans("mediacrawler", ["a", "b"], 9, {})] == [("mediacrawler", "a", 9)]
+    assert router.plans("unheard of", ["a"], 9, {})[0].source == "mock" and router.plans("csv", [], 9, {})[0].platform == "sample"
+
+
+def test_threads_share_the_limit(spark):
+    post = {"pid": 5, "authorId": 9, "content": "text", "allLightCount": 1, "replyNum": 0, "createdAt": 1}
+    rows = []
+    for t in (1, 2):
+        detail = {"thread": {"tid": t, "title": f"t{t}", "content": ""}, "replies": {"total": 9, "size": 20, "list": [post | {"pid": 10 * t + i} for i in range(9)]}, "lights": []}
+        rows.append((f'<script id="__NEXT_DATA__">{json.dumps({"props": {"pageProps": {"detail": detail}}})}</script>', f"https://bbs.hupu.com/{t}.html"))
+    pages = spark.createDataFrame(rows, "html string, url string")
+    found = router.collect(spark, router.plans("hupu_public", ["hupu"], 5, {"pages": pages, "urls": ["u1", "u2", "u1"]})).collect()
+    assert sorted(r.thread_id for r in found) in (["1", "1", "1", "2", "2"], ["1", "1", "2", "2", "2"])
     with pytest.raises(ValueError):
-        AnalysisConfig(max_comments=0)
-    assert [p.most for p in router.plans(["forum", "nope"], 9, {})] == [4, 4]
-    assert router.plans(["mock", "csv"], 9, {})[0].source == "csv"
+        router.collect(spark, router.plans("hupu_public", ["hupu"], 5, {}))
+
+
+def test_failed_addresses_are_rows(spark):
+    def fetch(url):
+        if url.endswith("bad"):
+            raise OSError("gone")
+        return "<title>T</title>"
+
+    got = [(r.source_url, r.status, r.title) for r in articles.context(spark, " note ", ["https://a.com/bad", "https://a.com/x", "http://127.0.0.1/"], fetch).orderBy("seq").collect()]
+    assert got == [("", "provided", articles.MANUAL_TITLE), ("https://a.com/bad", "error", articles.FAILED_TITLE), ("https://a.com/x", "fetched", "T"), ("http://127.0.0.1/", "error", articles.FAILED_TITLE)]
+    assert articles.context(spark, "", []).count() == 0
+
+
+def test_images_of_a_run(spark):
+    raw = spark.createDataFrame([(i, f"t{i}", "官方 数据 统计 " + str(i), "", "https://x.com", ["http://i/%d.png" % i, "http://i/gone.png"]) for i in range(3)] + [(9, "low", "无关", "", "", ["http://i/9.png"])], "seq long, thread_id string, thread_title string, thread_excerpt string, source_url string, thread_image_urls array<string>")
+    news = spark.createDataFrame([], "seq long, title string, summary string, source_url string, image_urls array<string>, status string")
+    replies = {"http://i/0.png": {"relevance": "HIGH", "information_value": "high", "ocr_text": "PTS 30 REB 11", "data_points": "x"}, "http://i/1.png": {"relevance": "high", "information_value": "odd", "ocr_text": "PTS 30"}}
+    calls = []
+
+    def vision(source):
+        calls.append(source["image_urls"])
+        return replies[source["image_urls"][0]]
+
+    got = {r.url: r for r in pipeline.images(raw, news, AnalysisConfig(max_images=3), vision).collect()}
+    assert got["http://i/0.png"].included_in_summary and got["http://i/0.png"].data_points == ["x"]
+    assert got["http://i/gone.png"].status == "error" and calls.count(["http://i/gone.png"]) == 2
+    assert got["http://i/1.png"].exclusion_reason == media.LOW_VALUE and got["http://i/2.png"].status == "skipped_limit" and "http://i/9.png" not in got
+    assert {r.status for r in pipeline.images(raw, news, AnalysisConfig(enable_images=False), vision).collect()} == {"disabled"}
+    assert {r.status for r in pipeline.images(raw, news, AnalysisConfig(max_images=2), None).collect()} == {"skipped_missing_key", "skipped_limit"}
 
 
 def test_a_whole_run_twice(spark, tmp_path):
-    raw = synthetic.comments(spark, "basketball", 40).repartition(5)
-    result = pipeline.run_pipeline(spark, AnalysisConfig(dedup_threshold=0.92), raw)
+    config = AnalysisConfig(name="demo", dedup_threshold=0.92, max_comments=30, match_name="马刺 vs 尼克斯 G6", home_team="马刺", away_team="尼克斯", news_context="马刺在系列赛中暂时 3-2 领先，本场为第六场。")
+    seen = []
+    result = pipeline.run_pipeline(spark, config, progress=lambda steps: seen.append({k: v["status"] for k, v in steps.items()}))
     quality = result.quality.first()
-    assert quality.raw_count == 40 and quality.dedup_count >= 6
-    sizes = [r.cluster_size for r in result.clusters.collect()]
-    assert sum(sizes) == quality.dedup_count
-    report = sinks.markdown(result, "demo")
-    assert report.startswith("# demo") and "样本质量" in report
+    assert quality.raw_count >= 12 and quality.dedup_count >= 6 and result.news.count() == 1
+    assert result.insight["summary"] and result.insight["fact_opinion_gaps"]
+    sizes = {r.cluster_id: r.cluster_size for r in result.clusters.collect()}
+    assert sum(sizes.values()) == quality.dedup_count and quality.noise_ratio == round(sizes.get(-1, 0) / quality.dedup_count, 4)
+    assert seen[-1] == {k: "completed" for k in ("crawl", "context", "media", "clean", "dedup", "cluster", "quality", "sample", "insight")}
+    assert result.steps["crawl"]["output_summary"] == "raw_comments=16" and result.steps["dedup"]["duration_ms"] >= 1
+    report = sinks.markdown(result)
+    for line in ("# demo", "- 运动：篮球", "- 原始评论：16", "## 新闻背景", sinks.NO_IMAGES, "## 解读风险", "- 关键词：", "## 证据支撑的策略卡", sinks.CLOSING[1]):
+        assert line in report, line
+    charts = pipeline.visualizations(result)
+    assert len(charts) == 11 and sum(r["n"] for r in charts["sentiment_distribution"].collect()) == quality.dedup_count
     for task in ("a", "b", "a"):
         sinks.persist(result, str(tmp_path), task)
     stored = spark.read.parquet(f"{tmp_path}/comments").groupBy("task_id").count().collect()
     assert {r.task_id: r["count"] for r in stored} == {"a": quality.clean_count, "b": quality.clean_count}
+    sinks.single_csv(synthetic.demo(spark, count=3), f"file://{tmp_path}/demo.csv")
+    assert open(f"{tmp_path}/demo.csv", "rb").read().startswith(b"\xef\xbb\xbfid,platform")
+    assert [r.id for r in files.comments_from_file(spark, f"{tmp_path}/demo.csv").orderBy("seq").collect()] == ["nba_game-0001", "nba_game-0002", "nba_game-0003"]
 
 
 def test_streaming_trend_equals_batch(spark, tmp_path):
