@@ -29,8 +29,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import fresh_folder, open_fs, stored
 from .columns import column
-from .storage import fresh_folder, new_file, open_fs, stored
+from .storage import new_file
 
 FRAME = 576
 PAD = 255

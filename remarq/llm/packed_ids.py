@@ -14,7 +14,7 @@ documents in ascending order. A document's ``start`` is its place in its file pl
 earlier files; those sums come from one row per file.
 
 Defined cases: a null text counts as empty and has only the end id; a null doc_id sorts first;
-repeated rows stay apart, ordered by their text among equal doc_ids; empty tables give no file and no rows; other columns are
+repeated rows stay apart, ordered by their text among equal doc_ids; a very long text is encoded whole by its task and packed block by block; empty tables give no file and no rows; other columns are
 ignored whatever their names.
 """
 
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import fresh_folder, open_fs, stored
 from .pieces import batches, cut, load, special_strings
-from .storage import fresh_folder, new_file, open_fs, stored
+from .storage import new_file
 
 MAGIC = b"RMQIDS1\0"
 BLOCK = 1 << 16

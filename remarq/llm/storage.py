@@ -1,62 +1,18 @@
-"""Files that driver and executors share.
-
-Everything an operator keeps between jobs lies under the folder that the cluster names in
-``spark.checkpoint.dir``. It may be on any file system that Arrow can open by URI.
-"""
+"""Single files in the folders that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder; without the setting (tests in local mode) a new local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not root:
-            root = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="remarq-")
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """URI of a folder under the shared one that no other call uses."""
-    return f"{shared_root(spark)}/remarq/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    uri = fresh_folder(spark, name)
-    df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
-
-
-def drop(spark: SparkSession, uri: str) -> None:
-    """Remove a folder made by :func:`fresh_folder`; missing ones are no error."""
-    files, path = open_fs(uri)
-    if files.get_file_info(path).type != pafs.FileType.NotFound:
-        files.delete_dir(path)
-
+import pyarrow as pa
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+from ..storage import open_fs
 
 
 @contextmanager
-def new_file(folder: str, name: str) -> Iterator[tuple[pafs.NativeFile, str]]:
+def new_file(folder: str, name: str) -> Iterator[tuple[pa.NativeFile, str]]:
     """A file for writing that appears under its name once it is complete.
 
     The name gets a random part, so that a task that runs twice never writes into the file of

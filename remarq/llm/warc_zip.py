@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import fresh_folder, open_fs, stored
 from .columns import column
-from .storage import fresh_folder, new_file, open_fs, stored
+from .storage import new_file
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.csv"
 #: A revisit record's profile, fixed by the WARC standard.
