@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -296,7 +297,13 @@ def within(found: list[Line], region: int | None, sizes: np.ndarray, content: np
         part_of[i] = rest[0] if rest else None
         parts.setdefault(part_of[i], []).append(i)
     poor = {c for c, some in parts.items() if c is not None and sizes[[i for i in some if content[i]]].sum() < 0.5 * sizes[some].sum()}
-    return [i for i in inside if content[i] or (found[i].linked < LINKED * sizes[i] and (article or part_of[i] not in poor))]
+    links = [found[i].linked >= LINKED * sizes[i] for i in inside]
+    listed: set[int] = set()  # links one after another, most of them beyond the cluster: smoothing may have reached the first of them
+    for link, run in groupby(zip(inside, links, strict=True), key=lambda x: x[1]):
+        own = [i for i, _ in run]
+        if link and 2 * sum(bool(content[i]) for i in own) < len(own):
+            listed.update(own)
+    return [i for i, link in zip(inside, links, strict=True) if i not in listed and (content[i] or (not link and (article or part_of[i] not in poor)))]
 
 
 def main_text(html: str | None) -> str:
