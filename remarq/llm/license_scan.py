@@ -10,7 +10,7 @@ one pass, each on its own: nothing is shuffled, so no source or common passage m
 
 Defined cases: null, empty and wordless texts match nothing; equal templates are both reported, else the best of those that meet on a span; a template shorter than a
 shingle is one shingle of all its words; several places of one template in a document are reported apart;
-repeated rows are reported alike; empty tables or no templates give no matches; other columns are ignored whatever their names.
+repeated rows are reported alike; a very long text is one list of words in the task that reads it; empty tables or no templates give no matches; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import column
+
 #: Words of a shingle, and shingles of a winnowing window.
 SHINGLE, WINNOW = 3, 4
 #: Half the width of the alignment's band, in words, and the least share of a template that a match covers.
@@ -215,9 +217,18 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE) -> list[Mat
     return sorted(best(out), key=lambda m: (m.begin, m.end, m.template))
 
 
+def templates_of(table: DataFrame, name: str = "name", text: str = "text") -> dict[str, str]:
+    """Templates from a table, bounded by ``MOST_TEMPLATE_WORDS`` before they are collected; of equal names the last text by spelling counts."""
+    chosen = table.select(column(name).cast("string").alias("n"), column(text).alias("t")).where("n is not null and t is not null")
+    n_words = chosen.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
+    if n_words > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"templates have {n_words} words; {MOST_TEMPLATE_WORDS} at most travel to every task")
+    return {r["n"]: r["t"] for r in chosen.orderBy("n", "t").collect()}
+
+
 def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", key: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
     """A row per match: doc_id, license, span_start, span_end (code points, end exclusive), coverage, matched_text."""
-    chosen = docs.select(docs[key].alias("doc_id"), docs[text].alias("t"))
+    chosen = docs.select(column(key).alias("doc_id"), column(text).alias("t"))
     kind = chosen.schema[0].dataType.simpleString()
     index = Index(TEMPLATES if templates is None else templates)
     names = ["doc_id", "license", "span_start", "span_end", "coverage", "matched_text"]

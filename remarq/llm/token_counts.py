@@ -8,7 +8,8 @@ tokens of every prefix; sums over pieces carry it through the whole text. The ta
 "how many tokens are the first n characters" and "which prefix fits the budget" with no encoder.
 
 Defined cases: a null text counts as empty (0 tokens, 0 bytes); empty tables give empty results;
-repeated rows give repeated rows; other columns, whatever their names, are left out of the
+repeated rows give repeated rows; a very long text is cut into pieces of words in batches of one text, and only its own prefix steps (asked for by
+name) take memory in proportion to it; other columns, whatever their names, are left out of the
 result unless named in ``keep``.
 """
 
