@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import spread
 from . import decontaminate, flac, license_scan, main_text, mixing, packed_ids, simhash, token_counts, toxicity, warc_zip
 
 
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For operators that read a table in one pass without a shuffle: a table of fewer files than cores is dealt out to all of them."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,11 +29,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text.extract(_table(spark, sf_dir, "pages"))
+    return main_text.extract(_spread(spark, sf_dir, "pages"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.report(_table(spark, sf_dir, "documents"))
+    return license_scan.report(_spread(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.over_limit(_table(spark, sf_dir, "documents"), _vocabulary(), 512)
+    return token_counts.over_limit(_spread(spark, sf_dir, "documents"), _vocabulary(), 512)
 
 
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,19 +49,19 @@ def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.classify(_spread(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.round_trip(_table(spark, sf_dir, "documents"))
+    return flac.round_trip(_spread(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(_spread(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_spread(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
