@@ -48,6 +48,8 @@ LPC_ORDER, PRECISION, SHIFT = 6, 10, 8
 PCM_BLOCK = FRAME * 2048
 #: Bytes of a media file from which a new one begins.
 CONTAINER_BYTES = 64 << 20
+#: A seek point, as the format has it.
+POINT = [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -389,7 +391,7 @@ def stream(frames: bytes, ends: np.ndarray, pcm: bytes) -> bytes:
     sizes = np.diff(np.concatenate([[0], ends]))
     fields = (RATE << 44) | (0 << 41) | (7 << 36) | len(pcm)
     info = struct.pack(">HH", FRAME, FRAME) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big") + fields.to_bytes(8, "big") + hashlib.md5(pcm).digest()
-    points = np.zeros(len(ends), [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+    points = np.zeros(len(ends), POINT)
     points["sample"], points["offset"], points["n"] = np.arange(len(ends)) * FRAME, ends - sizes, FRAME
     table = points.tobytes()
     if len(table) >= 1 << 24:  # a metadata block has 24 bits of length: then every so many frames
@@ -410,14 +412,15 @@ class Stream:
             if kind & 127 == 0:
                 self.n_samples, self.md5 = int.from_bytes(block[10:18], "big") & ((1 << 36) - 1), block[18:34]
             elif kind & 127 == 3:
-                points = np.frombuffer(block, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+                points = np.frombuffer(block, POINT)
             at += 4 + size
             if kind & 128:
                 break
         n_frames = -(-self.n_samples // FRAME)
-        samples, offsets = (points["sample"].astype(np.int64), points["offset"].astype(np.int64) + at) if points is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        known = samples < self.n_samples  # without placeholders
-        samples, offsets = samples[known], offsets[known]
+        if points is None:
+            points = np.zeros(0, POINT)
+        points = points[points["sample"] < self.n_samples]  # without placeholders
+        samples, offsets = points["sample"].astype(np.int64), points["offset"].astype(np.int64) + at
         if not len(samples) or samples[0]:
             samples, offsets = np.concatenate([[0], samples]), np.concatenate([[at], offsets])
         self.samples, self.offsets = (samples, offsets) if len(samples) == n_frames else walked(data, samples // FRAME, offsets, n_frames)

@@ -209,15 +209,13 @@ def test_an_article_in_sibling_containers(body):
     assert main_text.main_text(page) == " ".join(a + b if body.index("{a}") < body.index("{b}") else b + a)
 
 
-def test_stored_media_and_pcm_blocks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(flac, "CONTAINER_BYTES", 3000)
-    monkeypatch.setattr(flac, "BATCH_BYTES", 2000)
+def test_stored_media_and_pcm_blocks(spark, tmp_path):
     rows = [(i, (None, "", "abc é " * (50 * i), "x" * 1500)[i % 4]) for i in range(12)] + [(2, "abc é " * 100)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, media string").repartition(2)
     direct = sorted(map(tuple, flac.from_media(flac.to_media(df)).collect()))
     assert sorted(map(tuple, flac.round_trip(df).collect())) == direct
     index = flac.write_media(df, f"file://{tmp_path}/media")
-    assert index.select("uri").distinct().count() > 2
+    assert index.select("uri").distinct().count() == 2  # one a partition
     media = flac.read_media(index)
     assert sorted(map(tuple, flac.from_media(media).collect())) == direct
     long = spark.createDataFrame([(1, "0123456789" * 200_000), (2, "short")], "doc_id long, text string")
