@@ -249,7 +249,7 @@ def test_thin_and_missing_seek_tables_are_walked():
 
 
 def test_lpc_subframes_are_written_where_they_are_shortest():
-    wave = (100 * np.sin(np.arange(flac.FRAME * 3) / 9)).astype(np.int8)
+    wave = (100 * np.sin(np.arange(flac.FRAME * 3) / 2)).astype(np.int8)
     (stream,) = flac.encode_payloads([(wave.view(np.uint8) ^ 128).tobytes()])
     found = flac.Stream(stream)
     assert {stream[at + 6] >> 1 for at in found.offsets} == {31 + flac.LPC_ORDER}
