@@ -208,3 +208,12 @@ def test_contamination_equals_brute_force_on_both_ways(spark, monkeypatch):
     assert decontaminate.report(d.limit(0), b).count() == 0
     assert {r.n_hit for r in decontaminate.report(d, b.limit(0)).collect()} == {0}
     assert decontaminate.clean(d, b.limit(0)).count() == len(docs)
+
+
+def test_signatures_never_differ_in_more_bits_than_the_sets():
+    rng = random.Random(3)
+    for _ in range(300):
+        whole = np.unique(np.array([rng.getrandbits(63) for _ in range(rng.choice((3, 50, 3000)))], np.int64))
+        a, b = (whole[np.array([rng.random() < share for _ in whole])] for share in (0.9, rng.random()))
+        x, y = (np.frombuffer(near_copies.signature(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
