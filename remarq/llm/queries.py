@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import spread
-from . import decontaminate, flac, license_scan, main_text, mixing, packed_ids, quality_rules, simhash, token_counts, toxicity, warc_zip
+from . import decontaminate, flac, hard_negatives, license_scan, main_text, mixing, packed_ids, quality_rules, simhash, token_counts, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_spread(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_main_text": op2_main_text,
@@ -80,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
     "op11_quality_rules": op11_quality_rules,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
     "op4_mixing": mixing.report_sql(),
     "op9_decontaminate": decontaminate.report_sql(),
+    "op12_hard_negatives": hard_negatives.report_sql(),
 }
