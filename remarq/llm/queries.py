@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import spread
-from . import decontaminate, flac, hard_negatives, license_scan, main_text, mixing, packed_ids, quality_rules, simhash, token_counts, toxicity, warc_zip
+from . import decontaminate, flac, hard_negatives, license_scan, main_text, mixing, packed_ids, quality_rules, simhash, token_counts, toxicity, turn_repair, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_main_text": op2_main_text,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_quality_rules": op11_quality_rules,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
