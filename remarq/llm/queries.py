@@ -97,4 +97,5 @@ SQL: dict[str, str] = {
     "op4_mixing": mixing.report_sql(),
     "op9_decontaminate": decontaminate.report_sql(),
     "op12_hard_negatives": hard_negatives.report_sql(),
+    "op13_turn_repair": turn_repair.report_sql(),
 }

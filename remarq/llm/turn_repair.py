@@ -373,3 +373,41 @@ def figures(turns: DataFrame) -> DataFrame:
 def report(conversations: DataFrame, **names: str) -> DataFrame:
     """:func:`figures` of the damaged conversations."""
     return figures(damaged(conversations, **names))
+
+
+def report_sql() -> str:
+    """The same rows in DuckDB SQL: for every row and state in turn the cheapest edits so far, the first in ASCII among equals."""
+    signs = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    spaced = [f"coalesce(CAST({c} AS VARCHAR), ' ')" for c in ("conv_id", "turn")]
+    inserted = [(0, 0, 0, "", ""), (0, 2, 2, "I", "u"), (0, 4, 3, "II", "ua"), (1, 0, 1, "", ""), (1, 2, 2, "I", "u"), (1, 4, 3, "II", "ua"), (2, 0, 2, "", ""), (2, 2, 3, "I", "a"), (3, 0, 3, "", ""), (3, 2, 2, "I", "u")]
+    texts = {"": "''", "u": "chr(10) || 'user:'", "a": "chr(10) || 'assistant:'", "ua": "chr(10) || 'user:' || chr(10) || 'assistant:'"}
+    kept = [(i, a, b) for i, moves in KEPT.items() for a, b in moves.items()]
+    return f"""
+WITH RECURSIVE crcs AS (SELECT list(list_reduce([i] || range(8), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({spaced[0]} || ':' || {spaced[1]}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, crcs),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM raw WHERE kind <> 0),
+places AS (SELECT *, rtrim(text, {signs}) AS bare, left(role, 1) AS ini, row_number() OVER w AS i FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+r AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 3 WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 2 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM places),
+ins(q, cost, t, letters, lines) AS (VALUES {", ".join(f"({q}, {cost}, {t}, '{letters}', {texts[x]})" for q, cost, t, letters, x in inserted)}),
+kept(ini, q, t) AS (VALUES {", ".join(f"('{i}', {a}, {b})" for i, a, b in kept)}),
+asked(q, t, name) AS (VALUES {", ".join(f"({q}, {t}, '{ROLE[q]}')" for q, t in enumerate(ASKED))}),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0, 'letters': '', 'lines': ''}} AS s FROM convs
+  UNION ALL
+  SELECT conv_id, i, t, min(s) AS s FROM (
+    SELECT w.conv_id, r.i, e.t, {{'cost': w.s.cost + ins.cost + e.cost, 'letters': w.s.letters || ins.letters || e.letter, 'lines': w.s.lines || ins.lines || e.line}} AS s
+    FROM walk w JOIN ins ON ins.q = w.q JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1,
+      LATERAL (SELECT ins.t AS t, {DELETE} AS cost, 'D' AS letter, '' AS line
+        UNION ALL SELECT k.t, CASE WHEN r.fault = 1 THEN {STUMP} ELSE 0 END, 'K', chr(10) || r.role || ':' || r.text FROM kept k WHERE r.fault < 2 AND k.ini = r.ini AND k.q = ins.t
+        UNION ALL SELECT a.t, {RE_ROLE} + CASE WHEN r.fault = 1 THEN {STUMP} ELSE 0 END, 'R', chr(10) || a.name || ':' || r.text FROM asked a WHERE r.fault < 2 AND a.q = ins.t) e
+  ) GROUP BY conv_id, i, t),
+ends AS (SELECT w.conv_id, min({{'cost': s.cost + ins.cost, 'letters': s.letters || ins.letters, 'lines': s.lines || ins.lines}}) AS s
+  FROM walk w JOIN ins ON ins.q = w.q AND ins.t IN (0, 3) JOIN (SELECT c.conv_id, count(r.i) AS n FROM convs c LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id) l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.n = w.i GROUP BY w.conv_id),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT ends.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(s.cost AS BIGINT) AS cost, s.letters AS audit, sha256(substr(s.lines, 2)) AS repaired_sha256
+FROM ends LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ends.conv_id"""
