@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.bind import once
+from ..storage import stored
+from . import similar
 
 #: The near-dup threshold of each entry point.
 THRESHOLD = 0.92
 #: Rows that are compared with the leaders at once.
 BLOCK = 256
-#: Comments of a task, at most: the limit of a run's configuration.
+#: Comments of a task that are settled in one group: the limit of a run's configuration.
 MOST_ROWS = 5000
 
 
@@ -62,55 +64,123 @@ def _greedy(ids: np.ndarray, hashes: np.ndarray, vectors: np.ndarray, theta: flo
 
 
 def near(df: DataFrame, theta: float = THRESHOLD, task: str = "task_id", body: str = "cleaned_content", most: int = MOST_ROWS) -> DataFrame:
-    """Hash and cosine duplicates inside every task, in order of ``seq``: is_duplicate, duplicate_group_id, leader_seq.
+    """Hash and cosine duplicates inside every task, in order of ``seq``: is_duplicate, leader_seq, and duplicate_group_id, the leader's.
 
-    Whom a leader claims depends on all rows before, so a task's rows go to one worker; tasks are bounded by
-    their comment limit (more than ``most`` rows are an error) and are spread over the cluster. A worker holds a task's vectors and compares blocks of rows with the leaders.
+    Whom a leader claims depends on all rows before. A task of ``most`` rows or fewer is one group, and tasks are spread over the cluster. Larger ones, up to one
+    task for a whole table, are settled by rounds over the rows that are undecided, see :func:`leaders`. Cleaned texts are hashed and embedded once.
     """
     ready = df.withColumns({"content_hash": text.content_hash(F.col(body)), "embedding": text.embedding(F.col(body))})
-    schema = "task string, seq long, leader_seq long"
+    ready = stored(once(ready, **{_TASK: F.coalesce(F.col(task).cast("string"), F.lit(""))}), "embedded")
+    keyed = ready.select(F.col(_TASK).alias("task"), "seq", "content_hash", "embedding")
+    large = keyed.groupBy("task").count().where(F.col("count") > most).select("task")
+    if large.isEmpty():
+        claims = _in_groups(keyed, theta)
+    else:
+        large = stored(large, "large-tasks")
+        claims = _in_groups(keyed.join(large, "task", "left_anti"), theta).unionByName(leaders(keyed.join(large, "task", "left_semi"), theta, most))
+    claims = claims.select(F.col("task").alias(_TASK), "seq", "leader_seq", "leader_hash")
+    met = ready.join(claims, [_TASK, "seq"]).drop(_TASK)
+    found = met.withColumns({"is_duplicate": F.col("leader_seq").isNotNull(), "duplicate_group_id": text.group_id(F.coalesce("leader_hash", "content_hash"))})
+    return found.drop("leader_hash")
+
+
+_TASK = "__task"
+
+
+def _in_groups(keyed: DataFrame, theta: float) -> DataFrame:
+    """task, seq, leader_seq, leader_hash: every task by the plain rule, in one group."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > most:
-            raise ValueError(f"task {group['task'].iloc[0]} has {len(group)} comments; near duplicates are found in tasks of {most} at most")
         rows = group.sort_values("seq", kind="stable")
         vectors = np.array(rows["embedding"].tolist(), float).reshape(len(rows), -1)
-        of = _greedy(rows["seq"].to_numpy(), rows["content_hash"].to_numpy(), vectors, theta)
-        seq = rows["seq"].to_numpy()
+        seq, hashes = rows["seq"].to_numpy(), rows["content_hash"].to_numpy()
+        of = _greedy(seq, hashes, vectors, theta)
         leader = pd.array([seq[i] if i >= 0 else None for i in of], dtype="Int64")
-        return pd.DataFrame({"task": rows["task"].to_numpy(), "seq": seq, "leader_seq": leader})
+        return pd.DataFrame({"task": rows["task"].to_numpy(), "seq": seq, "leader_seq": leader, "leader_hash": [hashes[i] if i >= 0 else None for i in of]})
 
-    keyed = ready.select(F.col(task).cast("string").alias("task"), "seq", "content_hash", "embedding")
-    claims = keyed.groupBy("task").applyInPandas(run, schema).select(F.col("task").alias("__task"), F.col("seq").alias("__seq"), "leader_seq")
-    met = ready.join(claims, (F.col(task).cast("string").eqNullSafe(F.col("__task"))) & (F.col("seq") == F.col("__seq"))).drop("__task", "__seq")
-    return met.withColumns({"is_duplicate": F.col("leader_seq").isNotNull(), "duplicate_group_id": F.when(F.col("leader_seq").isNotNull(), text.group_id(F.col("content_hash")))})
+    return keyed.groupBy("task").applyInPandas(run, "task string, seq long, leader_seq long, leader_hash string")
 
 
-def similar_pairs(df: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """All pairs (a < b) of vectors whose cosine reaches ``theta``, by blocks of a matrix product.
+def leaders(keyed: DataFrame, theta: float, prefix: int = MOST_ROWS, block: int = similar.BLOCK) -> DataFrame:
+    """The same for tasks of any size: task, seq, leader_seq, leader_hash of rows ``task, seq, content_hash, embedding``.
 
-    Vectors are numbered into blocks; each pair of blocks is one task's work, with memory for two blocks, and only similar pairs leave it.
+    Rows of equal hash and vector are one node, at the place of the first. The first ``prefix`` nodes of a task are settled in one group, since nothing that follows
+    matters to them, and whatever their leaders are close to is decided; in a task of many copies that leaves little. The rest is settled by rounds of exact searches. A row then belongs to the leader
+    with its hash, if that comes before it, else to the earliest leader that is close to it.
     """
-    numbered = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h"))
-    n_blocks = max(1, -(-numbered.count() // block))
-    dealt = numbered.withColumn("blk", (F.col("h") % n_blocks).cast("int")).drop("h")
-    others = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    pairs = dealt.withColumn("other", F.explode(others)).select(F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "k", "v")
+    width = keyed.agg(F.max(F.size("embedding"))).first()[0] or 1
+    unit = similar.units(keyed.select(F.col("task").alias("g"), F.col("seq"), F.col("content_hash").alias("hash"), F.col("embedding").alias("v")), width)
+    rows = stored(unit.withColumn("d", F.md5("v")), "unit-vectors")
+    nodes = stored(rows.groupBy("g", "hash", "d").agg(F.min("seq").alias("k"), F.min_by("v", "seq").alias("v")), "nodes")
+    first = nodes.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where(F.col("place") <= prefix)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = (group[group["blk"] == group[c].iloc[0]] for c in ("x", "y"))
-        a, b = (np.array(g["v"].tolist(), float) for g in (left, right))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        ua, ub = (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None] for m in (a, b))
-        cos = ua @ ub.T
-        i, j = np.nonzero(cos >= theta)
-        ka, kb = left["k"].to_numpy()[i], right["k"].to_numpy()[j]
-        low, high = np.minimum(ka, kb), np.maximum(ka, kb)
-        frame = pd.DataFrame({"a": low, "b": high, "cosine": cos[i, j]})[ka != kb]
-        return frame.drop_duplicates(["a", "b"])
-
-    return pairs.groupBy("x", "y").applyInPandas(run, "a long, b long, cosine double")
+        own = group.sort_values("k", kind="stable")
+        of = _greedy(own["k"].to_numpy(), own["hash"].to_numpy(), np.frombuffer(b"".join(own["v"]), float).reshape(len(own), width), theta)
+        return pd.DataFrame({"k": own["k"].to_numpy(), "leads": of < 0})
+
+    early = stored(first.groupBy("g").applyInPandas(run, "k long, leads boolean"), "first-nodes")
+    marked = stored(nodes.join(early, "k", "left").select("k", "g", "hash", "d", "v", "leads"), "marked-nodes")
+    into = similar.cells(nodes, width)
+    asking = marked.select("k", "g", F.coalesce("leads", F.lit(False)).alias("serves"), F.col("leads").isNull().alias("asks"), "v")
+    claimed = similar.earliest(similar.placed(asking, into, theta), width, theta, block).select("k")
+    hashes = marked.where("leads").select("g", "hash").distinct()
+    open_ = marked.where("leads is null").join(claimed, "k", "left_anti").join(hashes, ["g", "hash"], "left_anti")
+    later = similar.led(open_.select("k", "g", "hash", "v"), into, theta, block)
+    led = stored(marked.where("leads").select("k").union(later), "all-leaders")
+    final = marked.drop("leads").join(led.withColumn("leads", F.lit(True)), "k", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    final = stored(final, "led-nodes", instead_of=marked)
+    asks = final.select("k", "g", F.col("leads").alias("serves"), (~F.col("leads")).alias("asks"), "v")
+    near_ = similar.earliest(similar.placed(asks, into, theta), width, theta, block).withColumnRenamed("least", "near")
+    by_hash = final.where("leads").select("g", "hash", F.col("k").alias("of_hash"))
+    node = final.select("g", "hash", "d", "k").join(near_, "k", "left").drop("k")
+    met = rows.select("g", "hash", "d", "seq").join(node, ["g", "hash", "d"]).join(by_hash, ["g", "hash"], "left")
+    leader = F.when(F.col("of_hash") < F.col("seq"), F.col("of_hash")).when(F.col("of_hash").eqNullSafe(F.col("seq")), F.lit(None)).otherwise(F.col("near"))
+    told = met.select(F.col("g").alias("task"), "seq", leader.alias("leader_seq"))
+    names = final.where("leads").select(F.col("g").alias("task"), F.col("k").alias("leader_seq"), F.col("hash").alias("leader_hash"))
+    return told.join(names, ["task", "leader_seq"], "left").select("task", "seq", "leader_seq", "leader_hash")
+
+
+def _distinct_vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame, int]:
+    """Every key's class (the smallest key with its vector), and the classes as rows to be placed."""
+    plain = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and v is not null")
+    width = plain.agg(F.max(F.size("v"))).first()[0] or 1
+    own = stored(similar.units(plain, width).withColumn("d", F.md5("v")), "unit-vectors")
+    classes = stored(own.groupBy("d").agg(F.min("k").alias("k"), F.min_by("v", "k").alias("v"), F.count("*").alias("n")), "vector-classes")
+    return own.select("k", "d").join(classes.select("d", F.col("k").alias("class"), "n"), "d").select("k", "class", "n"), classes, width
+
+
+def class_pairs(classes: DataFrame, width: int, theta: float, block: int = similar.BLOCK) -> DataFrame:
+    """a, b, cosine of different vectors that are close enough, each by its class."""
+    ready = classes.select("k", F.lit("").alias("g"), F.lit(True).alias("serves"), F.lit(True).alias("asks"), "v")
+    return similar.pairs(similar.placed(ready, similar.cells(classes, width), theta), width, theta, block)
+
+
+def similar_pairs(df: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", block: int = similar.BLOCK) -> DataFrame:
+    """All pairs (a < b) of vectors whose cosine reaches ``theta``: different vectors meet in :mod:`similar`'s cells and tiles, then classes of equal ones are written out.
+
+    Rows without a key or a vector take no part. What comes out grows with the square of a class; :func:`similar_links` does not write classes out.
+    """
+    of, classes, width = _distinct_vectors(df, key, vector)
+    found = stored(class_pairs(classes, width, theta, block), "class-pairs")
+    one, other = (of.select(F.col("class").alias(c), F.col("k").alias(f"k_{c}")) for c in ("a", "b"))
+    across = found.join(one, "a").join(other, "b").select("k_a", "k_b", "cosine")
+    same = of.where("n > 1")
+    zero = classes.where(F.expr("v != cast(repeat(char(0), octet_length(v)) as binary)")).select(F.col("k").alias("class"))
+    inside = same.join(zero, "class", "left_semi")
+    twice = inside.select("class", F.col("k").alias("k_a")).join(inside.select("class", F.col("k").alias("k_b")), "class").where("k_a < k_b").select("k_a", "k_b", F.lit(1.0).alias("cosine"))
+    every = across.unionByName(twice) if theta <= 1 + similar.SLACK else across
+    return every.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"), "cosine").distinct()
+
+
+def similar_links(df: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", block: int = similar.BLOCK) -> DataFrame:
+    """A row per key: its class (the smallest key with the same vector) and ``n_links``, how many other keys are close enough to it."""
+    of, classes, width = _distinct_vectors(df, key, vector)
+    found = stored(class_pairs(classes, width, theta, block), "class-pairs")
+    both = found.select(F.col("a").alias("k"), F.col("b").alias("other")).union(found.select("b", "a"))
+    sizes = classes.select(F.col("k").alias("other"), "n")
+    linked = both.join(sizes, "other").groupBy(F.col("k").alias("class")).agg(F.sum("n").alias("near"))
+    return of.join(linked, "class", "left").select(F.col("k").alias(key), F.col("class").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links"))
 
 
 def earlier_near(df: DataFrame, theta: float, group: str, body: str = "cleaned_content") -> DataFrame:

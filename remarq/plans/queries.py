@@ -185,10 +185,44 @@ def has_earlier_near_dup(spark, sf_dir):
     return dedup.earlier_near(turns(spark, sf_dir), NEAR, "thread_id", "content")
 
 
-@query()
+@query(
+    "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4)"
+    " SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS class_id, coalesce(n, 0) AS n_links FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) ON vec_id = a"
+)
+def cosine_links(spark, sf_dir):
+    """How many vectors each is close to, without writing pairs out."""
+    return dedup.similar_links(_table(spark, sf_dir, "embeddings"), 0.4)
+
+
+def _leaders_sql(task: str) -> str:
+    """The plain rule, row after row of every task, with the leaders so far."""
+    chain = Chain(f"SELECT conv_id * 1000 + turn AS seq, {task} AS task, text AS content FROM conversations", TAX, LATIN_SENTIMENT).deduped.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{chain},
+w AS (SELECT seq, task, content_hash, CASE WHEN len(f) > 0 THEN f ELSE [low] END AS words FROM (SELECT *, regexp_extract_all(low, '([\\p{{L}}\\p{{N}}_]+)', 1) AS f FROM e)),
+b AS (SELECT *, list_transform(words, lambda x: CAST(('0x' || substr(sha1(x), 1, 8)) AS BIGINT) % 64) AS bucket FROM w),
+k AS (SELECT *, list_transform(range(64), lambda i: CAST(len(list_filter(bucket, lambda v: v = i)) AS DOUBLE)) AS counts FROM b),
+v AS MATERIALIZED (SELECT seq, task, content_hash AS h, list_transform(counts, lambda x: round(x / sqrt(list_sum(list_transform(counts, lambda y: y * y))), 6)) AS v, row_number() OVER (PARTITION BY task ORDER BY seq) AS i FROM k),
+walk AS (
+  SELECT DISTINCT task, 0::BIGINT AS i, CAST([] AS STRUCT(seq BIGINT, h VARCHAR, v DOUBLE[])[]) AS leaders, NULL::BIGINT AS seq, NULL::VARCHAR AS h, NULL::BIGINT AS leader_seq FROM v
+  UNION ALL
+  SELECT task, i, CASE WHEN found IS NULL THEN list_append(leaders, {{'seq': seq, 'h': h, 'v': v}}) ELSE leaders END, seq, h, found
+  FROM (SELECT o.task, o.i, o.seq, o.h, o.v, x.leaders, coalesce(list_filter(x.leaders, lambda y: y.h = o.h)[1].seq, list_filter(x.leaders, lambda y: list_cosine_similarity(y.v, o.v) >= {NEAR})[1].seq) AS found FROM walk x JOIN v o ON o.task = x.task AND o.i = x.i + 1))
+SELECT m.seq, m.task AS task_id, m.leader_seq IS NOT NULL AS is_duplicate, m.leader_seq, substr(coalesce(l.h, m.h), 1, 12) AS duplicate_group_id FROM walk m LEFT JOIN v l ON l.task = m.task AND l.seq = m.leader_seq WHERE m.seq IS NOT NULL"""
+
+
+def _leaders(rows: DataFrame, **settings) -> DataFrame:
+    return dedup.near(rows, NEAR, **settings).select("seq", "task_id", "is_duplicate", "leader_seq", "duplicate_group_id")
+
+
+@query(_leaders_sql("CAST(conv_id AS VARCHAR)"))
 def near_dedup_leaders(spark, sf_dir):
-    t = comments.clean(turns(spark, sf_dir)).withColumn("task_id", F.col("thread_id"))
-    return dedup.near(t, NEAR).select("seq", "task_id", "is_duplicate", "leader_seq")
+    return _leaders(comments.clean(turns(spark, sf_dir)).withColumn("task_id", F.col("thread_id")))
+
+
+@query(_leaders_sql("'all'"))
+def near_dedup_table(spark, sf_dir):
+    """One task for the whole table, of which the first hundred rows are settled in one group and the rest in rounds."""
+    return _leaders(comments.clean(turns(spark, sf_dir)).withColumn("task_id", F.lit("all")), most=100)
 
 
 @query()
