@@ -28,16 +28,23 @@ def clean(df: DataFrame) -> DataFrame:
     return scored.where("quality_score > 0.2").withColumn("language", text.language(F.col("cleaned_content")))
 
 
-def sentiment(df: DataFrame, lexicon: Lexicon = SENTIMENT) -> DataFrame:
+def scored(df: DataFrame, lexicon: Lexicon = SENTIMENT, domain: str | Taxonomy = "basketball") -> DataFrame:
+    """:func:`sentiment` and :func:`labels` from one pass over the texts for all their terms."""
+    tax = taxonomy(domain) if isinstance(domain, str) else domain
+    met, hits = match.with_hits(df, "__hits", F.col("cleaned_content"), [*match.lexicon_terms(lexicon), *match.label_terms(tax)])
+    return labels(sentiment(met, lexicon, hits), tax, hits).drop("__hits")
+
+
+def sentiment(df: DataFrame, lexicon: Lexicon = SENTIMENT, hits: match.Hits | None = None) -> DataFrame:
     """Struct ``sentiment`` with label, score and confidence."""
-    scored = once(df, __h=match.sentiment_hundredths(F.col("cleaned_content"), lexicon))
+    scored = df.withColumn("__h", match.sentiment_hundredths(F.col("cleaned_content"), lexicon, hits))
     h = F.greatest(F.lit(-100), F.least(F.lit(100), F.col("__h")))
     label = F.when(h >= 55, "strong_positive").when(h >= 15, "positive").when(h <= -55, "strong_negative").when(h <= -15, "negative").otherwise("neutral")
     score = h / F.lit(100.0)
     return scored.withColumn("sentiment", F.struct(label.alias("label"), score.alias("score"), F.least(F.lit(0.95), F.lit(0.55) + F.abs(score) * 0.4).alias("confidence"))).drop("__h")
 
 
-def labels(df: DataFrame, domain: str | Taxonomy = "basketball") -> DataFrame:
+def labels(df: DataFrame, domain: str | Taxonomy = "basketball", hits: match.Hits | None = None) -> DataFrame:
     """Structs ``painpoint`` (negative rows), ``positive_attribution`` (positive rows) and ``stance`` (all rows)."""
     tax = taxonomy(domain) if isinstance(domain, str) else domain
     score, body = F.col("sentiment.score"), F.col("cleaned_content")
@@ -45,11 +52,11 @@ def labels(df: DataFrame, domain: str | Taxonomy = "basketball") -> DataFrame:
     def named(found, reason: str):
         return F.struct(found["label"].alias("category"), found["confidence"].alias("confidence"), F.concat(F.lit(reason), found["term"]).alias("reason"))
 
-    stance = match.first_label(body, tax)
+    stance = match.first_label(body, tax, hits=hits)
     return df.withColumns(
         {
-            "painpoint": F.when(score < -0.1, named(match.longest_label(body, tax, "negative"), "term: ")),
-            "positive_attribution": F.when(score > 0.1, named(match.longest_label(body, tax, "positive"), "term: ")),
+            "painpoint": F.when(score < -0.1, named(match.longest_label(body, tax, "negative", hits), "term: ")),
+            "positive_attribution": F.when(score > 0.1, named(match.longest_label(body, tax, "positive", hits), "term: ")),
             "stance": F.struct(stance["label"].alias("label"), stance["confidence"].alias("confidence"), F.concat(F.lit("term: "), stance["term"]).alias("reason")),
         }
     )

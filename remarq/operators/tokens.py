@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import let
 from ..functions.lexicon import Taxonomy
+from ..functions.match import Hits, occurring, vocabulary
 from ..functions.text import NO_SPACE, PUNCTUATION_CUT, collapsed
 
 LATIN_WORD = "[A-Za-z][A-Za-z0-9_-]+"
@@ -30,26 +31,26 @@ def tokens(text: Column, tax: Taxonomy) -> Column:
     term. Of tokens that differ in case alone the first stays."""
     stop = tax.stop_words
     terms = sorted((t.strip() for t in tax.known_terms if len(t.strip()) > 1 and t.lower() not in stop), key=lambda t: (-len(t), t))
-    lows = sorted({t.lower() for t in tax.known_terms})
-    longer = [t for t in lows if len(t) >= 2]
+    lows = vocabulary(tax.known_terms)
 
-    def known(body: Column) -> Column:
-        rows = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms))
-        return let(F.lower(body), lambda low: F.transform(F.filter(rows, lambda r: low.contains(r["low"])), lambda r: r["term"]))
+    def every(body: Column, found: Column) -> Column:
+        hits = Hits(found, lows)
+        # a word of the text can only hold a term that the text holds
+        longer = F.filter(F.transform(found, lambda i: F.get(F.array(*map(F.lit, lows)), i)), lambda t: F.length(t) >= 2)
 
-    def wanted(word: Column) -> Column:
-        holds = F.exists(F.array(*map(F.lit, longer)), lambda t: F.lower(word).contains(t)) if longer else F.lit(False)
-        return keep(word, stop) & (word.rlike(f"^{LATIN_WORD}$") | F.lower(word).isin(*lows) | ((F.length(word) <= 6) & holds))
+        def wanted(word: Column) -> Column:
+            return keep(word, stop) & (word.rlike(f"^{LATIN_WORD}$") | F.lower(word).isin(*lows) | ((F.length(word) <= 6) & F.exists(longer, lambda t: F.lower(word).contains(t))))
 
-    def every(body: Column) -> Column:
         words = F.filter(F.regexp_extract_all(body, F.lit(f"({LATIN_WORD}|{CJK_RUN})"), 1), wanted)
-        return F.filter(F.concat(known(body), words) if terms else words, lambda t: keep(t, stop))
+        return F.filter(F.concat(hits.forms(terms), words) if terms else words, lambda t: keep(t, stop))
 
     def firsts(ordered: Column) -> Column:
         return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["key"] != x["key"]))
 
     # by key and place, so that the first of each key stays; then back in order of place
-    keyed = F.transform(let(prepared(F.coalesce(text, F.lit(""))), every), lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("place"), t.alias("form")))
+    body = prepared(F.coalesce(text, F.lit("")))
+    met = F.struct(body.alias("body"), occurring(F.lower(body), lows).alias("found"))
+    keyed = F.transform(let(met, lambda m: every(m["body"], m["found"])), lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("place"), t.alias("form")))
     placed = F.transform(let(F.array_sort(keyed), firsts), lambda x: F.struct(x["place"].alias("place"), x["form"].alias("form")))
     return F.transform(F.array_sort(placed), lambda x: x["form"])
 

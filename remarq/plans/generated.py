@@ -71,7 +71,7 @@ _LABELS = " SELECT seq, pain, pain_sure, good, good_sure, stance, stance_sure FR
 
 
 def _labels(spark, sf_dir, domain):
-    rows = comments.labels(comments.sentiment(comments.clean(comments_of(spark, sf_dir, domain))), domain)
+    rows = comments.scored(comments.clean(comments_of(spark, sf_dir, domain)), domain=domain)
     names = {"pain": "painpoint", "good": "positive_attribution"}
     return rows.select("seq", *(F.col(f"{c}.{f}").alias(a) for n, c in names.items() for f, a in (("category", n), ("confidence", f"{n}_sure"))), F.col("stance.label").alias("stance"), F.col("stance.confidence").alias("stance_sure"))
 

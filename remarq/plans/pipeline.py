@@ -49,7 +49,7 @@ class AnalysisResult:
 def analysed(cleaned: DataFrame, domain: str, lexicon: Lexicon | None = None) -> DataFrame:
     """Hash, scores, labels, tokens, noise flag and rule cluster of cleaned comments: each row on its own, in one pass."""
     tax = taxonomy(domain)
-    scored = comments.labels(comments.sentiment(cleaned, lexicon or (LATIN_SENTIMENT if domain == "latin" else SENTIMENT)), tax)
+    scored = comments.scored(cleaned, lexicon or (LATIN_SENTIMENT if domain == "latin" else SENTIMENT), tax)
     marked = clusters.noise(once(scored, tokens=tokens.tokens(F.col("cleaned_content"), tax)), tax)
     return clusters.rule_key(marked, tax).withColumn("content_hash", text.content_hash(F.col("cleaned_content")))
 

@@ -67,7 +67,7 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = comments.labels(comments.sentiment(cleaned(spark, sf_dir), LATIN_SENTIMENT), TAX)
+    rows = comments.scored(cleaned(spark, sf_dir), LATIN_SENTIMENT, TAX)
     return dedup.exact(stored(rows.withColumn("content_hash", text.content_hash(F.col("cleaned_content"))), "scored"))
 
 
