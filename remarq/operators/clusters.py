@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import Taxonomy
 from ..storage import stored
+from .dedup import MOST_ROWS
 
 # Names that appear in results.
 NOISE_KEY, NOISE_NAME = "__noise__", "噪声/低信息评论"
@@ -79,9 +80,11 @@ def have_vectors(df: DataFrame, vector: str = "embedding") -> bool:
     return n > 0 and not bad
 
 
-def method_for(n: int, vectors: bool = True) -> str:
-    """The method ladder: k-means from 12 rows on if all have vectors, else rules."""
-    return "kmeans" if n >= 12 and vectors else "rules"
+def method_for(n: int, vectors: bool = True, density: bool = False) -> str:
+    """The method ladder: by density from 30 rows on if asked for (to the comment limit of a run), else k-means from 12 rows on, if all have vectors; else rules."""
+    if not vectors or n < 12:
+        return "rules"
+    return "density" if density and 30 <= n <= MOST_ROWS else "kmeans"
 
 
 def top_counts(df: DataFrame, group: list[str], value: str, k: int, first: str = "first_seq") -> DataFrame:

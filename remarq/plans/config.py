@@ -36,6 +36,8 @@ class AnalysisConfig:
     enable_insight: bool = True
     mode: str = "mock"
     enable_images: bool = True
+    #: Whether clusters by density are tried before k-means.
+    density_clusters: bool = False
     max_images: int = MOST_IMAGES
     data_source: str = "mock"
     source_path: str | None = None
@@ -67,7 +69,7 @@ class AnalysisConfig:
             if name in given:
                 items = split_list(given[name]) if isinstance(given[name], str) else given[name]
                 given[name] = tuple(dict.fromkeys(x for x in (str(i).strip() for i in items) if x))
-        for name in ("enable_insight", "enable_images"):
+        for name in ("enable_insight", "enable_images", "density_clusters"):
             if values.get(name) is not None:
                 given[name] = bool(values[name])
         if values.get("max_images") is not None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.bind import once
 from ..functions.lexicon import LATIN_SENTIMENT, SENTIMENT, Lexicon, taxonomy
-from ..operators import aggregates, cards, clusters, comments, dedup, media, tokens
+from ..operators import aggregates, cards, clusters, comments, dedup, density, media, tokens
 from ..sources import articles, router
 from ..storage import stored
 from .config import AnalysisConfig
@@ -66,6 +66,12 @@ def by_kmeans(df: DataFrame) -> DataFrame:
     return with_clusters(own).unionByName(df.where("is_duplicate").withColumn("cluster_id", F.lit(None).cast("int")))
 
 
+def by_density(df: DataFrame) -> DataFrame:
+    """``cluster_id`` from density clusters of the non-duplicates' vectors, numbered by size with what is in none as -1; for a task that the ladder allows."""
+    found = density.density_clusters(df.where(~F.col("is_duplicate"))).select(F.col("key").alias("seq"), F.when(F.col("cluster_label") == density.NOISE, clusters.NOISE_KEY).otherwise(F.col("cluster_label").cast("string")).alias("cluster_key"))
+    return with_clusters(df.drop("cluster_key").join(found, "seq", "left"))
+
+
 class _Steps:
     """Names, times and outcomes of a run's steps."""
 
@@ -141,8 +147,9 @@ def run_pipeline(
         own = marked.where(~F.col("is_duplicate"))
         counts["dedup"] = own.count()
     with steps.step("cluster", lambda: f"clusters={counts['clusters']}"):
-        method = clusters.method_for(counts["dedup"], clusters.have_vectors(own))
-        done = stored(by_kmeans(marked) if method == "kmeans" else with_clusters(marked), "clustered", instead_of=marked)
+        method = clusters.method_for(counts["dedup"], clusters.have_vectors(own), config.density_clusters)
+        by = {"density": by_density, "kmeans": by_kmeans, "rules": with_clusters}[method]
+        done = stored(by(marked), "clustered", instead_of=marked)
         found = stored(clusters.summary(done, tax, method), "clusters")
         counts["clusters"] = found.count()
     with steps.step("quality"):

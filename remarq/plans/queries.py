@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.lexicon import LATIN_SENTIMENT, taxonomy
-from ..operators import aggregates, cards, clusters, comments, dedup, tokens
+from ..operators import aggregates, cards, clusters, comments, dedup, density, tokens
 from ..sources import articles
 from ..storage import spread, stored
 from ..streaming import trend
@@ -230,6 +230,13 @@ def kmeans_clusters(spark, sf_dir):
     return clusters.kmeans_clusters(_table(spark, sf_dir, "embeddings"), k=6).select("vec_id", "cluster_label")
 
 
+@query()
+def density_clusters(spark, sf_dir):
+    """Runs of a thousand vectors each, by their ids."""
+    e = _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 1000").alias("task_id"), F.col("vec_id").alias("seq"), "embedding")
+    return density.density_clusters(e).select(F.col("key").alias("vec_id"), F.col("task"), "cluster_label")
+
+
 # --- scores and labels -------------------------------------------------------------------------
 
 
