@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.lexicon import SENTIMENT, TAXONOMIES
 from ..operators import aggregates, cards, clusters, comments, dedup, media, tokens
-from ..sources import articles, files, synthetic, threads
+from ..sources import articles, files, paged, synthetic, threads
 from ..storage import fresh_folder, spread, stored
 from . import pipeline
 from .chain import Chain, listed, quoted
@@ -328,6 +328,24 @@ def thread_pages(spark, sf_dir):
     return found.select("id", "topic", "author_hash", "like_count", "reply_count", "publish_time", "source_url", "thread_id", "board", F.array_join("thread_image_urls", ",").alias("images"), "total_pages")
 
 
+@query(
+    """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(count(DISTINCT i // 3) AS BIGINT) AS n_pages, least(4, count(*)) AS n_posts FROM t WHERE i // 3 * 3 < 4 GROUP BY conv_id"""
+)
+def paged_threads(spark, sf_dir):
+    """Conversations as stored threads of three posts a page, read as far as a share of four posts asks: no thread's third page is read."""
+    post = F.struct(F.concat_ws("-", "conv_id", "turn").alias("pid"), F.lit("post").alias("content"))
+    placed = _table(spark, sf_dir, "conversations").withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    sizes = F.count("*").over(Window.partitionBy("conv_id"))
+    pages = placed.withColumn("total", sizes).groupBy("conv_id", F.expr("cast(i div 3 + 1 as int)").alias("page")).agg(F.max("total").alias("total"), F.array_sort(F.collect_list(post)).alias("list"))
+    detail = F.struct(F.struct(F.col("conv_id").cast("string").alias("tid")).alias("thread"), F.struct("total", F.lit(3).alias("size"), "list").alias("replies"))
+    html = F.concat(F.lit('<script id="__NEXT_DATA__">'), F.to_json(F.struct(F.struct(F.struct(detail.alias("detail")).alias("pageProps")).alias("props"))), F.lit("</script>"))
+    manifest = paged.write_pages(pages.select(F.col("conv_id").cast("string").alias("thread_id"), "page", F.lit("").alias("url"), html.alias("html")))
+    read = stored(paged.stored_threads(spark, manifest, share=4), "pages-read")
+    posts = threads.parse_pages(read, order=F.struct("thread_id", "page")).groupBy("thread_id").agg(F.least(F.lit(4), F.count("*")).cast("long").alias("n_posts"))
+    return read.groupBy("thread_id").agg(F.count("*").alias("n_pages")).join(posts, "thread_id")
+
+
 _URLS = "CASE page_id % 4 WHEN 0 THEN concat('https://bbs.hupu.com/', page_id, '.html') WHEN 1 THEN concat('https://m.hupu.com/bbs/', page_id, '-2.html') WHEN 2 THEN concat('http://BBS.hupu.com/', page_id, '?x=1') ELSE url END"
 
 

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files, synthetic, threads
+from . import files, paged, synthetic, threads
 
 #: Columns of threads that a source without them has as nulls.
 THREAD = {"thread_id": "string", "thread_title": "string", "thread_excerpt": "string", "thread_image_urls": "array<string>", "board": "string"}
@@ -35,13 +35,20 @@ def _mock(spark: SparkSession, plan: Plan) -> DataFrame:
 
 
 def _threads(spark: SparkSession, plan: Plan) -> DataFrame:
-    """Stored pages: a table of ``html, url``, or the path of one page. Each of the distinct threads has an even share, rounded up."""
-    pages, urls = plan.options.get("pages"), list(dict.fromkeys(plan.options.get("urls") or ()))
+    """Stored pages: the manifest of stored threads, of which those of the addresses are read as far as their share; a table of ``html, url``; or the path of one page.
+    Each of the distinct threads has an even share, rounded up."""
+    pages, urls, order = plan.options.get("pages"), list(dict.fromkeys(plan.options.get("urls") or ())), None
+    if plan.options.get("manifest"):
+        wanted = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, place int").select(threads.thread_id(F.col("url")).alias("thread_id"), "place").dropna().dropDuplicates(["thread_id"])
+        ids = [r["thread_id"] for r in wanted.collect()]  # the run's addresses
+        read = paged.stored_threads(spark, plan.options["manifest"], share=-(-plan.most // max(1, len(urls))))
+        pages = read.where(F.col("thread_id").isin(ids)).join(F.broadcast(wanted), "thread_id")
+        order = F.col("place") * F.lit(1 << 32) + F.col("page")
     if pages is None:
         if not plan.options.get("path"):
             raise ValueError("a forum source takes stored pages: a table of html and url, or the path of one")
         pages = spark.read.option("wholetext", True).text(plan.options["path"]).select(F.col("value").alias("html"), F.lit(urls[0] if urls else plan.options["path"]).alias("url"))
-    rows = threads.capped(threads.parse_pages(pages), plan.most, max(1, len(urls)))
+    rows = threads.capped(threads.parse_pages(pages, order=order), plan.most, max(1, len(urls)))
     return rows.select(F.monotonically_increasing_id().alias("seq"), "id", F.lit(plan.platform).alias("platform"), "topic", "content", "author_hash", "like_count", "reply_count", "publish_time", "source_url", F.lit(None).cast("string").alias("parent_id"), *THREAD)
 
 

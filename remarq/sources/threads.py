@@ -34,12 +34,12 @@ def _shown(flag: Column) -> Column:
     return F.coalesce(~F.lower(flag).isin("true", "1"), F.lit(True))
 
 
-def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", site: str = SITE) -> DataFrame:
-    """A row per visible post with text, replies before highlights, in page order; posts seen before go."""
+def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", site: str = SITE, order: Column | None = None) -> DataFrame:
+    """A row per visible post with text, replies before highlights, in page order; posts seen before go. Pages are in the ``order`` given, else as they are read."""
     body = F.from_json(F.regexp_extract(F.col(html), SCRIPT, 1), SCHEMA)
     d = F.col("detail")
     none = F.array().cast(f"array<{POST}>")
-    opened = pages.withColumn("page_seq", F.monotonically_increasing_id()).withColumn("detail", body["props"]["pageProps"]["detail"]).where(d.isNotNull())
+    opened = pages.withColumn("page_seq", F.monotonically_increasing_id() if order is None else order).withColumn("detail", body["props"]["pageProps"]["detail"]).where(d.isNotNull())
     posts = F.concat(F.coalesce(d["replies"]["list"], none), F.coalesce(d["lights"], none))
     each = opened.select("page_seq", F.col(url).alias("source_url"), "detail", F.posexplode(posts).alias("pos", "p"))
     p = F.col("p")
