@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.lexicon import SENTIMENT, TAXONOMIES
 from ..operators import aggregates, cards, clusters, comments, dedup, media, tokens
-from ..sources import articles, files, paged, synthetic, threads
+from ..sources import articles, files, order, paged, synthetic, threads
 from ..storage import fresh_folder, spread, stored
 from . import pipeline
 from .chain import Chain, listed, quoted
@@ -328,6 +328,22 @@ def thread_pages(spark, sf_dir):
     return found.select("id", "topic", "author_hash", "like_count", "reply_count", "publish_time", "source_url", "thread_id", "board", F.array_join("thread_image_urls", ",").alias("images"), "total_pages")
 
 
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, CAST(event_id AS VARCHAR) AS id, event_type AS content FROM events")
+def rows_in_order(spark, sf_dir):
+    """Rows of many CSV files, numbered in the order of the files and of their lines."""
+    folder = fresh_folder(spark, "events") + "/events.csv"
+    _table(spark, sf_dir, "events").orderBy("event_id").select("event_id", F.col("event_type").alias("comment_text")).write.option("header", True).csv(folder)
+    return order.numbered(files.read_rows(spark, folder, places=True)).select("seq", F.col("event_id").alias("id"), F.col("comment_text").alias("content"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, CAST(event_id AS VARCHAR) AS id FROM events ORDER BY event_id LIMIT 5000")
+def first_rows_of_files(spark, sf_dir):
+    """A run's share of an upload: the first 5,000 rows, the limit of a run."""
+    folder = fresh_folder(spark, "events") + "/events.jsonl"
+    _table(spark, sf_dir, "events").orderBy("event_id").select(F.col("event_id").alias("comment_id"), F.col("event_type").alias("comment_text")).write.json(folder)
+    return files.comments_from_file(spark, folder, mapping={"id": "comment_id", "content": "comment_text"}).select("seq", "id")
+
+
 @query(
     """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(count(DISTINCT i // 3) AS BIGINT) AS n_pages, least(4, count(*)) AS n_posts FROM t WHERE i // 3 * 3 < 4 GROUP BY conv_id"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .order import FILE, START, numbered, with_places
 
 # Names under which each field may come.
 ALIASES = {
@@ -25,23 +26,35 @@ ALIASES = {
 UPLOAD_ALIASES = ALIASES | {"content": ("content", "comment_text", "text", "comment", "body", "message", "评论内容", "内容"), "like_count": ("like_count", "likes", "点赞数"), "publish_time": ("publish_time", "created_at", "time", "date", "发布时间")}
 RECORD_KEYS = ("comments", "data", "items", "records")
 # End of fixed values.
+#: The number of a row in its file, among raw columns.
+SEQ = "__seq"
 MOST_BYTES = 10 << 20
 PREVIEW = 10
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text. JSON files hold a list, or an object with a list under one of the record keys."""
-    suffix = path.rsplit(".", 1)[-1].lower()
+def holds_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field of a CSV file may hold a line break: some line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_rows(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """All columns as text. JSON files hold a list, or an object with a list under one of the record keys.
+
+    A CSV file without line breaks in fields is read in splits, others whole. ``places`` adds where rows are from, for :func:`order.numbered`.
+    """
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    keep = with_places if places else lambda df: df
     if suffix == "csv":
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return keep(spark.read.option("header", True).option("multiLine", holds_line_breaks(spark, path)).option("escape", '"').csv(path))
     if suffix == "jsonl":
-        return spark.read.option("primitivesAsString", True).json(path)
+        return keep(spark.read.option("primitivesAsString", True).json(path))
     if suffix != "json":
         raise ValueError(f"no reader for .{suffix}")
-    found = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    found = keep(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path))
     for key in RECORD_KEYS:
         if key in found.columns and found.schema[key].dataType.typeName() == "array":
-            return found.select(F.explode(key).alias("r")).select("r.*")
+            return found.select(*([FILE, START] if places else []), F.explode(key).alias("r")).select(*([FILE, START] if places else []), "r.*")
     return found
 
 
@@ -63,7 +76,7 @@ def with_mapping(mapping: dict[str, str], changes: dict[str, str], columns: list
 
 
 def normalize_rows(df: DataFrame, platform: str = "", topic: str = "", mapping: dict[str, str] | None = None) -> DataFrame:
-    """Raw rows to the comment schema with ``seq`` from the order read. A mapped field takes its column alone, even where that is empty."""
+    """Raw rows to the comment schema; ``seq`` is theirs, or comes from the order read. A mapped field takes its column alone, even where that is empty."""
     mapping = mapping or {}
 
     def given(column: str) -> Column:
@@ -78,7 +91,7 @@ def normalize_rows(df: DataFrame, platform: str = "", topic: str = "", mapping:
 
     content = F.coalesce(value("content"), F.lit(""))
     return df.select(
-        F.monotonically_increasing_id().alias("seq"),
+        (F.col(SEQ) if SEQ in df.columns else F.monotonically_increasing_id()).alias("seq"),
         F.coalesce(value("id"), text.surrogate_id(content)).alias("id"),
         F.coalesce(value("platform"), F.lit(platform)).alias("platform"),
         F.coalesce(value("topic"), F.lit(topic)).alias("topic"),
@@ -93,8 +106,8 @@ def normalize_rows(df: DataFrame, platform: str = "", topic: str = "", mapping:
 
 
 def comments_from_file(spark: SparkSession, path: str, most: int = 5000, **options) -> DataFrame:
-    """The first ``most`` comments of a file."""
-    return normalize_rows(read_rows(spark, path).limit(most), **options)
+    """The first ``most`` comments of a file, numbered in its order."""
+    return normalize_rows(numbered(read_rows(spark, path, places=True), SEQ, most), **options)
 
 
 @dataclass
