@@ -3,7 +3,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from remarq.llm import decontaminate, near_copies, simhash
@@ -217,3 +219,16 @@ def test_signatures_never_differ_in_more_bits_than_the_sets():
         a, b = (whole[np.array([rng.random() < share for _ in whole])] for share in (0.9, rng.random()))
         x, y = (np.frombuffer(near_copies.signature(s), np.uint64) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("own_words", [5, 12])
+def test_pages_of_one_notice_are_no_candidates(spark, own_words):
+    """A notice of 30 words and words of each page's own: similarities of 0.72 and less, and two thousand pages that share a shingle."""
+    notice = " ".join(f"n{i}" for i in range(30))
+    texts = spark.createDataFrame([(near_copies.node(t), t) for t in (notice + "".join(f" p{i}x{j}" for j in range(own_words)) for i in range(2000))], "id long, t string").repartition(4)
+    marks = near_copies._shared(near_copies._marks(texts, *near_copies._common(texts))).withColumn("label", F.col("id"))
+    assert near_copies._pairs(marks, None).count() <= 20 * 2000
+    assert near_copies.links(texts).count() == 0
+    tables = {t.name for t in spark.catalog.listTables()}
+    assert near_copies.groups(texts.withColumnsRenamed({"id": "doc_id", "t": "text"})).where("doc_id != component_id").count() == 0
+    assert {t.name for t in spark.catalog.listTables()} == tables
