@@ -10,7 +10,7 @@ from ..functions.lexicon import SENTIMENT, TAXONOMIES
 from ..operators import aggregates, cards, clusters, comments, dedup, media, tokens
 from ..sources import articles, files, order, paged, synthetic, threads
 from ..storage import fresh_folder, spread, stored
-from . import pipeline
+from . import insight, pipeline
 from .chain import Chain, listed, quoted
 from .queries import _table, card_rows, query, summary_rows, with_low_tokens
 
@@ -376,6 +376,13 @@ def html_images(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.array_join(text.html_images(tags), ",").alias("images"))
 
 
+@query("SELECT conv_id, turn, regexp_matches(text, 'the[^。；，,]{0,16}(in|on)|and[^。；，,]{0,16}(of|wh)') AS wrong FROM conversations")
+def outcome_contradictions(spark, sf_dir):
+    """Clauses in which "the" loses or "and" wins, by other verbs than the packaged ones."""
+    c = _table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", insight.contradicts(F.col("text"), F.lit("the"), F.lit("and"), ("in", "on"), ("of", "wh")).alias("wrong"))
+
+
 # --- media -------------------------------------------------------------------------------------
 
 
