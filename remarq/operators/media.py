@@ -19,7 +19,7 @@ LOW_VALUE, NO_SIGNAL, NO_RELEVANCE = "图片信息量低", "OCR 未提供足够
 RELEVANCE, LEVELS = ("high", "medium", "low", "unrelated"), ("high", "medium", "low")
 # End of fixed values.
 #: Fields of an answer about an image.
-ANSWER = "url string, status string, summary string, ocr_text string, data_points array<string>, relevance string, information_value string, confidence string, model string"
+ANSWER = "url string, status string, summary string, ocr_text string, data_points array<string>, relevance string, information_value string, confidence string, model string, entities array<string>, image_count int, error string"
 
 
 def _hits(body: Column, terms: tuple[str, ...]) -> Column:
@@ -78,19 +78,26 @@ def informative_images(urls: Column, most: int = 4) -> Column:
     return F.transform(F.when(F.size(hinted) > 0, F.slice(hinted, 1, most)).otherwise(F.slice(ordered, 1, 1)), lambda r: r["url"])
 
 
-def ranked_sources(candidates: DataFrame, least: int = 2) -> DataFrame:
-    """Candidates worth looking at with their ``rank``: authority, then score, then place. Sources of a run are few (threads and articles, not comments)."""
+def _of_run(task: str | None) -> list[str]:
+    return [] if task is None else [task]
+
+
+def ranked_sources(candidates: DataFrame, least: int = 2, task: str | None = None) -> DataFrame:
+    """Candidates worth looking at with their ``rank``: authority, then score, then place. Sources of a run are few (threads and articles, not comments); with a
+    ``task`` column those of many runs are ranked side by side, each run in its own window."""
     level = F.create_map(*(F.lit(x) for kv in AUTHORITY_RANK.items() for x in kv))[F.col("authority_level")]
-    order = Window.orderBy(F.desc(level), F.desc("information_score"), F.col("source_kind") == "news", "seq")
+    order = Window.partitionBy(*_of_run(task)).orderBy(F.desc(level), F.desc("information_score"), F.col("source_kind") == "news", "seq")
     return candidates.where(F.col("information_score") >= least).withColumn("rank", F.row_number().over(order))
 
 
-def budgeted_images(ranked: DataFrame, budget: int, enabled: bool = True) -> DataFrame:
-    """A row per distinct image in rank order, with its source; beyond the budget its status is ``skipped_limit``, without analysis ``disabled``."""
-    each = ranked.select("rank", "title", "source_url", "source_kind", "authority_level", "information_score", *(["selection_reasons"] if "selection_reasons" in ranked.columns else []), F.posexplode(informative_images(F.col("image_urls"))).alias("pos", "url"))
-    rest = [c for c in each.columns if c not in ("url", "rank", "pos")]
-    first = each.groupBy("url").agg(F.min(F.struct("rank", "pos")).alias("place"), F.min_by(F.struct(*rest), F.struct("rank", "pos")).alias("source")).select("url", "place.*", "source.*")
-    place = F.row_number().over(Window.orderBy("rank", "pos"))
+def budgeted_images(ranked: DataFrame, budget: int, enabled: bool = True, task: str | None = None) -> DataFrame:
+    """A row per distinct image in rank order, with its source; beyond the budget its status is ``skipped_limit``, without analysis ``disabled``. With a ``task`` column
+    every run has its own images and budget."""
+    run = _of_run(task)
+    each = ranked.select(*run, "rank", "title", "source_url", "source_kind", "authority_level", "information_score", *(["selection_reasons"] if "selection_reasons" in ranked.columns else []), F.posexplode(informative_images(F.col("image_urls"))).alias("pos", "url"))
+    rest = [c for c in each.columns if c not in ("url", "rank", "pos", *run)]
+    first = each.groupBy(*run, "url").agg(F.min(F.struct("rank", "pos")).alias("place"), F.min_by(F.struct(*rest), F.struct("rank", "pos")).alias("source")).select(*run, "url", "place.*", "source.*")
+    place = F.row_number().over(Window.partitionBy(*run).orderBy("rank", "pos"))
     return first.withColumn("status", F.when(place <= budget, "selected").otherwise("skipped_limit") if enabled else F.lit("disabled"))
 
 
@@ -106,15 +113,23 @@ def answer(url: str, reply: dict, model: str = "") -> dict:
 
     points = reply.get("data_points") or []
     points = [text(p, 500) for p in (points if isinstance(points, list) else [points])]
+    named = reply.get("entities") or []
+    entities = [text(e, 500) for e in (named if isinstance(named, list) else [named])]
     return {
-        "url": url, "status": "completed", "summary": text(reply.get("summary"), 800), "ocr_text": text(reply.get("ocr_text"), 500), "data_points": [p for p in points if p][:16],
+        "url": url, "status": "completed", "summary": text(reply.get("summary"), 800), "ocr_text": text(reply.get("ocr_text"), 500), "data_points": [p for p in points if p][:16], "entities": [e for e in entities if e][:12], "image_count": 1,
         "relevance": choice("relevance", RELEVANCE, "medium"), "information_value": choice("information_value", LEVELS, "low"), "confidence": choice("confidence", LEVELS, "low"), "model": model,
     }
 
 
+def passing(fault: Exception) -> bool:
+    """Whether a service's fault may pass by itself: transport, too many requests, or the server's own; a status is looked for on the fault and on its response."""
+    status = next((v for of in (fault, getattr(fault, "response", None)) for v in (getattr(of, "status_code", None), getattr(of, "code", None)) if isinstance(v, int)), None)
+    return status == 429 or status >= 500 if status is not None else isinstance(fault, OSError)
+
+
 def analysed(images: DataFrame, service: Callable[[dict], dict] | None, model: str = "", tries: int = 2) -> list[dict]:
-    """An answer for each selected image. The service takes a source with one image; it is called on the driver, at most
-    ``tries`` times for each of a bounded number of images, and its failures are answers too."""
+    """An answer for each selected image. The service takes a source with one image; it is called on the driver, for each of a bounded number
+    of images once, or up to ``tries`` times while its fault is one that passes (connections and time-outs are OSErrors); its failures are answers too."""
     out = []
     for row in images.where("status = 'selected'").orderBy("rank", "pos").collect():
         if service is None:
@@ -124,9 +139,10 @@ def analysed(images: DataFrame, service: Callable[[dict], dict] | None, model: s
             try:
                 out.append(answer(row["url"], service({**row.asDict(recursive=True), "image_urls": [row["url"]]}), model))
                 break
-            except Exception:  # noqa: BLE001  whatever the service throws
-                if attempt == tries - 1:
-                    out.append({"url": row["url"], "status": "error", "model": model})
+            except Exception as fault:  # noqa: BLE001  whatever the service throws
+                if attempt == tries - 1 or not passing(fault):
+                    out.append({"url": row["url"], "status": "error", "model": model, "image_count": 1, "error": str(fault)[:300]})
+                    break
     return out
 
 

@@ -433,6 +433,25 @@ def image_budget(spark, sf_dir):
     return media.budgeted_images(ranked, 6).select("url", "rank", "status")
 
 
+@query(
+    _RATED
+    + f""", z AS (SELECT *, seq // 30 AS run FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY {_LEVEL} DESC, information_score DESC, source_kind = 'news', seq) AS rank, [{_pick_sql(_IMAGES, "seq")}, 'http://i/' || (seq % 40) || '.jpg', {_pick_sql(_IMAGES, "seq // 3")}] AS urls FROM z WHERE information_score >= 2),
+g AS (SELECT *, list_filter(urls, lambda u: regexp_matches(u, '^https?://') AND NOT contains(lower(u), '.gif')) AS good FROM r),
+h AS (SELECT run, rank, url, i, CASE WHEN contains(lower(url), '.png') THEN 3 ELSE 0 END + CASE WHEN contains(lower(url), 'news-editor') THEN 2 ELSE 0 END AS hint FROM (SELECT run, rank, unnest(good) AS url, generate_subscripts(good, 1) AS i FROM g)),
+d AS (SELECT run, rank, url, hint, min(i) AS i FROM h GROUP BY ALL),
+o AS (SELECT *, max(hint) OVER (PARTITION BY run, rank) AS best, row_number() OVER (PARTITION BY run, rank ORDER BY hint DESC, length(url) DESC, i) AS pos FROM d),
+k AS (SELECT * FROM o WHERE CASE WHEN best > 0 THEN hint > 0 AND pos <= 4 ELSE pos = 1 END),
+f AS (SELECT run, url, rank, pos, row_number() OVER (PARTITION BY run, url ORDER BY rank, pos) AS n FROM k)
+SELECT run, url, CAST(rank AS INTEGER) AS rank, CASE WHEN row_number() OVER (PARTITION BY run ORDER BY rank, pos) <= 6 THEN 'selected' ELSE 'skipped_limit' END AS status FROM f WHERE n = 1"""
+)
+def image_budget_by_run(spark, sf_dir):
+    """Many runs side by side, thirty sources each: no window without a key."""
+    images = F.expr(f"array({_pick(_IMAGES, 'seq')}, concat('http://i/', seq % 40, '.jpg'), {_pick(_IMAGES, 'seq div 3')})")
+    sources = media.source_score(_sources(spark, sf_dir), ("红队",)).withColumns({"image_urls": images, "run": F.expr("seq div 30")})
+    return media.budgeted_images(media.ranked_sources(sources, task="run"), 6, task="run").select("run", "url", "rank", "status")
+
+
 _OCR = ["PTS 30 REB 11", "Q4 02:13 LAL 99 BOS 98", "第4节 11:02 98 比 97", "hello there world", "final report", "short", "", "裁判报告全文", "12 and 13.5 points", "only one 7 here"]
 _LEVELS = ["high", "medium", "low", "unrelated"]
 _TOLD = [True, False, False, False, True, False, False, True, True, False]

@@ -168,6 +168,8 @@ def test_images_of_a_run(spark):
 
     def vision(source):
         calls.append(source["image_urls"])
+        if source["image_urls"][0] not in replies:
+            raise ConnectionError("gone")
         return replies[source["image_urls"][0]]
 
     got = {r.url: r for r in pipeline.images(raw, news, AnalysisConfig(max_images=3), vision).collect()}
@@ -212,3 +214,30 @@ def test_streaming_trend_equals_batch(spark, tmp_path):
     q.stop()
     want = sorted(map(tuple, trend.trend(rows).collect()))
     assert sorted(map(tuple, spark.sql("select * from trend").collect())) == want and len(want) > 10
+
+
+def test_only_passing_faults_are_tried_again(spark):
+    images = spark.createDataFrame([(1, 0, f"http://i/{k}.png", "selected") for k in ("too-many", "down", "lost", "refused", "broken", "good")], "rank int, pos int, url string, status string")
+    calls = []
+
+    class Refused(Exception):
+        def __init__(self, code):
+            super().__init__(f"status {code}")
+            self.response = type("R", (), {"status_code": code})()
+
+    def service(source):
+        (url,) = source["image_urls"]
+        kind = url.split("/")[-1].removesuffix(".png")
+        calls.append(kind)
+        if kind == "good":
+            return {"summary": "s", "entities": ["红队", " ", "蓝队"], "data_points": "5"}
+        if kind == "down" and calls.count("down") == 2:
+            return {}
+        raise {"too-many": Refused(429), "down": Refused(503), "refused": Refused(403), "lost": ConnectionError("lost"), "broken": ValueError("x" * 400)}[kind]
+
+    got = {a["url"].split("/")[-1].removesuffix(".png"): a for a in media.analysed(images, service)}
+    assert {k: calls.count(k) for k in got} == {"too-many": 2, "down": 2, "lost": 2, "refused": 1, "broken": 1, "good": 1}
+    assert {k: a["status"] for k, a in got.items()} == {"too-many": "error", "down": "completed", "lost": "error", "refused": "error", "broken": "error", "good": "completed"}
+    assert got["good"]["entities"] == ["红队", "蓝队"] and got["good"]["image_count"] == 1 and len(got["broken"]["error"]) == 300
+    rows = {r.url: r for r in media.with_answers(images, list(got.values())).collect()}
+    assert rows["http://i/good.png"].entities == ["红队", "蓝队"] and rows["http://i/refused.png"].error == "status 403"
