@@ -9,6 +9,7 @@ from ..functions.bind import let
 from ..functions.lexicon import Taxonomy
 from ..functions.match import Hits, occurring, vocabulary
 from ..functions.text import NO_SPACE, PUNCTUATION_CUT, collapsed
+from ..storage import stored
 
 LATIN_WORD = "[A-Za-z][A-Za-z0-9_-]+"
 CJK_RUN = "[一-鿿]{2,}"
@@ -78,10 +79,24 @@ def word_cloud(df: DataFrame, tax: Taxonomy, limit: int = 60) -> DataFrame:
     return top.select("word", "df", F.round(1 + F.col("score") / F.max("score").over(Window.partitionBy()) * 9, 3).alias("weight"))
 
 
-def word_clouds(df: DataFrame, tax: Taxonomy) -> DataFrame:
-    """cloud ("all", "positive", "negative"), word, df, weight."""
-    parts = [word_cloud(of_polarity(df, c), tax).withColumn("cloud", F.lit(c)) for c in ("all", "positive", "negative")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+CLOUDS = ("all", "positive", "negative")
+
+
+def word_clouds(df: DataFrame, tax: Taxonomy, limit: int = 60) -> DataFrame:
+    """cloud ("all", "positive", "negative"), word, df, weight: :func:`word_cloud` of each polarity from one pass over the tokens.
+
+    A row counts for the clouds that take it; its tokens, and a null for the row itself, are counted by cloud before they are shuffled, once. The best of a cloud are
+    found by ranks that are limited before their shuffle.
+    """
+    taken = F.array_compact(F.array(*(F.when(polar(c), F.lit(c)) for c in CLOUDS)))
+    rows = df.where(~F.col("is_duplicate") & (F.size("tokens") > 0)).select("seq", taken.alias("clouds"), F.posexplode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("pos", "word"))
+    each = rows.select(F.explode("clouds").alias("cloud"), "seq", "pos", "word")
+    counted = stored(each.groupBy("cloud", F.lower("word").alias("key")).agg(F.min_by("word", F.struct("seq", "pos")).alias("word"), F.count("*").alias("df")), "cloud-words")
+    n = counted.where("key is null").select("cloud", F.col("df").alias("n"))  # a row a cloud
+    met = counted.where("key is not null").join(F.broadcast(n), "cloud")
+    scored = met.withColumn("score", F.col("df") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1) * boost(F.col("key"), tax))
+    top = scored.withColumn("place", F.row_number().over(Window.partitionBy("cloud").orderBy(F.desc("score"), "key"))).where(F.col("place") <= limit)
+    return top.select("cloud", "word", "df", F.round(1 + F.col("score") / F.max("score").over(Window.partitionBy("cloud")) * 9, 3).alias("weight"))
 
 
 def shown_words(cloud: DataFrame, most: int = 50) -> DataFrame:
@@ -90,14 +105,19 @@ def shown_words(cloud: DataFrame, most: int = 50) -> DataFrame:
     return tidy.orderBy(F.desc("weight"), "word").limit(most).withColumn("weight", F.greatest(F.col("weight"), F.lit(1.0)))
 
 
-def of_polarity(df: DataFrame, polarity: str) -> DataFrame:
-    """Rows that a word cloud of a polarity takes."""
+def polar(polarity: str) -> Column:
+    """Whether a word cloud of a polarity takes a row."""
     score, label = F.col("sentiment.score"), F.col("sentiment.label")
     if polarity == "positive":
-        return df.where((score > 0.1) | label.endswith("positive"))
+        return (score > 0.1) | label.endswith("positive")
     if polarity == "negative":
-        return df.where((score < -0.1) | label.endswith("negative"))
-    return df
+        return (score < -0.1) | label.endswith("negative")
+    return F.lit(True)
+
+
+def of_polarity(df: DataFrame, polarity: str) -> DataFrame:
+    """Rows that a word cloud of a polarity takes."""
+    return df.where(polar(polarity))
 
 
 # The clouds' captions.

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import uuid
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSelector, FileType
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import open_fs
@@ -46,6 +52,58 @@ def persist(result: AnalysisResult, folder: str, task_id: str) -> None:
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").parquet(f"{folder}/{name}")
 
 
+def _place(task_id: str) -> str:
+    """A folder's name for a task, of letters that every file system and address takes."""
+    return re.sub(r"[^A-Za-z0-9-]+", "_", task_id)[:40] + "-" + hashlib.sha1(task_id.encode()).hexdigest()[:12]
+
+
+def commit(result: AnalysisResult, folder: str, task_id: str) -> str:
+    """All tables of a run as one: they are written to a place of their own, then the task's pointer is put in the place of the former one, which is one step.
+
+    A run that fails before leaves the former run whole; :func:`committed` never sees parts of a run. Gives back the version; versions that no pointer names may be removed by
+    :func:`without_others` once nothing reads them.
+    """
+    version = uuid.uuid4().hex
+    for name in TABLES:
+        frame: DataFrame = getattr(result, name)
+        frame.drop("task_id").write.parquet(f"{folder}/versions/{_place(task_id)}/{version}/{name}")
+    files, path = open_fs(f"{folder}/current")
+    files.create_dir(path, recursive=True)
+    draft = f"{path}/.{version}"
+    with files.open_output_stream(draft) as out:
+        out.write(json.dumps({"task_id": task_id, "version": version}).encode())
+    files.move(draft, f"{path}/{_place(task_id)}.json")
+    return version
+
+
+def versions(folder: str) -> dict[str, str]:
+    """The version of every task that counts."""
+    files, path = open_fs(f"{folder}/current")
+    if files.get_file_info(path).type == FileType.NotFound:
+        return {}
+    found = (f for f in files.get_file_info(FileSelector(path)) if f.base_name.endswith(".json") and not f.base_name.startswith("."))
+    told = (json.loads(files.open_input_stream(f.path).read()) for f in found)
+    return {t["task_id"]: t["version"] for t in told}
+
+
+def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table over all tasks' runs that count, with ``task_id``; tasks without columns that others have get nulls."""
+    parts = [spark.read.parquet(f"{folder}/versions/{_place(t)}/{v}/{name}").withColumn("task_id", F.lit(t)) for t, v in sorted(versions(folder).items())]
+    if not parts:
+        raise ValueError("no run has been committed")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def without_others(folder: str, task_id: str) -> int:
+    """Removes a task's versions that do not count; how many."""
+    files, path = open_fs(f"{folder}/versions/{_place(task_id)}")
+    kept = versions(folder).get(task_id)
+    gone = [f.path for f in files.get_file_info(FileSelector(path)) if f.base_name != kept]
+    for g in gone:
+        files.delete_dir(g)
+    return len(gone)
+
+
 def demo_csv(rows: DataFrame, path: str) -> None:
     """A folder of CSV files with a header."""
     rows.select(*COLUMNS).write.mode("overwrite").option("header", True).csv(path)

@@ -241,3 +241,28 @@ def test_only_passing_faults_are_tried_again(spark):
     assert got["good"]["entities"] == ["红队", "蓝队"] and got["good"]["image_count"] == 1 and len(got["broken"]["error"]) == 300
     rows = {r.url: r for r in media.with_answers(images, list(got.values())).collect()}
     assert rows["http://i/good.png"].entities == ["红队", "蓝队"] and rows["http://i/refused.png"].error == "status 403"
+
+
+def test_a_run_counts_as_a_whole(spark, tmp_path):
+    """A run that fails at its seventh table leaves the former one; pointers name what counts."""
+    folder = f"file://{tmp_path}/runs"
+
+    def run(n, fail=None):
+        frames = {name: spark.range(n).withColumn("name", F.lit(name)) for name in sinks.TABLES}
+        if fail:
+            frames[fail] = frames[fail].withColumn("id", F.raise_error(F.lit("killed")))
+        return type("Run", (), frames)()
+
+    with pytest.raises(ValueError):
+        sinks.committed(spark, folder, "raw")
+    first = sinks.commit(run(3), folder, "a/1")
+    sinks.commit(run(5), folder, "b")
+    with pytest.raises(Exception, match="killed"):
+        sinks.commit(run(9, sinks.TABLES[6]), folder, "a/1")
+    assert sinks.versions(folder)["a/1"] == first
+    for name in sinks.TABLES:
+        assert {(r.task_id, r["count"]) for r in sinks.committed(spark, folder, name).groupBy("task_id").count().collect()} == {("a/1", 3), ("b", 5)}
+    again = sinks.commit(run(4), folder, "a/1")
+    assert sinks.versions(folder)["a/1"] == again != first
+    assert sinks.committed(spark, folder, "cards").where("task_id = 'a/1'").count() == 4
+    assert sinks.without_others(folder, "a/1") == 2 and sinks.committed(spark, folder, "cards").count() == 9
