@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.lexicon import SENTIMENT, TAXONOMIES
 from ..operators import aggregates, cards, clusters, comments, dedup, media, tokens
-from ..sources import articles, files, order, paged, synthetic, threads
+from ..sources import articles, files, order, paged, synthetic, threads, variant
 from ..storage import fresh_folder, spread, stored
 from . import insight, pipeline
 from .chain import Chain, listed, quoted
@@ -383,6 +383,28 @@ def outcome_contradictions(spark, sf_dir):
     return c.select("conv_id", "turn", insight.contradicts(F.col("text"), F.lit("the"), F.lit("and"), ("in", "on"), ("of", "wh")).alias("wrong"))
 
 
+_K = "CAST(json_extract(props, '$.k') AS VARCHAR)"
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"""SELECT event_id, {", ".join(f"CASE WHEN event_type = '{t}' THEN {_K} END AS {t}" for t in _TYPES)}, CAST(event_id AS VARCHAR) AS id, '{{"k":' || {_K} || '}}' AS props FROM events""")
+def ragged_rows(spark, sf_dir):
+    """Events as JSON whose fields differ by type: one table of all fields."""
+    e = _table(spark, sf_dir, "events")
+    lines = e.select("event_id", F.format_string('{"id": %d, "%s": %s, "props": %s}', "event_id", "event_type", F.get_json_object("props", "$.k"), "props").alias("line"))
+    return variant.table(variant.objects(lines, "line").drop("line"))
+
+
+@query(f"""SELECT event_id, CASE event_id % 5 WHEN 3 THEN NULL WHEN 4 THEN 'ARRAY' ELSE 'OBJECT' END AS kind, CASE event_id % 5 WHEN 3 THEN '' WHEN 4 THEN {_K} || '|' || event_type ELSE 'k：' || {_K} END AS texts FROM events""")
+def tolerant_replies(spark, sf_dir):
+    """Events' properties as a service might send them: fenced, with words around them, plain, broken, as a list."""
+    reply = """CASE event_id % 5 WHEN 0 THEN concat('```json\n', props, '\n```') WHEN 1 THEN concat('Here: ', props, ' - done') WHEN 2 THEN props WHEN 3 THEN concat('{', event_type)
+      ELSE concat('```\n[', get_json_object(props, '$.k'), ', null, "", "', event_type, '"]\n```') END"""
+    v = variant.tolerant(F.expr(reply))
+    read = _table(spark, sf_dir, "events").select("event_id", v.alias("v"))
+    return read.select("event_id", variant.kind(F.col("v")).alias("kind"), F.array_join(variant.texts(F.col("v")), "|").alias("texts"))
+
+
 # --- media -------------------------------------------------------------------------------------
 
 
