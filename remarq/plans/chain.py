@@ -103,6 +103,19 @@ l AS MATERIALIZED (SELECT *, hundredths / 100.0::DOUBLE AS score, CASE WHEN hund
 t AS MATERIALIZED (SELECT *, list_distinct(list_filter(list_concat({known}, list_filter({words}, lambda t: ({keep}) AND ({wanted}))), lambda t: {keep})) AS keys FROM (SELECT *, {body} AS body FROM l)),
 n AS MATERIALIZED (SELECT *, NOT (coalesce(pain_sure >= 0.6, false) OR coalesce(good_sure >= 0.6, false) OR list_has_any(keys, [{self.known}])) AND (stance = {self.fallback} OR length(trim(cleaned_content)) <= 8) AS is_noise_row FROM t)"""
 
+    @property
+    def written(self) -> str:
+        """seq and the tokens in the forms in which they stand, of forms that differ in case alone the first."""
+        stop = ", ".join(map(quoted, self.tax.stop_words))
+        keep = f"length(t) > 1 AND lower(t) NOT IN ({stop}) AND NOT regexp_full_match(t, '[0-9]+') AND NOT (regexp_full_match(t, '[0-9a-zA-Z_-]+') AND length(t) <= 2)"
+        terms = listed(sorted({t.strip() for t in self.tax.known_terms if len(t.strip()) > 1 and t.lower() not in self.tax.stop_words}, key=lambda t: (-len(t), t)))
+        longer = listed(t for t in self.lows if len(t) >= 2)
+        wanted = f"regexp_full_match(t, '{LATIN}') OR lower(t) IN ({self.known}) OR (length(t) <= 6 AND len(list_filter({longer}, lambda x: contains(lower(t), x))) > 0)"
+        words = f"list_filter(regexp_extract_all(body, '({LATIN}|{CJK})', 1), lambda t: ({keep}) AND ({wanted}))"
+        every = f"list_filter(list_concat(list_filter({terms}, lambda t: contains(lower(body), lower(t))), {words}), lambda t: {keep})"
+        return f"""{self.tokenized}, f AS MATERIALIZED (SELECT seq, every, list_transform(every, lambda x: lower(x)) AS lows FROM (SELECT seq, {every} AS every FROM t))
+SELECT seq, array_to_string(list_filter(every, lambda x, i: list_position(lows, lower(x)) = i), ',') AS tokens FROM f"""
+
     @cached_property
     def clustered(self) -> str:
         return f"""{self.tokenized},

@@ -104,6 +104,12 @@ def football_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir, "football")
 
 
+@query(BASKETBALL.written)
+def basketball_tokens_as_written(spark, sf_dir):
+    rows = comments.clean(comments_of(spark, sf_dir, "basketball"))
+    return rows.select("seq", F.array_join(tokens.tokens(F.col("cleaned_content"), TAXONOMIES["basketball"]), ",").alias("tokens"))
+
+
 @query(BASKETBALL.summary)
 def basketball_clusters(spark, sf_dir):
     return summary_rows(clusters.summary(clustered(spark, sf_dir, "basketball"), TAXONOMIES["basketball"]))

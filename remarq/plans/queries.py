@@ -320,6 +320,11 @@ def data_quality_report(spark, sf_dir):
 # --- tokens and clusters -----------------------------------------------------------------------
 
 
+@query(_SQL.written)
+def tokens_as_written(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("seq", F.array_join(tokens.tokens(F.col("cleaned_content"), TAX), ",").alias("tokens"))
+
+
 @query(_SQL.frequencies + " SELECT key, df FROM f")
 def doc_frequency(spark, sf_dir):
     return tokens.document_frequency(marked(spark, sf_dir)).select("key", "df")
