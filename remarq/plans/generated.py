@@ -236,12 +236,12 @@ def generated_comments(spark, sf_dir):
     return found.select("seq", "id", "topic", "content", "author_hash", "like_count", "reply_count", "publish_time", "source_url")
 
 
-def _demo_sql(name: str) -> str:
+def _demo_sql(name: str, rows: str = "range(320) t(i)") -> str:
     told = synthetic.SCENARIOS[name]
     line = "i * 11 + i // 5"
     sentence = f"CASE (i * 5 + i // 13) % 3 WHEN 0 THEN {_pick_sql(told['positive'], line)} WHEN 1 THEN {_pick_sql(told['neutral'], line)} ELSE {_pick_sql(told['negative'], line)} END"
     content = f"replace({sentence}, '{{subject}}', {_pick_sql(told['subjects'], 'i * 7 + i // 9')}) || ' ' || {_pick_sql(synthetic.TAILS, 'i * 3 + i // 17')}"
-    return f"SELECT printf('{name}-%04d', i + 1) AS id, {content} AS content, substr(sha1('{name}:hupu:' || i), 1, 16) AS author_hash, CAST((i * 37 + i // 7 * 11) % 900 AS INTEGER) AS like_count, CAST((i * 13 + i // 19) % 80 AS INTEGER) AS reply_count, {_times('7 * i')} AS publish_time FROM range(320) t(i)"
+    return f"SELECT printf('{name}-%04d', i + 1) AS id, {content} AS content, substr(sha1('{name}:hupu:' || i), 1, 16) AS author_hash, CAST((i * 37 + i // 7 * 11) % 900 AS INTEGER) AS like_count, CAST((i * 13 + i // 19) % 80 AS INTEGER) AS reply_count, {_times('7 * i')} AS publish_time FROM {rows}"
 
 
 @query(" UNION ALL ".join(map(_demo_sql, synthetic.SCENARIOS)))
@@ -250,6 +250,25 @@ def demo_comments(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query(_demo_sql("nba_game", "(SELECT o_orderkey % 50000 AS i FROM orders)"))
+def demo_for_orders(spark, sf_dir):
+    """A demonstration comment for every order, by its number."""
+    numbers = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50000).alias("seq"))
+    return synthetic.demo_for(numbers, "nba_game").select("id", "content", "author_hash", "like_count", "reply_count", "publish_time")
+
+
+@query(
+    f"""SELECT c_custkey, 'mock-hupu-0-' || i AS id, {_pick_sql(synthetic.SENTENCES["football"], "i - 1")} || CASE WHEN i > {len(synthetic.SENTENCES["football"])} THEN ' 第' || i || '条' ELSE '' END AS content, substr(sha1('hupu-' || i), 1, 16) AS author_hash, CAST(8 + 7 * i AS INTEGER) AS like_count, CAST(i % 5 AS INTEGER) AS reply_count, {_times("11 * i")} AS publish_time
+FROM (SELECT c_custkey, c_custkey % 40 + 1 AS i FROM customer)"""
+)
+def generated_for_customers(spark, sf_dir):
+    """A generated comment for every customer; beyond the sentences they carry their numbers."""
+    c = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 40 + 1).alias("number"))
+    made = synthetic.comments_for(c.select("number").distinct(), "football", topic="t", now=synthetic.DEMO_CLOCK)
+    met = c.join(F.broadcast(made), F.col("number") == F.col("seq") + 1)  # forty rows
+    return met.select("c_custkey", "id", "content", "author_hash", "like_count", "reply_count", "publish_time")
+
+
 @query("SELECT * FROM (VALUES ('nba_game', 320::BIGINT, 145::BIGINT), ('world_cup_game', 320::BIGINT, 134::BIGINT)) t(scenario, n_raw, n_dedup)")
 def demo_dedup(spark, sf_dir):
     """How many demonstration comments stay at a similarity of 0.9: counts that are known."""

@@ -132,10 +132,15 @@ def _iso(stamp: Column) -> Column:
 
 def comments(spark: SparkSession, sport: str = "basketball", count: int = 16, platform: str = PLATFORM, topic: str = "", task: str = "0", board: str = "", now: datetime | None = None) -> DataFrame:
     """``count`` comments; beyond the sentences they repeat, with their number behind."""
+    return comments_for(spark.range(1, count + 1).select(F.col("id").alias("number")), sport, platform, topic, task, board, now)
+
+
+def comments_for(numbers: DataFrame, sport: str = "basketball", platform: str = PLATFORM, topic: str = "", task: str = "0", board: str = "", now: datetime | None = None) -> DataFrame:
+    """A comment for every ``number`` of a table, from 1 on."""
     lines = SENTENCES.get(sport, SENTENCES["basketball"])
     i, clock = F.col("number"), F.lit(now) if now else F.current_timestamp()
     title = topic or NO_TITLE
-    return spark.range(1, count + 1).select(F.col("id").alias("number")).select(
+    return numbers.select(
         (i - 1).alias("seq"),
         F.concat(F.lit(f"mock-{platform}-{task}-"), i).alias("id"),
         F.lit(platform).alias("platform"),
@@ -155,6 +160,11 @@ def comments(spark: SparkSession, sport: str = "basketball", count: int = 16, pl
 
 def demo(spark: SparkSession, scenario: str = "nba_game", count: int = 320) -> DataFrame:
     """A scenario's comments: subject, sentence, mood and ending follow from a comment's number, so many repeat."""
+    return demo_for(spark.range(count).select(F.col("id").alias("seq")), scenario)
+
+
+def demo_for(numbers: DataFrame, scenario: str = "nba_game") -> DataFrame:
+    """A scenario's comment for every ``seq`` of a table, from 0 on."""
     told = SCENARIOS[scenario]
     i = F.col("seq")
     moods = ("positive", "neutral", "negative")
@@ -163,7 +173,7 @@ def demo(spark: SparkSession, scenario: str = "nba_game", count: int = 320) -> D
     sentence = F.when(mood == 0, _pick(told[moods[0]], line)).when(mood == 1, _pick(told[moods[1]], line)).otherwise(_pick(told[moods[2]], line))
     subject = _pick(told["subjects"], i * 7 + F.floor(i / 9))
     own = F.format_string(f"{scenario}-%04d", i + 1)
-    return spark.range(count).select(F.col("id").alias("seq")).select(
+    return numbers.select(
         "seq",
         own.alias("id"),
         F.lit(PLATFORM).alias("platform"),
