@@ -195,8 +195,12 @@ def cosine_links(spark, sf_dir):
 
 
 def _leaders_sql(task: str) -> str:
-    """The plain rule, row after row of every task, with the leaders so far."""
-    chain = Chain(f"SELECT conv_id * 1000 + turn AS seq, {task} AS task, text AS content FROM conversations", TAX, LATIN_SENTIMENT).deduped.replace("WITH ", "WITH RECURSIVE ", 1)
+    return leaders_sql(f"SELECT conv_id * 1000 + turn AS seq, {task} AS task, text AS content FROM conversations")
+
+
+def leaders_sql(rows: str) -> str:
+    """Of rows seq, task, content: the plain rule, row after row of every task, with the leaders so far."""
+    chain = Chain(rows, TAX, LATIN_SENTIMENT).deduped.replace("WITH ", "WITH RECURSIVE ", 1)
     return f"""{chain},
 w AS (SELECT seq, task, content_hash, CASE WHEN len(f) > 0 THEN f ELSE [low] END AS words FROM (SELECT *, regexp_extract_all(low, '([\\p{{L}}\\p{{N}}_]+)', 1) AS f FROM e)),
 b AS (SELECT *, list_transform(words, lambda x: CAST(('0x' || substr(sha1(x), 1, 8)) AS BIGINT) % 64) AS bucket FROM w),
