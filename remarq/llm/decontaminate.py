@@ -150,7 +150,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     bench = Benchmark(benchmark, item_text, item, window)
     if bench.small:
         split = docs.select(F.monotonically_increasing_id().alias("row"), column(key).alias("doc_id"), words(column(text)).alias("w")).withColumns({"n_words": F.size("w"), "h": word_hashes(F.col("w"))})
-        joined = _candidates(split, bench).join(F.broadcast(bench.windows.select("gram", "length", "items")), ["gram", "length"], "left")
+        # written before they are grouped: a row's number is that of the one attempt that wrote it
+        joined = stored(_candidates(split, bench), "window-candidates").join(F.broadcast(bench.windows.select("gram", "length", "items")), ["gram", "length"], "left")
         verified = F.col("items").isNotNull()
         by_doc = joined.groupBy("row", "doc_id", "n_words").agg(
             F.collect_list(F.when(verified, F.struct("start", "length"))).alias("spans"),
