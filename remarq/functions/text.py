@@ -90,14 +90,17 @@ def safe_int(value: Column) -> Column:
     return F.coalesce(value.try_cast("double").try_cast("bigint"), F.lit(0))
 
 
-def epoch_iso(value: Column) -> Column:
-    """Seconds or milliseconds since 1970 as an ISO time in UTC; missing values are 1970, what is no number is empty."""
+def epoch_iso(value: Column, millis: bool = True) -> Column:
+    """Seconds or milliseconds since 1970 as an ISO time in UTC; missing values are 1970, what is no number is empty.
+
+    Numbers above 1e10 count as milliseconds, unless ``millis`` says that there are none: seconds go on beyond the year 2286.
+    """
     number = F.when(value.isNull(), F.lit(0.0)).otherwise(value.try_cast("double"))
-    seconds = F.when(number > 1e10, number / 1000.0).otherwise(number)
+    seconds = F.when(number > 1e10, number / 1000.0).otherwise(number) if millis else number
     whole = F.floor(seconds)
     micros = F.round((seconds - whole) * 1_000_000).cast("long")
     stamp = F.timestamp_micros(whole * 1_000_000 + micros)
-    base = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
+    base = F.ltrim(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+"))  # years of five digits have a sign there
     fraction = F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise("")
     return F.when(number.isNull(), "").otherwise(F.concat(base, fraction, F.lit("+00:00")))
 

@@ -36,6 +36,13 @@ def test_scalars(spark):
     assert column(spark, [0.1234], text.percent, "double") == ["12.3%"]
 
 
+def test_seconds_beyond_the_guess_for_milliseconds(spark):
+    def iso(c):
+        return text.epoch_iso(c, millis=False)
+
+    assert column(spark, ["1700000000", "10000001202", "47513992081", "285083992081", "x"], iso) == ["2023-11-14T22:13:20+00:00", "2286-11-20T18:06:42+00:00", "3475-08-29T11:08:01+00:00", "11003-12-15T05:48:01+00:00", ""]
+
+
 def python_embedding(t):
     words = re.findall(r"\w+", t.lower()) or [t.lower()]
     counts = [0.0] * 64
