@@ -121,7 +121,7 @@ def leaders(keyed: DataFrame, theta: float, prefix: int = MOST_ROWS, block: int
 
     early = stored(first.groupBy("g").applyInPandas(run, "k long, leads boolean"), "first-nodes")
     marked = stored(nodes.join(early, "k", "left").select("k", "g", "hash", "d", "v", "leads"), "marked-nodes")
-    into = similar.cells(nodes, width)
+    into = similar.cells(nodes, width, theta)
     asking = marked.select("k", "g", F.coalesce("leads", F.lit(False)).alias("serves"), F.col("leads").isNull().alias("asks"), "v")
     claimed = similar.earliest(similar.placed(asking, into, theta), width, theta, block).select("k")
     hashes = marked.where("leads").select("g", "hash").distinct()
@@ -153,7 +153,7 @@ def _distinct_vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame,
 def class_pairs(classes: DataFrame, width: int, theta: float, block: int = similar.BLOCK) -> DataFrame:
     """a, b, cosine of different vectors that are close enough, each by its class."""
     ready = classes.select("k", F.lit("").alias("g"), F.lit(True).alias("serves"), F.lit(True).alias("asks"), "v")
-    return similar.pairs(similar.placed(ready, similar.cells(classes, width), theta), width, theta, block)
+    return similar.pairs(similar.placed(ready, similar.cells(classes, width, theta), theta), width, theta, block)
 
 
 def similar_pairs(df: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", block: int = similar.BLOCK) -> DataFrame:

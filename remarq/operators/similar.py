@@ -5,7 +5,8 @@ of its nearest pivot. If x and y are that close and y's home is another pivot p,
 cell's radius plus the distance; so x also goes to all such cells, as an outer row, and nothing is lost. (It goes to cells of smaller numbers only, which is where each pair then meets once.) A cell's rows are
 dealt to blocks by hash, each pair of blocks is a tile, and in a tile only rows whose distances to the pivot differ by no more than the bound are multiplied.
 
-How much this spares depends on the vectors: texts that fall into groups meet few others, random directions meet all, as without cells. Memory of a task is two blocks; a cell with a third
+How much this spares depends on the vectors: texts that fall into groups meet few others, random directions meet all. Cells that spare nothing would only copy every row into all of them, so the number of
+pivots is the one at which a sample's rows make the least work, down to a single cell, whose rows are copied once a block of the others. Memory of a task is two blocks; a cell with a third
 of all rows is many tiles, not a large task. Pivots come from a bounded sample and steer the work alone: results do not hang on them.
 """
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 #: Rows of a block; rows a pivot is chosen for; pivots at most (8 bytes a component each, in every task); rows of which they are chosen.
-BLOCK, CELL_ROWS, MOST_PIVOTS, SAMPLE = 1024, 48, 1024, 8192
+BLOCK, CELL_ROWS, MOST_PIVOTS, SAMPLE = 4096, 48, 1024, 8192
+#: Rows whose distances to all pivots are held at once; placed rows of an output batch; pairs that take as long as a row that is copied to a tile.
+SLICE, PLACED, ROW_PAIRS = 1024, 8192, 200
 #: What a cosine may lack, for rounding.
 SLACK = 1e-12
 HOME, OUTER = 0, 1
@@ -59,7 +62,12 @@ def units(rows: DataFrame, width: int) -> DataFrame:
 
 
 def matrix(vectors: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors.to_pylist()), float).reshape(len(vectors), width)
+    """Values of ``width`` doubles each as rows, without a copy."""
+    if not len(vectors):
+        return np.zeros((0, width))
+    _, offsets, data = vectors.buffers()
+    ends = np.frombuffer(offsets, np.int32)[[vectors.offset, vectors.offset + len(vectors)]]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[1]].view(float).reshape(len(vectors), width)
 
 
 @dataclass(frozen=True)
@@ -77,8 +85,28 @@ class Cells:
         return np.sqrt(np.maximum(0.0, (vectors**2).sum(axis=1)[:, None] + (self.points**2).sum(axis=1)[None] - 2 * vectors @ self.points.T))
 
 
-def _pivots(rows: DataFrame, width: int, n: int) -> np.ndarray:
-    """About a row of CELL_ROWS, from a sample; taken one after the other as those that lie farthest from all before."""
+def _cheapest(points: np.ndarray, pivots: np.ndarray, n: int, theta: float) -> int:
+    """Of these pivots, how many of the first ones to take: cells of ``n`` rows like the sample's points hold pairs, and copy rows to tiles."""
+    reach, share = radius(theta), n / len(points)
+    every = Cells(pivots, np.zeros(len(pivots))).distances(points)
+    best, least = 1, np.inf
+    for p in sorted({len(pivots) >> i for i in range(len(pivots).bit_length())} | {1}):
+        far = every[:, :p]
+        home = far.argmin(axis=1)
+        own = far[np.arange(len(far)), home]
+        radii = np.full(p, -np.inf)
+        np.maximum.at(radii, home, own)
+        near = (far <= own[:, None] + 2 * reach + 1e-6) & (far <= radii[None] + reach + 1e-6) & (np.arange(p)[None] < home[:, None])
+        inside, outer = np.bincount(home, minlength=p) * share, near.sum(axis=0) * share
+        tiles = np.ceil(inside / BLOCK) + np.ceil(outer / BLOCK)
+        cost = (inside * (inside / 2 + outer)).sum() + ROW_PAIRS * (inside * tiles + outer * np.ceil(inside / BLOCK)).sum()
+        if cost < least:
+            best, least = p, cost
+    return best
+
+
+def _pivots(rows: DataFrame, width: int, n: int, theta: float | None) -> np.ndarray:
+    """About a row of CELL_ROWS, from a sample; taken one after the other as those that lie farthest from all before, as long as they spare work at ``theta``."""
     wanted = int(min(MOST_PIVOTS, max(1, n // CELL_ROWS)))
     chosen = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, n)))
     found = rows.where(chosen).select("v").limit(2 * SAMPLE).toArrow()
@@ -89,16 +117,22 @@ def _pivots(rows: DataFrame, width: int, n: int) -> np.ndarray:
         if far.max() < 1e-9:
             break
         at.append(int(far.argmax()))
-    return points[at]
+    return points[at] if theta is None else points[at[: _cheapest(points, points[at], n, theta)]]
 
 
-def cells(rows: DataFrame, width: int) -> Cells:
-    """Cells for the rows' vectors ``v``, and any rows among them."""
-    found = Cells(points := _pivots(rows, width, rows.count()), np.zeros(len(points)))
+def _sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for start in range(0, part.num_rows, SLICE):
+            yield part.slice(start, SLICE)
+
+
+def cells(rows: DataFrame, width: int, theta: float | None = None) -> Cells:
+    """Cells for the rows' vectors ``v``, and any rows among them: as many as spare work in a search by ``theta``."""
+    found = Cells(points := _pivots(rows, width, rows.count(), theta), np.zeros(len(points)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widest = np.full(len(points), -1.0)
-        for part in parts:
+        for part in _sliced(parts):
             if part.num_rows:
                 far = found.distances(matrix(part.column(0), width))
                 np.maximum.at(widest, far.argmin(axis=1), far.min(axis=1))
@@ -116,17 +150,17 @@ def placed(rows: DataFrame, into: Cells, theta: float) -> DataFrame:
     reach = radius(theta)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if not part.num_rows:
-                continue
+        for part in _sliced(parts):
             far = into.distances(matrix(part.column(4), into.width))
             home = far.argmin(axis=1)
             near = (far <= far[np.arange(len(far)), home][:, None] + 2 * reach + 1e-6) & (far <= into.radii[None] + reach + 1e-6)
             near &= np.arange(len(into.points))[None] < home[:, None]
             near[np.arange(len(far)), home] = True
-            i, cell = np.nonzero(near)
-            taken = part.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array((cell != home[i]).astype(np.int8), pa.int8()), pa.array(far[i, cell])], names=["k", "g", "serves", "asks", "v", "cell", "role", "away"])
+            rows_, cells_ = np.nonzero(near)
+            for start in range(0, len(rows_), PLACED):
+                i, cell = rows_[start : start + PLACED], cells_[start : start + PLACED]
+                taken = part.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array((cell != home[i]).astype(np.int8), pa.int8()), pa.array(far[i, cell])], names=["k", "g", "serves", "asks", "v", "cell", "role", "away"])
 
     return rows.select("k", "g", "serves", "asks", "v").mapInArrow(run, "k long, g string, serves boolean, asks boolean, v binary, cell int, role tinyint, away double")
 

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 from test_text_and_rows import greedy
@@ -78,3 +80,34 @@ def test_nothing_is_near_nothing(spark):
     empty = spark.createDataFrame([], "seq long, cleaned_content string, task_id string")
     assert dedup.near(empty, 0.9).collect() == []
     assert dedup.similar_pairs(spark.createDataFrame([(1, None), (None, [1.0])], "vec_id long, embedding array<double>"), 0.5).collect() == []
+
+
+@pytest.mark.parametrize("groups, noise, theta, few", [(1500, 0.0, 0.3, True), (40, 0.05, 0.95, False)])
+def test_cells_that_spare_nothing_are_not_made(spark, groups, noise, theta, few):
+    """Random directions would be copied to every cell; groups keep their cells."""
+    df = frame(spark, some(1500, groups, noise, seed=3))
+    _, classes, width = dedup._distinct_vectors(df, "vec_id", "embedding")
+    ready = classes.select("k", F.lit("").alias("g"), F.lit(True).alias("serves"), F.lit(True).alias("asks"), "v")
+    own = similar.placed(ready, into := similar.cells(classes, width, theta), theta)
+    assert own.count() < 3 * classes.count()
+    assert (len(into.points) == 1) == few
+
+
+def test_placed_rows_leave_in_bounded_batches():
+    """However many cells a row goes to."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    part = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array([""] * 1500), *[pa.array([True] * 1500)] * 2, pa.array([v.tobytes() for v in x], pa.binary())], names=["k", "g", "serves", "asks", "v"])
+
+    class Rows:  # what placed() asks of a table
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([part])))
+
+    out = similar.placed(Rows(), similar.Cells(x[:60], np.full(60, 2.0)), 0.3)
+    assert max(p.num_rows for p in out) <= similar.PLACED
+    assert sum(p.num_rows for p in out) > 10 * 1500
+    assert pa.Table.from_batches(out).filter(pa.compute.field("role") == similar.HOME).num_rows == 1500
