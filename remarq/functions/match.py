@@ -6,7 +6,7 @@ follows (sums, first and longest terms) only ever sees the few that occur, so it
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -19,6 +19,8 @@ from .bind import let
 from .lexicon import Lexicon, Taxonomy
 
 KINDS = ("positive", "negative", "stance")
+#: Texts of a batch that are Python objects at once.
+SLICE = 256
 
 
 @lru_cache(maxsize=32)
@@ -31,6 +33,17 @@ def _automaton(terms: tuple[str, ...]) -> ahocorasick.Automaton:
     return out
 
 
+def places(text: str | None, terms: tuple[str, ...]) -> list[int]:
+    """The places in ``terms`` of those that the text contains, in order."""
+    return sorted({i for _, i in _automaton(terms).iter(text)}) if text and terms else []
+
+
+def by_slices(texts: pa.Array, f: Callable[[str | None], object], kind: pa.DataType) -> pa.Array:
+    """f of every text; no more than ``SLICE`` texts and results are Python objects at a time, whatever a batch holds."""
+    parts = [pa.array([f(t) for t in texts.slice(i, SLICE).to_pylist()], kind) for i in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def occurring(text: Column, terms: tuple[str, ...]) -> Column:
     """The places in ``terms`` of those that the text contains, in order; null and empty texts contain none."""
     if not terms:
@@ -38,8 +51,7 @@ def occurring(text: Column, terms: tuple[str, ...]) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def found(texts: pa.Array) -> pa.Array:
-        own = _automaton(terms)
-        return pa.array([sorted({i for _, i in own.iter(t)}) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return by_slices(texts, lambda t: places(t, terms), pa.list_(pa.int32()))
 
     return found(text)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,16 +27,21 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def _spaced(text: Column, pattern: str, *signs: str) -> Column:
+    """Matches to spaces; the pattern, which only matches texts with one of the signs, goes over no others."""
+    return let(text, lambda t: F.when(reduce(Column.__or__, (t.contains(s) for s in signs)), F.regexp_replace(t, pattern, " ")).otherwise(t))
+
+
 def normalize(text: Column) -> Column:
     """Emoji to words; mentions, page furniture, tags and odd signs to spaces; spaces collapsed. Null counts as empty."""
     out = F.coalesce(text, F.lit(""))
     for sign, word in EMOJI:
         out = F.replace(out, F.lit(sign), F.lit(word))
-    out = F.regexp_replace(out, f"@{NO_SPACE}+", " ")
-    out = F.regexp_replace(out, rf"(^|{SPACE})(作者|置顶评论|回复|赞)({SPACE}|$)", " ")
-    out = F.regexp_replace(out, rf"展开{SPACE}*\d+{SPACE}*条回复", " ")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
-    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}_{PUNCTUATION_KEPT}\-\s\p{{Z}}]", " ")
+    out = _spaced(out, f"@{NO_SPACE}+", "@")
+    out = _spaced(out, rf"(^|{SPACE})(作者|置顶评论|回复|赞)({SPACE}|$)", "作者", "置顶评论", "回复", "赞")
+    out = _spaced(out, rf"展开{SPACE}*\d+{SPACE}*条回复", "展开")
+    out = _spaced(out, "<[^>]+>", "<")
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}_{PUNCTUATION_KEPT}\-\s\p{{Z}}]+", " ")
     return collapsed(out)
 
 
@@ -60,9 +67,10 @@ def quality_score(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """zh if there are as many CJK characters as ASCII letters, else en."""
-    cjk = F.length(F.regexp_replace(text, "[^一-鿿]", ""))
-    latin = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return F.when(cjk >= latin, "zh").otherwise("en")
+    cjk = F.length(F.regexp_replace(text, "[^一-鿿]+", ""))
+    latin = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
+    some = F.when(text.rlike("[A-Za-z]"), "en").otherwise("zh")  # without CJK characters one letter decides
+    return F.when(text.rlike("[一-鿿]"), F.when(cjk >= latin, "zh").otherwise("en")).otherwise(some)
 
 
 def hash_form(text: Column) -> Column:

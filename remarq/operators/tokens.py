@@ -2,58 +2,78 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.bind import let
 from ..functions.lexicon import Taxonomy
-from ..functions.match import Hits, occurring, vocabulary
-from ..functions.text import NO_SPACE, PUNCTUATION_CUT, collapsed
+from ..functions.match import by_slices, places, vocabulary
+from ..functions.text import PUNCTUATION_CUT
 from ..storage import stored
 
 LATIN_WORD = "[A-Za-z][A-Za-z0-9_-]+"
 CJK_RUN = "[一-鿿]{2,}"
+WORD = re.compile(f"{LATIN_WORD}|{CJK_RUN}")
+#: Java's white space and Unicode's separators, as ``text.SPACE`` has them.
+BLANK = " \\t\\n\\x0b\\f\\r\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+ADDRESS, MENTION, TOPIC = re.compile(f"https?://[^{BLANK}]+"), re.compile(f"@[^{BLANK}]+"), re.compile("#([^#]+)#")
+CUT = re.compile(f"[{PUNCTUATION_CUT}{BLANK}]+")
+DIGITS, PLAIN = re.compile(r"\d+"), re.compile("[0-9a-zA-Z_-]+")
 
 
-def prepared(text: Column) -> Column:
-    out = F.regexp_replace(text, f"https?://{NO_SPACE}+", " ")
-    out = F.regexp_replace(out, f"@{NO_SPACE}+", " ")
-    out = F.regexp_replace(out, "#([^#]+)#", " $1 ")
-    return collapsed(F.regexp_replace(out, f"[{PUNCTUATION_CUT}]+", " "))
+def prepared(text: str) -> str:
+    """Addresses, mentions and punctuation to spaces, topics without their signs; spaces collapsed."""
+    if "://" in text:
+        text = ADDRESS.sub(" ", text)
+    if "@" in text:
+        text = MENTION.sub(" ", text)
+    if "#" in text:
+        text = TOPIC.sub(r" \1 ", text)
+    return CUT.sub(" ", text).strip(" ")
 
 
-def keep(token: Column, stop_words: tuple[str, ...]) -> Column:
-    t = F.trim(token)
-    return (F.length(t) > 1) & ~F.lower(t).isin(*stop_words) & ~t.rlike(r"^\p{Nd}+$") & ~(t.rlike("^[0-9a-zA-Z_-]+$") & (F.length(t) <= 2))
+def keep(token: str, stop_words: frozenset[str]) -> bool:
+    t = token.strip(" ")
+    return len(t) > 1 and t.lower() not in stop_words and not DIGITS.fullmatch(t) and not (len(t) <= 2 and PLAIN.fullmatch(t))
 
 
 def tokens(text: Column, tax: Taxonomy) -> Column:
     """Known terms that occur, the longest first and equals by spelling; then Latin words and CJK runs that are or hold a
-    term. Of tokens that differ in case alone the first stays."""
-    stop = tax.stop_words
+    term. Of tokens that differ in case alone the first stays.
+
+    One pass over Arrow batches: a call a word is what costs most here, and Spark interprets the lambdas of its array functions.
+    """
+    stop = frozenset(tax.stop_words)
     terms = sorted((t.strip() for t in tax.known_terms if len(t.strip()) > 1 and t.lower() not in stop), key=lambda t: (-len(t), t))
     lows = vocabulary(tax.known_terms)
-
-    def every(body: Column, found: Column) -> Column:
-        hits = Hits(found, lows)
+    known = frozenset(lows)
+    at: dict[str, list[int]] = {}
+    for i, t in enumerate(terms):
+        if keep(t, stop):
+            at.setdefault(t.lower(), []).append(i)
+
+    def of(text: str) -> list[str]:
+        body = prepared(text)
+        found = [lows[i] for i in places(body.lower(), lows)]
+        out: dict[str, str] = {}
+        for i in sorted(i for t in found for i in at.get(t, ())):
+            out.setdefault(terms[i].lower(), terms[i])
         # a word of the text can only hold a term that the text holds
-        longer = F.filter(F.transform(found, lambda i: F.get(F.array(*map(F.lit, lows)), i)), lambda t: F.length(t) >= 2)
-
-        def wanted(word: Column) -> Column:
-            return keep(word, stop) & (word.rlike(f"^{LATIN_WORD}$") | F.lower(word).isin(*lows) | ((F.length(word) <= 6) & F.exists(longer, lambda t: F.lower(word).contains(t))))
-
-        words = F.filter(F.regexp_extract_all(body, F.lit(f"({LATIN_WORD}|{CJK_RUN})"), 1), wanted)
-        return F.filter(F.concat(hits.forms(terms), words) if terms else words, lambda t: keep(t, stop))
-
-    def firsts(ordered: Column) -> Column:
-        return F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["key"] != x["key"]))
-
-    # by key and place, so that the first of each key stays; then back in order of place
-    body = prepared(F.coalesce(text, F.lit("")))
-    met = F.struct(body.alias("body"), occurring(F.lower(body), lows).alias("found"))
-    keyed = F.transform(let(met, lambda m: every(m["body"], m["found"])), lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("place"), t.alias("form")))
-    placed = F.transform(let(F.array_sort(keyed), firsts), lambda x: F.struct(x["place"].alias("place"), x["form"].alias("form")))
-    return F.transform(F.array_sort(placed), lambda x: x["form"])
+        longer = [t for t in found if len(t) >= 2]
+        for word in WORD.findall(body):
+            key = word.lower()
+            if key not in out and keep(word, stop) and (word[0] < "一" or key in known or (len(word) <= 6 and any(t in key for t in longer))):
+                out[key] = word
+        return list(out.values())
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def every(texts: pa.Array) -> pa.Array:
+        return by_slices(texts, lambda t: of(t or ""), pa.list_(pa.string()))
+
+    return every(text)
 
 
 def document_frequency(df: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Terms by an automaton against looking for each; k-means' own rules."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from remarq.functions import match
 from remarq.functions.lexicon import Lexicon
-from remarq.operators import clusters
+from remarq.operators import clusters, tokens
 
 
 def test_all_terms_are_found_however_they_lie(spark):
@@ -41,3 +42,12 @@ def test_k_means_keeps_its_rules(spark):
     assert [len(g) for g in groups] == [1, 1, 1] and len(set.union(*groups)) == 3
     few = clusters.kmeans_clusters(df.limit(3), k=3)
     assert {r.cluster_label for r in few.collect()} == {None}
+
+
+def test_tokens_of_forms_and_odd_texts(spark):
+    """Terms first and in their order, the first form of a key stays, words hold a term that the text holds; nulls and empty texts have none; more texts than a slice."""
+    tax = SimpleNamespace(known_terms=("Big Win", "VAR", "var", "点球", "门将"), stop_words=("the",))
+    given = ["the\u00a0big\u3000win, Var 点球! x1 ab abc ABC #Topic# me@some http://a.b/c 门将们 普通词", None, "", "12 ab - the"] * 200
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string").coalesce(1)
+    got = [r.k for r in df.select("i", tokens.tokens(F.col("t"), tax).alias("k")).orderBy("i").collect()]
+    assert got == [["Big Win", "VAR", "点球", "门将", "big", "win", "abc", "Topic", "门将们"], [], [], []] * 200
