@@ -8,7 +8,8 @@ that two share tells most: all that they share follows it, so pages of one notic
 
 Distinct texts lie in a table that is bucketed by their id, so a round moves only the texts that are compared, to the one they are compared with.
 
-A bucket's members first meet one of them only, in a few rounds with other partners each; then whatever still lies
+SimHash (``simhash``, three bits) comes first: what it links is compared shingle by shingle, and what is alike there is one group from then on. It links
+neither all copies nor only copies, so the rest follows: a bucket's members meet one of them only, in a few rounds with other partners each; then whatever still lies
 in different groups meets in pairs. So a large group of near copies costs a multiple of its size, and no pair is given up.
 
 Defined cases: texts of equal words are copies, those that are null or blank too; words end at ASCII white space and A-Z count as a-z.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_folder, stored
 from .components import components
-from .simhash import SEED, keep_one, with_digest
+from .simhash import SEED, fingerprint, keep_one, with_digest
+from .simhash import links as links_within
 
 SHINGLE = 5
 #: Documents whose shingles are counted: one of so many, so many at least; and the most shingles that are put last (16 bytes each in every task).
@@ -177,14 +179,24 @@ def signature(own: np.ndarray) -> bytes:
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """id, n (the set's size) and sig of every text."""
+    """id, n (the set's size), sig and fp (the SimHash) of every text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             sets = [shingles(t.as_py()) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int32()), pa.array(map(signature, sets), pa.binary())], names=["id", "n", "sig"])
+            points = np.array([fingerprint(t.as_py()) for t in part.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int32()), pa.array(map(signature, sets), pa.binary()), pa.array(points)], names=["id", "n", "sig", "fp"])
 
-    return texts.select("id", "t").mapInArrow(run, "id long, n int, sig binary")
+    return texts.select("id", "t").mapInArrow(run, "id long, n int, sig binary, fp long")
+
+
+def _by_simhash(signatures: DataFrame) -> DataFrame:
+    """Candidates (a, b) by SimHash: every text with one of its fingerprint, and those with one another along a spanning set of links; no more than a multiple of the texts."""
+    hubs = stored(signatures.groupBy("fp").agg(F.min("id").alias("hub")), "fingerprints")
+    same = signatures.join(hubs, "fp").where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    one, other = (hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}")) for c in ("a", "b"))
+    near = links_within(hubs.select("fp")).join(one, "a").join(other, "b").select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))
+    return same.union(near).distinct()
 
 
 def _plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -265,13 +277,21 @@ def _marks_of(documents: DataFrame) -> DataFrame:
     return documents.select("id", "n", "marks", "label").mapInArrow(run, "m long, id long, n int, pos int, label long")
 
 
+def _labelled(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The marks with the labels of their documents' groups."""
+    labels = components(found).select(F.col("node").alias("id"), F.col("label"))
+    return _marks_of(documents.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+
+
 def links(texts: DataFrame) -> DataFrame:
     """From distinct texts ``id, t``: pairs (a, b) at or above the least similarity that join all that such pairs join."""
     shared = stored(_shared(_marks(texts, *_common(texts))), "shared-marks")
     documents = stored(_of_documents(shared), "marks-of-documents")
     signatures = stored(_signatures(texts), "signatures")
     members = shared.count()
-    found, labelled = None, shared.withColumn("label", F.col("id"))
+    # what SimHash links and the shingles confirm is joined before any bucket is looked at
+    found = _checked(stored(_plausible(_by_simhash(signatures), signatures), "candidates"), texts)
+    labelled = stored(_labelled(documents, found), "labelled-marks")
     for round_ in range(ROUNDS + 1):
         groups = labelled.groupBy("m", "label").count().groupBy("m").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
         left = (groups.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0]) or 0
@@ -281,13 +301,11 @@ def links(texts: DataFrame) -> DataFrame:
         last = round_ == ROUNDS or left <= (FEW_PAIRS if round_ else 1) * members
         pairs = _plausible(_pairs(labelled, None if last else round_), signatures)
         here = _checked(stored(pairs, "candidates"), texts)
-        found = here if found is None else found.union(here)
+        found = found.union(here)
         if last:
             break
-        labels = components(found).select(F.col("node").alias("id"), F.col("label"))
-        now = _marks_of(documents.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-        labelled = stored(now, "labelled-marks", instead_of=labelled)
-    return texts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if found is None else found
+        labelled = stored(_labelled(documents, found), "labelled-marks", instead_of=labelled)
+    return found
 
 
 def _table_by_id(texts: DataFrame) -> tuple[DataFrame, str]:

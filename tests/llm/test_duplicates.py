@@ -147,6 +147,13 @@ def test_the_pipeline_drops_copies_beyond_three_bits(spark):
     assert [r.doc_id for r in corpus_pipeline.without_copies(spark, df, "").collect()] == [0]
 
 
+def test_simhash_names_the_first_candidates(spark):
+    """A text for each of its fingerprint's others, and links between fingerprints: a multiple of the texts, however many are copies."""
+    rows = [(i, 7) for i in range(40)] + [(100 + i, 6) for i in range(5)] + [(200, -1)]
+    got = {tuple(r) for r in near_copies._by_simhash(spark.createDataFrame(rows, "id long, fp long")).collect()}
+    assert got == {(0, i) for i in range(1, 40)} | {(100, i) for i in range(101, 105)} | {(0, 100)}
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = list(range(n))
