@@ -183,9 +183,14 @@ def _signatures(texts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            sets = [shingles(t.as_py()) for t in part.column(1)]
-            points = np.array([fingerprint(t.as_py()) for t in part.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int32()), pa.array(map(signature, sets), pa.binary()), pa.array(points)], names=["id", "n", "sig", "fp"])
+            sizes, signs, points = [], [], []
+            for text in part.column(1):  # a text's shingles are held at a time, not a batch's
+                own = shingles(text.as_py())
+                sizes.append(len(own))
+                signs.append(signature(own))
+                points.append(fingerprint(text.as_py()))
+            numbers = np.array(points, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(numbers)], names=["id", "n", "sig", "fp"])
 
     return texts.select("id", "t").mapInArrow(run, "id long, n int, sig binary, fp long")
 

@@ -38,8 +38,9 @@ MAGIC = b"RMQIDS1\0"
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<QQQII8s")
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("end", "<u8")])
-#: Text bytes encoded at a time, and pieces that a worker remembers.
-BATCH_BYTES = 8 << 20
+#: Text bytes encoded at a time (a worker holds some twenty times as many meanwhile), ids read at a time, and pieces that a worker remembers.
+BATCH_BYTES = 1 << 20
+READ_IDS = 1 << 20
 REMEMBERED = 400_000
 #: Text bytes of one file, about.
 FILE_BYTES = 64 << 20
@@ -305,7 +306,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 reader = Reader(row["file"])
                 ends = reader.docs["end"].astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                for a, b in _runs(ends, 1 << 22):
+                for a, b in _runs(ends, READ_IDS):
                     ids = reader.ids(int(starts[a]), int(ends[b - 1])).astype("<u4")
                     view = memoryview(ids).cast("B")
                     origin = int(starts[a])

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from remarq.llm import packed_ids, token_counts
-from remarq.llm.pieces import load
+from remarq.llm.pieces import batches, load
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "b", " ", "  ", "\n", "'", "'s", "'ll", " '", "é", "ß", "中", "1", "22", ".", "!!", "\t", "　", "\x85", "\x1c", "<|endoftext|>", "<|", "😀", "the", " the", "ing", "\r", "\r\n", "ñ"]
@@ -88,3 +89,16 @@ def test_random_access_reads_only_the_blocks_around_it(spark):
     assert reader.n_ids == len(whole) > packed_ids.BLOCK
     for a, b in ((0, 1), (packed_ids.BLOCK - 3, packed_ids.BLOCK + 5), (len(whole) - 4, len(whole)), (9, 9)):
         assert (reader.ids(a, b) == whole[a:b]).all()
+
+
+def test_encoding_a_table_holds_little_memory():
+    column = pa.array(["some words of a text that is not very long " * 100] * 2000, pa.string())
+    encoder = packed_ids.Encoder(VOCABULARY)
+    tracemalloc.start()
+    try:
+        n = sum(len(encoder.encode(column.slice(a, b - a), 2)[0]) for a, b in batches(column, packed_ids.BATCH_BYTES))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 * (len(encoded(column[0].as_py())) + 1)
+    assert most < 64 << 20
