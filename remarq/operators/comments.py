@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import match, text
+from ..functions import cleaning, match, text
 from ..functions.bind import once
 from ..functions.lexicon import SENTIMENT, Lexicon, Taxonomy, taxonomy
 
@@ -22,10 +22,14 @@ def last_of_each(df: DataFrame, key: str = "id", order: str = "seq") -> DataFram
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Cleaned text, language and quality; empty and low-quality rows go."""
-    cleaned = once(df, cleaned_content=text.normalize(text.collapsed(F.coalesce("content", F.lit("")))))
-    scored = once(cleaned.where("cleaned_content != ''"), quality_score=text.quality_score(F.col("cleaned_content")))
-    return scored.where("quality_score > 0.2").withColumn("language", text.language(F.col("cleaned_content")))
+    """Cleaned text, language, quality and the cleaned text's hash; empty and low-quality rows go."""
+    met = once(df, __row=cleaning.cleaned(F.col("content")))
+    row, slow = F.col("__row"), text.normalize(text.collapsed(F.coalesce("content", F.lit(""))))
+    cleaned = once(met, cleaned_content=F.when(row.isNotNull(), row["cleaned_content"]).otherwise(slow)).where("cleaned_content != ''")
+    body = F.col("cleaned_content")
+    scored = once(cleaned, quality_score=F.when(row.isNotNull(), row["quality_score"]).otherwise(text.quality_score(body)))
+    more = {"language": text.language(body), "content_hash": text.content_hash(body)}
+    return scored.where("quality_score > 0.2").withColumns({n: F.when(row.isNotNull(), row[n]).otherwise(slow) for n, slow in more.items()}).drop("__row")
 
 
 def scored(df: DataFrame, lexicon: Lexicon = SENTIMENT, domain: str | Taxonomy = "basketball") -> DataFrame:

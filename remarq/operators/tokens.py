@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cleaning import BLANK, collapse, others, to_spaces
 from ..functions.lexicon import Taxonomy
 from ..functions.match import by_slices, places, vocabulary
 from ..functions.text import PUNCTUATION_CUT
@@ -17,11 +19,13 @@ from ..storage import stored
 LATIN_WORD = "[A-Za-z][A-Za-z0-9_-]+"
 CJK_RUN = "[一-鿿]{2,}"
 WORD = re.compile(f"{LATIN_WORD}|{CJK_RUN}")
-#: Java's white space and Unicode's separators, as ``text.SPACE`` has them.
-BLANK = " \\t\\n\\x0b\\f\\r\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ADDRESS, MENTION, TOPIC = re.compile(f"https?://[^{BLANK}]+"), re.compile(f"@[^{BLANK}]+"), re.compile("#([^#]+)#")
-CUT = re.compile(f"[{PUNCTUATION_CUT}{BLANK}]+")
+CUT = frozenset(c for c in map(chr, range(0x10000)) if re.match(f"[{PUNCTUATION_CUT}{BLANK}]", c))
+CUT_TABLE = to_spaces(CUT)
 DIGITS, PLAIN = re.compile(r"\d+"), re.compile("[0-9a-zA-Z_-]+")
+#: All but what Latin words are made of, hyphens too, which ``CUT`` has.
+APART = bytes(i if i < 128 and (chr(i).isalnum() or i == 95) else 32 for i in range(256))
+NUMBERED, CJK = re.compile("[0-9_]"), re.compile("[一-鿿]")
 
 
 def prepared(text: str) -> str:
@@ -32,7 +36,10 @@ def prepared(text: str) -> str:
         text = MENTION.sub(" ", text)
     if "#" in text:
         text = TOPIC.sub(r" \1 ", text)
-    return CUT.sub(" ", text).strip(" ")
+    body = text.encode().translate(CUT_TABLE).decode()
+    for c in others(text) & CUT:
+        body = body.replace(c, " ")
+    return collapse(body)
 
 
 def keep(token: str, stop_words: frozenset[str]) -> bool:
@@ -40,38 +47,64 @@ def keep(token: str, stop_words: frozenset[str]) -> bool:
     return len(t) > 1 and t.lower() not in stop_words and not DIGITS.fullmatch(t) and not (len(t) <= 2 and PLAIN.fullmatch(t))
 
 
-def tokens(text: Column, tax: Taxonomy) -> Column:
-    """Known terms that occur, the longest first and equals by spelling; then Latin words and CJK runs that are or hold a
-    term. Of tokens that differ in case alone the first stays.
+class _Finder:
+    """Tokens of texts. Words of Latin letters alone, the most of them, are cut at all other bytes and told apart before any is looked at."""
 
-    One pass over Arrow batches: a call a word is what costs most here, and Spark interprets the lambdas of its array functions.
-    """
-    stop = frozenset(tax.stop_words)
-    terms = sorted((t.strip() for t in tax.known_terms if len(t.strip()) > 1 and t.lower() not in stop), key=lambda t: (-len(t), t))
-    lows = vocabulary(tax.known_terms)
-    known = frozenset(lows)
-    at: dict[str, list[int]] = {}
-    for i, t in enumerate(terms):
-        if keep(t, stop):
-            at.setdefault(t.lower(), []).append(i)
-
-    def of(text: str) -> list[str]:
+    def __init__(self, known_terms: tuple[str, ...], stop_words: tuple[str, ...]):
+        self.stop = frozenset(stop_words)
+        self.terms = sorted((t.strip() for t in known_terms if len(t.strip()) > 1 and t.lower() not in self.stop), key=lambda t: (-len(t), t))
+        self.lows = vocabulary(known_terms)
+        self.known = frozenset(self.lows)
+        self.at: dict[str, list[int]] = {}
+        for i, t in enumerate(self.terms):
+            if keep(t, self.stop):
+                self.at.setdefault(t.lower(), []).append(i)
+
+    def of(self, text: str) -> list[str]:
         body = prepared(text)
-        found = [lows[i] for i in places(body.lower(), lows)]
+        found = [self.lows[i] for i in places(body.lower(), self.lows)]
         out: dict[str, str] = {}
-        for i in sorted(i for t in found for i in at.get(t, ())):
-            out.setdefault(terms[i].lower(), terms[i])
-        # a word of the text can only hold a term that the text holds
-        longer = [t for t in found if len(t) >= 2]
+        for i in sorted(i for t in found for i in self.at.get(t, ())):
+            out.setdefault(self.terms[i].lower(), self.terms[i])
+        if not body.isascii() and CJK.search(body):
+            self._mixed(body, found, out)
+            return list(out.values())
+        words = body.encode().translate(APART).decode()
+        stop = self.stop
+        for word in dict.fromkeys(WORD.findall(words) if NUMBERED.search(words) else words.split()):
+            if len(word) > 2:  # what ``keep`` asks of a Latin word, but for stop words
+                key = word.lower()
+                if key not in out and key not in stop:
+                    out[key] = word
+        return list(out.values())
+
+    def _mixed(self, body: str, found: list[str], out: dict[str, str]) -> None:
+        """Latin words, and CJK runs that are or hold a term."""
+        longer = [t for t in found if len(t) >= 2]  # a word of the text can only hold a term that the text holds
         for word in WORD.findall(body):
             key = word.lower()
-            if key not in out and keep(word, stop) and (word[0] < "一" or key in known or (len(word) <= 6 and any(t in key for t in longer))):
+            if key not in out and keep(word, self.stop) and (word[0] < "一" or key in self.known or (len(word) <= 6 and any(t in key for t in longer))):
                 out[key] = word
-        return list(out.values())
+
+
+@lru_cache(maxsize=8)
+def _finder(known_terms: tuple[str, ...], stop_words: tuple[str, ...]) -> _Finder:
+    """One of each list in a worker, for all its tasks."""
+    return _Finder(known_terms, stop_words)
+
+
+def tokens(text: Column, tax: Taxonomy) -> Column:
+    """Known terms that occur, the longest first and equals by spelling; then Latin words and CJK runs that are or hold a
+    term. Of tokens that differ in case alone the first stays.
+
+    One pass over Arrow batches: a call a word is what costs most here, and Spark interprets the lambdas of its array functions.
+    """
+    known, stop = tuple(tax.known_terms), tuple(tax.stop_words)
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def every(texts: pa.Array) -> pa.Array:
-        return by_slices(texts, lambda t: of(t or ""), pa.list_(pa.string()))
+        own = _finder(known, stop)
+        return by_slices(texts, lambda t: own.of(t or ""), pa.list_(pa.string()))
 
     return every(text)
 

@@ -51,7 +51,8 @@ def analysed(cleaned: DataFrame, domain: str, lexicon: Lexicon | None = None) ->
     tax = taxonomy(domain)
     scored = comments.scored(cleaned, lexicon or (LATIN_SENTIMENT if domain == "latin" else SENTIMENT), tax)
     marked = clusters.noise(once(scored, tokens=tokens.tokens(F.col("cleaned_content"), tax)), tax)
-    return clusters.rule_key(marked, tax).withColumn("content_hash", text.content_hash(F.col("cleaned_content")))
+    keyed = clusters.rule_key(marked, tax)
+    return keyed if "content_hash" in keyed.columns else keyed.withColumn("content_hash", text.content_hash(F.col("cleaned_content")))
 
 
 def with_clusters(df: DataFrame) -> DataFrame:
