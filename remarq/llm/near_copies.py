@@ -9,7 +9,8 @@ that two share tells most: all that they share follows it, so pages of one notic
 Distinct texts lie in a table that is bucketed by their id, so a round moves only the texts that are compared, to the one they are compared with.
 
 SimHash (``simhash``, three bits) comes first: what it links is compared shingle by shingle, and what is alike there is one group from then on. It links
-neither all copies nor only copies, so the rest follows: a bucket's members meet one of them only, in a few rounds with other partners each; then whatever still lies
+neither all copies nor only copies, so the rest follows: in a bucket, members of different groups whose signatures allow it are candidates. A member gets a few partners in a
+round; buckets that have more come again once those are joined, and in the last round whatever still lies
 in different groups meets in pairs. So a large group of near copies costs a multiple of its size, and no pair is given up.
 
 Defined cases: texts of equal words are copies, those that are null or blank too; words end at ASCII white space and A-Z count as a-z.
@@ -35,12 +36,14 @@ from .simhash import links as links_within
 SHINGLE = 5
 #: Documents whose shingles are counted: one of so many, so many at least; and the most shingles that are put last (16 bytes each in every task).
 SHARE, SAMPLE, COMMON = 20, 10_000, 500_000
-#: Rounds in which a bucket's members meet one of them, and pairs a row of the buckets below which no further one is needed.
+#: Rounds in which a row meets so many of its bucket at most; what is left meets in pairs.
 ROUNDS, FEW_PAIRS = 5, 10
+#: Rows that a row looks at first, and twice as many each time after.
+WIDTH = 64
 #: Rows of an output batch.
 BATCH = 1 << 18
-#: Bits of a signature.
-BITS = 1024
+#: Bits of a signature, and of what of it goes with every mark.
+BITS, FOLD = 1024, 512
 #: Partners of a document that one task compares with it.
 PARTNERS = 500
 
@@ -109,7 +112,9 @@ def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for part in parts:
         if not part.num_rows:
             continue
-        new = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns])
+        new = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns[:5]])
+        if len(part.columns) > 5:
+            new = np.hstack([new, np.frombuffer(b"".join(part.column(5).to_pylist()), np.int64).reshape(len(new), -1)])
         cut = int(np.searchsorted(new[:, 0], new[-1, 0]))
         if cut or (held and held[-1][-1, 0] != new[-1, 0]):
             yield np.concatenate([*held, new[:cut]])
@@ -133,42 +138,101 @@ def _shared(marks: DataFrame) -> DataFrame:
 
 
 def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows (bucket, id, n, pos, label) may be alike: in different groups, and what follows the shared shingle is enough with it. (What precedes it is not
-    shared, or the two meet in an earlier bucket, where that is looked at.)"""
+    """Which rows (bucket, id, n, pos, label, words of a signature) may be alike: in different groups, what follows the shared shingle is enough with it, and the
+    signatures differ in no more bits than sets that are alike differ in elements. (What precedes the shingle is not shared, or the two meet in an earlier bucket, where that is looked at.)"""
     n, m, p, q = a[:, 2], b[:, 2], a[:, 3], b[:, 3]
     most = np.minimum(n - p, m - q)
-    return (a[:, 4] != b[:, 4]) & (9 * most >= 4 * (n + m)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+    good = (a[:, 4] != b[:, 4]) & (9 * most >= 4 * (n + m)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+    if a.shape[1] > 5:
+        at = np.flatnonzero(good)
+        apart = np.bitwise_count((a[at, 5:] ^ b[at, 5:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        good[at] = 9 * apart <= (n + m)[at]
+    return good
+
+
+def _main(bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which rows are of their bucket's largest group."""
+    order = np.lexsort((label, bucket))
+    of, labels = bucket[order], label[order]
+    starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (labels[1:] != labels[:-1])]))
+    sizes = np.diff(np.append(starts, len(of)))
+    by_size = np.lexsort((sizes, of[starts]))  # the last of a bucket is its largest
+    largest = np.zeros(int(of[-1]) + 1, np.int64)
+    largest[of[starts][by_size]] = labels[starts][by_size]
+    return label == largest[bucket]
+
+
+def _met(rows: np.ndarray, most: int | None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Pairs of row numbers that may be alike, and the buckets (their shingles) in which a row has more partners than the ``most`` it is given.
+
+    Rows lie by bucket and size. Two of a bucket's largest group are never compared, and a row that has its partners looks for no more: a group of
+    near copies costs a multiple of its rows, however large it is.
+    """
+    bucket = np.concatenate([[0], np.cumsum(rows[1:, 0] != rows[:-1, 0])])
+    main = _main(bucket, rows[:, 4])
+    own = np.flatnonzero(~main)
+    n = rows[:, 2]
+    keys = bucket << 32 | n
+    end = np.searchsorted(keys, bucket[own] << 32 | 5 * n[own] // 4, side="right")
+    begin = np.searchsorted(keys, bucket[own] << 32 | -(-4 * n[own] // 5), side="left")
+    # a row looks at all rows behind it, and before it at those of the largest group, which do not look
+    row = np.concatenate([own, own])
+    sign = np.repeat([1, -1], len(own))
+    left = np.concatenate([end - own - 1, own - begin])
+    done = np.zeros(len(row), np.int64)
+    given = np.zeros(len(rows), np.int64)
+    over = np.zeros(int(bucket[-1]) + 1, bool)
+    found = []
+    width = WIDTH
+    open_ = np.flatnonzero(left > 0)
+    while len(open_):
+        for part in np.split(open_, np.flatnonzero(np.diff(np.cumsum(np.minimum(left[open_], width)) // BATCH)) + 1):
+            take = np.minimum(left[part], width)
+            of = np.repeat(np.arange(len(part)), take)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take) + 1
+            i = row[part][of]
+            j = i + sign[part][of] * (done[part][of] + step)
+            good = np.flatnonzero((sign[part][of] > 0) | main[j])
+            good = good[_possible(rows[i[good]], rows[j[good]])]
+            i, j = i[good], j[good]
+            if most is not None and len(i):
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                counts = np.diff(np.append(first, len(i)))
+                rank = np.arange(len(i)) - np.repeat(first, counts) + given[i]
+                over[bucket[i[rank >= most]]] = True
+                given[i[first]] += counts
+                i, j = i[rank < most], j[rank < most]
+            found.append((i, j))
+        done[open_] += width
+        left[open_] -= width
+        open_ = open_[left[open_] > 0]
+        if most is not None:
+            full = given[row[open_]] >= most
+            over[bucket[row[open_[full]]]] = True
+            open_ = open_[~full]
+        width *= 2
+    return found, rows[np.flatnonzero(np.concatenate([[True], np.diff(bucket) > 0]))[over], 0]
 
 
 def _pairs(buckets: DataFrame, round_: int | None) -> DataFrame:
-    """Candidates (a, b): of every member with its bucket's member for the round, or (no round) of all members in pairs."""
-    names = ["a", "b"]
+    """Candidates (a, b) from rows (m, id, n, pos, label) and, where there is one, sig: up to ``FEW_PAIRS`` partners of a row in a bucket, or (no round) all of them.
+    Under ``b is null`` the buckets (a) that have more; what is in one group then needs no pair in the next round."""
+    most = None if round_ is None else max(1, FEW_PAIRS)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(parts):
-            bucket = rows[:, 0]
-            if round_ is not None:
-                mixed = (rows[:, 1].view(np.uint64) ^ np.uint64(round_ * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-                order = np.lexsort((mixed, bucket))
-                rows = rows[order]
-                starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-                other = rows[np.repeat(starts, np.diff(np.append(starts, len(rows))))]
-                good = _possible(rows, other)
-                yield _batch([rows[good, 1], other[good, 1]], names)
-                continue
-            rows = rows[np.lexsort((rows[:, 2], bucket))]
-            at = np.arange(len(rows))
-            for step in range(1, len(rows)):
-                at = at[at + step < len(rows)]
-                a, b = rows[at], rows[at + step]
-                near = (a[:, 0] == b[:, 0]) & (4 * b[:, 2] <= 5 * a[:, 2])  # sorted by size: what is too large now stays so
-                at, a, b = at[near], a[near], b[near]
-                if not len(at):
-                    break
-                good = _possible(a, b)
-                yield _batch([a[good, 1], b[good, 1]], names)
+            mixed = (rows[:, 1].view(np.uint64) ^ np.uint64((round_ or 0) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            rows = rows[np.lexsort((mixed, rows[:, 2], rows[:, 0]))]
+            found, more = _met(rows, most)
+            for i, j in found:
+                a, b = rows[i, 1], rows[j, 1]
+                yield _batch([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
+            if len(more):
+                yield pa.RecordBatch.from_arrays([pa.array(more), pa.nulls(len(more), pa.int64())], names=["a", "b"])
 
-    return buckets.repartition("m").sortWithinPartitions("m").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return buckets.repartition("m").sortWithinPartitions("m").mapInArrow(run, "a long, b long").distinct()
 
 
 def signature(own: np.ndarray) -> bytes:
@@ -178,6 +242,12 @@ def signature(own: np.ndarray) -> bytes:
     return np.packbits(counts & 1).tobytes()
 
 
+def folded(signs: bytes) -> list[bytes]:
+    """Signatures of ``FOLD`` bits, of which the same holds, from those of ``BITS`` bits one after the other."""
+    parts = np.frombuffer(signs, np.uint8).reshape(-1, BITS // FOLD, FOLD // 8)
+    return [s.tobytes() for s in np.bitwise_xor.reduce(parts, axis=1)]
+
+
 def _signatures(texts: DataFrame) -> DataFrame:
     """id, n (the set's size), sig and fp (the SimHash) of every text."""
 
@@ -260,13 +330,13 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], counts[order]
 
 
-def _of_documents(shared: DataFrame) -> DataFrame:
-    """Shared marks, a row per document."""
-    return shared.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("m", "pos")).alias("marks"))
+def _of_documents(shared: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Shared marks, a row per document, and its signature."""
+    return shared.groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("m", "pos")).alias("marks")).join(signatures.select("id", "sig"), "id")
 
 
 def _marks_of(documents: DataFrame) -> DataFrame:
-    """From ``id, n, marks, label`` the rows (m, id, n, pos, label)."""
+    """From ``id, n, marks, label, sig`` the rows (m, id, n, pos, label, sig); the signatures are folded to ``FOLD`` bits."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -277,9 +347,11 @@ def _marks_of(documents: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 own = marks.flatten()
                 ids, n, label = (some.column(i).to_numpy()[of] for i in (0, 1, 3))
-                yield _batch([own.field("m").to_numpy(), ids, n, own.field("pos").to_numpy(), label], ["m", "id", "n", "pos", "label"])
+                signs = folded(b"".join(some.column(4).to_pylist()))
+                columns = [*(pa.array(c) for c in (own.field("m").to_numpy(), ids, n, own.field("pos").to_numpy(), label)), pa.array(signs, pa.binary()).take(pa.array(of))]
+                yield pa.RecordBatch.from_arrays(columns, names=["m", "id", "n", "pos", "label", "sig"])
 
-    return documents.select("id", "n", "marks", "label").mapInArrow(run, "m long, id long, n int, pos int, label long")
+    return documents.select("id", "n", "marks", "label", "sig").mapInArrow(run, "m long, id long, n int, pos int, label long, sig binary")
 
 
 def _labelled(documents: DataFrame, found: DataFrame) -> DataFrame:
@@ -291,25 +363,25 @@ def _labelled(documents: DataFrame, found: DataFrame) -> DataFrame:
 def links(texts: DataFrame) -> DataFrame:
     """From distinct texts ``id, t``: pairs (a, b) at or above the least similarity that join all that such pairs join."""
     shared = stored(_shared(_marks(texts, *_common(texts))), "shared-marks")
-    documents = stored(_of_documents(shared), "marks-of-documents")
     signatures = stored(_signatures(texts), "signatures")
-    members = shared.count()
+    documents = stored(_of_documents(shared, signatures), "marks-of-documents", instead_of=shared)
     # what SimHash links and the shingles confirm is joined before any bucket is looked at
     found = _checked(stored(_plausible(_by_simhash(signatures), signatures), "candidates"), texts)
-    labelled = stored(_labelled(documents, found), "labelled-marks")
+    rows, open_, last = documents.count(), None, False
     for round_ in range(ROUNDS + 1):
-        groups = labelled.groupBy("m", "label").count().groupBy("m").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        left = (groups.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0]) or 0
-        if not left:
-            break
-        # the first round with partners joins what is of large groups, whose pairs would otherwise all be put out
-        last = round_ == ROUNDS or left <= (FEW_PAIRS if round_ else 1) * members
-        pairs = _plausible(_pairs(labelled, None if last else round_), signatures)
-        here = _checked(stored(pairs, "candidates"), texts)
+        labelled = _labelled(documents, found)
+        if open_ is not None:
+            labelled = labelled.join(open_.where("b is null").select(F.col("a").alias("m")), "m", "left_semi")
+        last = last or round_ == ROUNDS
+        met = stored(_pairs(labelled, None if last else round_), "met", instead_of=open_)
+        pairs = stored(_plausible(met.where("b is not null"), signatures), "candidates")
+        n = pairs.count()
+        here = _checked(pairs, texts)
         found = found.union(here)
-        if last:
+        if last or met.where("b is null").isEmpty():
             break
-        labelled = stored(_labelled(documents, found), "labelled-marks", instead_of=labelled)
+        # partners are few, or join little: all that is left meets
+        open_, last = met, 100 * n <= rows or 2 * here.count() < n
     return found
 
 

@@ -239,3 +239,41 @@ def test_pages_of_one_notice_are_no_candidates(spark, own_words):
     tables = {t.name for t in spark.catalog.listTables()}
     assert near_copies.groups(texts.withColumnsRenamed({"id": "doc_id", "t": "text"})).where("doc_id != component_id").count() == 0
     assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_a_shared_passage_alone_makes_no_candidates(spark, monkeypatch):
+    """A passage of which the sample of common shingles knows nothing, in 300 texts of twice its length: a similarity of 0.29."""
+    passage = " ".join(f"n{i}" for i in range(20))
+    texts = spark.createDataFrame([(near_copies.node(t), t) for t in (passage + "".join(f" p{i}x{j}" for j in range(20)) for i in range(300))], "id long, t string").repartition(4)
+    monkeypatch.setattr(near_copies, "_common", lambda texts: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    made, pairs = [], near_copies._pairs
+
+    def counted(*given):
+        out = pairs(*given)
+        made.append(out.where("b is not null").count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_pairs", counted)
+    assert near_copies.links(texts).count() == 0
+    assert sum(made) <= 300
+
+
+def test_rows_of_a_bucket_meet_as_in_plain_pairs():
+    rng = np.random.default_rng(4)
+    for seed in range(30):
+        k = 120
+        rows = np.column_stack([rng.integers(0, 4, k), rng.permutation(k), rng.integers(20, 34, k), rng.integers(0, 5, k), rng.integers(0, 2 + seed % 7, k), rng.integers(0, 64, (k, 2)) * -(1 << 58)]).astype(np.int64)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        i, j = np.triu_indices(k, 1)
+        good = (rows[i, 0] == rows[j, 0]) & near_copies._possible(rows[i], rows[j])
+        want = {tuple(p) for p in zip(i[good].tolist(), j[good].tolist(), strict=True)}
+        for a, b in want:
+            apart = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(rows[a, 5:], rows[b, 5:], strict=True))
+            assert 9 * apart <= rows[a, 2] + rows[b, 2] and rows[a, 4] != rows[b, 4]
+        found, more = near_copies._met(rows, None)
+        got = [tuple(sorted(p)) for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(got) == sorted(want) and not len(more)
+        found, more = near_copies._met(rows, 2)
+        some = [tuple(sorted(p)) for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(some) == len(set(some)) <= 2 * k and set(some) <= want
+        assert {int(rows[a, 0]) for a, _ in want - set(some)} <= set(more.tolist())
