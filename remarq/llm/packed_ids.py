@@ -38,14 +38,15 @@ MAGIC = b"RMQIDS1\0"
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<QQQII8s")
 DOCS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("end", "<u8")])
-#: Text bytes encoded at a time (a worker holds some twenty times as many meanwhile), ids read at a time, and pieces that a worker remembers.
-BATCH_BYTES = 1 << 20
+#: Text bytes cut at a time (each batch's pieces are looked up once), pieces whose ids are put together at a time, ids read at a time, and pieces that a worker remembers.
+BATCH_BYTES = 4 << 20
+CHUNK = 1 << 16
 READ_IDS = 1 << 20
 REMEMBERED = 400_000
 #: Text bytes of one file, about.
 FILE_BYTES = 64 << 20
-#: Separates pieces while many are encoded in one call; its own token stands for nothing else.
-SEPARATOR = "\r"
+#: How the vocabulary writes the byte of a space.
+SPACE = "\u0120"
 
 
 def bits_for(n_ids: int) -> int:
@@ -85,15 +86,19 @@ class Encoder:
         self.used = 0
         self.begin = np.zeros(1, np.int64)
         self.length = np.zeros(1, np.int64)
-        self.mark = self._plain([SEPARATOR])[0]
+        self.leads = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.leads[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the length of each piece's."""
+        """Flat ids and the length of each piece's.
+
+        Pieces that begin with a space, which is their only one, are encoded in one string: a token that begins with a space begins a piece.
+        """
         lengths = np.zeros(len(pieces), np.int64)
-        alone = [i for i, p in enumerate(pieces) if SEPARATOR in p or p[-1:].isspace()]
+        alone = [i for i, p in enumerate(pieces) if p[:1] != " " or p[-1].isspace()]
         parts: dict[int, np.ndarray] = {}
         for i, ids in zip(alone, self._plain([pieces[i] for i in alone]), strict=True):
             parts[i] = np.array(ids, self.flat.dtype)
@@ -104,13 +109,12 @@ class Encoder:
             rest = [i for i in range(len(pieces)) if i not in parts]
         chunks = []
         if len(rest):
-            joined = [SEPARATOR.join(pieces[i] for i in rest[a : a + 2000]) for a in range(0, len(rest), 2000)]
+            joined = ["".join([pieces[i] for i in rest[a : a + 2000]]) for a in range(0, len(rest), 2000)]
             for ids, a in zip(self._plain(joined), range(0, len(rest), 2000), strict=True):
                 ids = np.array(ids, self.flat.dtype)
-                cuts = np.flatnonzero(ids == self.mark[0])
-                own = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                own = np.diff(np.append(np.flatnonzero(self.leads[ids]), len(ids)))
                 lengths[np.asarray(rest[a : a + 2000])] = own
-                chunks.append(np.delete(ids, cuts))
+                chunks.append(ids)
         flat = np.concatenate(chunks) if chunks else np.zeros(0, self.flat.dtype)
         if parts:  # back into the order of the pieces
             of_rest = iter(np.split(flat, np.cumsum(lengths[np.asarray(rest, np.int64)])[:-1])) if len(rest) else iter(())
@@ -140,28 +144,29 @@ class Encoder:
             self.used += int(lengths[:room].sum())
             self.flat = pool[: self.used].copy()
         starts = np.concatenate([[0], cutting.ends[:-1]]).astype(np.int64)
-        running = np.concatenate([[0], np.cumsum(length_of[cutting.codes])])
+        running = np.zeros(len(cutting.codes) + 1, np.int64)
+        np.cumsum(length_of[cutting.codes], out=running[1:])
         sizes = running[cutting.ends] - running[starts] + 1
+        first = running[starts]
         odd = {}
         for i, ids in zip(cutting.odd, self._plain([texts[int(i)].as_py() for i in cutting.odd]), strict=True):
             odd[int(i)] = ids
             sizes[i] = len(ids) + 1
         ends = np.cumsum(sizes)
         out = np.full(int(ends[-1]) if len(ends) else 0, end_id, self.flat.dtype)
-        rows = np.repeat(np.arange(len(sizes)), cutting.ends - starts)
-        codes = cutting.codes
-        if odd:
-            keep = ~np.isin(rows, cutting.odd)
-            codes, rows = codes[keep], rows[keep]
-        n = length_of[codes]
-        # ids of occurrence k go to the ids before it, of all pieces and end ids so far
-        before = np.concatenate([[0], np.cumsum(n)])[:-1]
-        first_of_row = np.searchsorted(rows, np.arange(len(sizes)))
-        base = np.concatenate([before, [int(n.sum())]])[first_of_row]
-        shift = (ends - sizes) - base
-        total = int(n.sum())
-        step = np.arange(total) - np.repeat(before, n)
-        out[np.repeat(before + shift[rows], n) + step] = pool[np.repeat(begin_of[codes], n) + step]
+        # ids of occurrence k go to the ids before it in its row, from where the row's begin
+        shift = (ends - sizes) - first
+        for a in range(0, len(cutting.codes), CHUNK):
+            codes = cutting.codes[a : a + CHUNK]
+            rows = np.searchsorted(cutting.ends, np.arange(a, a + len(codes)), side="right")
+            if odd:
+                keep = ~np.isin(rows, cutting.odd)
+                codes, rows, before = codes[keep], rows[keep], running[a : a + len(keep)][keep]
+            else:
+                before = running[a : a + len(codes)]
+            n = length_of[codes]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(before + shift[rows], n) + step] = pool[np.repeat(begin_of[codes], n) + step]
         for i, ids in odd.items():
             out[ends[i] - sizes[i] : ends[i] - 1] = ids
         return out, ends

@@ -102,3 +102,13 @@ def test_encoding_a_table_holds_little_memory():
         tracemalloc.stop()
     assert n == 2000 * (len(encoded(column[0].as_py())) + 1)
     assert most < 64 << 20
+
+
+def test_pieces_of_a_batch_are_encoded_without_anything_between_them(monkeypatch):
+    own = [f"w{i} word{i}, ción{i}.\nNd" + "".join(f" x{i}y{j}é" for j in range(9)) for i in range(700)]
+    encoder = packed_ids.Encoder(VOCABULARY)
+    given, plain = [], encoder._plain
+    monkeypatch.setattr(encoder, "_plain", lambda texts: given.extend(texts) or plain(texts))
+    ids, ends = encoder.encode(pa.array(own, pa.string()), 2)
+    assert [a.tolist() for a in np.split(ids, ends)[:-1]] == [encoded(t) + [2] for t in own]
+    assert sum(map(len, given)) <= sum(map(len, own))
