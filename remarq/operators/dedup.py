@@ -69,8 +69,12 @@ def near(df: DataFrame, theta: float = THRESHOLD, task: str = "task_id", body: s
     Whom a leader claims depends on all rows before. A task of ``most`` rows or fewer is one group, and tasks are spread over the cluster. Larger ones, up to one
     task for a whole table, are settled by rounds over the rows that are undecided, see :func:`leaders`. Cleaned texts are hashed and embedded once.
     """
-    ready = df.withColumns({"content_hash": text.content_hash(F.col(body)), "embedding": text.embedding(F.col(body))})
-    ready = stored(once(ready, **{_TASK: F.coalesce(F.col(task).cast("string"), F.lit(""))}), "embedded")
+    return settled(df.withColumns({"content_hash": text.content_hash(F.col(body)), "embedding": text.embedding(F.col(body))}), theta, task, most)
+
+
+def settled(df: DataFrame, theta: float = THRESHOLD, task: str = "task_id", most: int = MOST_ROWS) -> DataFrame:
+    """:func:`near` of rows that have ``content_hash`` and ``embedding`` already. All columns are written to the shared folder: leave out texts that nobody reads afterwards."""
+    ready = stored(once(df, **{_TASK: F.coalesce(F.col(task).cast("string"), F.lit(""))}), "embedded")
     keyed = ready.select(F.col(_TASK).alias("task"), "seq", "content_hash", "embedding")
     large = keyed.groupBy("task").count().where(F.col("count") > most).select("task")
     if large.isEmpty():
@@ -109,35 +113,33 @@ def leaders(keyed: DataFrame, theta: float, prefix: int = MOST_ROWS, block: int
     with its hash, if that comes before it, else to the earliest leader that is close to it.
     """
     width = keyed.agg(F.max(F.size("embedding"))).first()[0] or 1
-    unit = similar.units(keyed.select(F.col("task").alias("g"), F.col("seq"), F.col("content_hash").alias("hash"), F.col("embedding").alias("v")), width)
-    rows = stored(unit.withColumn("d", F.md5("v")), "unit-vectors")
-    nodes = stored(rows.groupBy("g", "hash", "d").agg(F.min("seq").alias("k"), F.min_by("v", "seq").alias("v")), "nodes")
-    first = nodes.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where(F.col("place") <= prefix)
+    unit = similar.units(keyed.select(F.col("task").alias("g"), F.col("seq"), F.col("content_hash").alias("hash"), F.col("embedding").alias("v")), width).withColumn("d", F.md5("v"))
+    rows = stored(unit.select("g", "hash", "d", "seq"), "rows")
+    nodes = stored(unit.groupBy("g", "hash", "d").agg(F.min("seq").alias("k"), F.min_by("v", "seq").alias("v")), "nodes")  # vectors lie here alone; what is told of nodes has none
+    first = nodes.select("g", "k").withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where(F.col("place") <= prefix)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group.sort_values("k", kind="stable")
         of = _greedy(own["k"].to_numpy(), own["hash"].to_numpy(), np.frombuffer(b"".join(own["v"]), float).reshape(len(own), width), theta)
         return pd.DataFrame({"k": own["k"].to_numpy(), "leads": of < 0})
 
-    early = stored(first.groupBy("g").applyInPandas(run, "k long, leads boolean"), "first-nodes")
-    marked = stored(nodes.join(early, "k", "left").select("k", "g", "hash", "d", "v", "leads"), "marked-nodes")
+    early = stored(nodes.join(first.select("k"), "k", "left_semi").select("g", "k", "hash", "v").groupBy("g").applyInPandas(run, "k long, leads boolean"), "first-nodes")
     into = similar.cells(nodes, width, theta)
-    asking = marked.select("k", "g", F.coalesce("leads", F.lit(False)).alias("serves"), F.col("leads").isNull().alias("asks"), "v")
-    claimed = similar.earliest(similar.placed(asking, into, theta), width, theta, block).select("k")
-    hashes = marked.where("leads").select("g", "hash").distinct()
-    open_ = marked.where("leads is null").join(claimed, "k", "left_anti").join(hashes, ["g", "hash"], "left_anti")
-    later = similar.led(open_.select("k", "g", "hash", "v"), into, theta, block)
-    led = stored(marked.where("leads").select("k").union(later), "all-leaders")
-    final = marked.drop("leads").join(led.withColumn("leads", F.lit(True)), "k", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-    final = stored(final, "led-nodes", instead_of=marked)
-    asks = final.select("k", "g", F.col("leads").alias("serves"), (~F.col("leads")).alias("asks"), "v")
-    near_ = similar.earliest(similar.placed(asks, into, theta), width, theta, block).withColumnRenamed("least", "near")
-    by_hash = final.where("leads").select("g", "hash", F.col("k").alias("of_hash"))
-    node = final.select("g", "hash", "d", "k").join(near_, "k", "left").drop("k")
-    met = rows.select("g", "hash", "d", "seq").join(node, ["g", "hash", "d"]).join(by_hash, ["g", "hash"], "left")
+    marked = nodes.join(early, "k", "left")
+    claimed = similar.met(marked.select("k", "g", F.coalesce("leads", F.lit(False)).alias("serves"), F.col("leads").isNull().alias("asks"), "v"), into, theta, block)
+    hashes = nodes.select("k", "g", "hash").join(early.where("leads"), "k", "left_semi").select("g", "hash").distinct()
+    open_ = nodes.join(early, "k", "left_anti").join(claimed, "k", "left_anti").join(hashes, ["g", "hash"], "left_anti")
+    later = similar.led(open_, into, theta, block)
+    led = stored(early.where("leads").select("k").union(later), "all-leaders", instead_of=later)
+    asks = nodes.select("k", "g", "v").join(led.withColumn("leads", F.lit(True)), "k", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    near_ = similar.met(asks.select("k", "g", F.col("leads").alias("serves"), (~F.col("leads")).alias("asks"), "v"), into, theta, block).withColumnRenamed("least", "near")
+    leading = nodes.select("k", "g", "hash").join(led, "k", "left_semi")
+    by_hash = leading.select("g", "hash", F.col("k").alias("of_hash"))
+    node = nodes.select("g", "hash", "d", "k").join(near_, "k", "left").drop("k")
+    met = rows.join(node, ["g", "hash", "d"]).join(by_hash, ["g", "hash"], "left")
     leader = F.when(F.col("of_hash") < F.col("seq"), F.col("of_hash")).when(F.col("of_hash").eqNullSafe(F.col("seq")), F.lit(None)).otherwise(F.col("near"))
     told = met.select(F.col("g").alias("task"), "seq", leader.alias("leader_seq"))
-    names = final.where("leads").select(F.col("g").alias("task"), F.col("k").alias("leader_seq"), F.col("hash").alias("leader_hash"))
+    names = leading.select(F.col("g").alias("task"), F.col("k").alias("leader_seq"), F.col("hash").alias("leader_hash"))
     return told.join(names, ["task", "leader_seq"], "left").select("task", "seq", "leader_seq", "leader_hash")
 
 
@@ -162,7 +164,7 @@ def similar_pairs(df: DataFrame, theta: float, key: str = "vec_id", vector: str
     Rows without a key or a vector take no part. What comes out grows with the square of a class; :func:`similar_links` does not write classes out.
     """
     of, classes, width = _distinct_vectors(df, key, vector)
-    found = stored(class_pairs(classes, width, theta, block), "class-pairs")
+    found = class_pairs(classes, width, theta, block)
     one, other = (of.select(F.col("class").alias(c), F.col("k").alias(f"k_{c}")) for c in ("a", "b"))
     across = found.join(one, "a").join(other, "b").select("k_a", "k_b", "cosine")
     same = of.where("n > 1")
@@ -176,7 +178,7 @@ def similar_pairs(df: DataFrame, theta: float, key: str = "vec_id", vector: str
 def similar_links(df: DataFrame, theta: float, key: str = "vec_id", vector: str = "embedding", block: int = similar.BLOCK) -> DataFrame:
     """A row per key: its class (the smallest key with the same vector) and ``n_links``, how many other keys are close enough to it."""
     of, classes, width = _distinct_vectors(df, key, vector)
-    found = stored(class_pairs(classes, width, theta, block), "class-pairs")
+    found = class_pairs(classes, width, theta, block)
     both = found.select(F.col("a").alias("k"), F.col("b").alias("other")).union(found.select("b", "a"))
     sizes = classes.select(F.col("k").alias("other"), "n")
     linked = both.join(sizes, "other").groupBy(F.col("k").alias("class")).agg(F.sum("n").alias("near"))

@@ -3,24 +3,27 @@
 Vectors have length one, so a cosine of theta is a distance of sqrt(2 - 2 theta) at most, and distances obey the triangle inequality. Every vector's home is the cell
 of its nearest pivot. If x and y are that close and y's home is another pivot p, then x lies no farther from p than from its own pivot plus twice the distance, nor than the
 cell's radius plus the distance; so x also goes to all such cells, as an outer row, and nothing is lost. (It goes to cells of smaller numbers only, which is where each pair then meets once.) A cell's rows are
-dealt to blocks by hash, each pair of blocks is a tile, and in a tile only rows whose distances to the pivot differ by no more than the bound are multiplied.
+dealt to blocks by hash and written to the shared folder, once; each pair of blocks is a tile, whose task reads both from there, and in a tile only rows whose distances to the pivot differ by no more than the bound are multiplied.
 
 How much this spares depends on the vectors: texts that fall into groups meet few others, random directions meet all. Cells that spare nothing would only copy every row into all of them, so the number of
-pivots is the one at which a sample's rows make the least work, down to a single cell, whose rows are copied once a block of the others. Memory of a task is two blocks; a cell with a third
+pivots is the one at which a sample's rows make the least work, down to a single cell, and never one at which rows have more than one outer copy in the mean: disk grows as the rows, while what is read and multiplied may grow as their square. Memory of a task is two blocks; a cell with a third
 of all rows is many tiles, not a large task. Pivots come from a bounded sample and steer the work alone: results do not hang on them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import drop, forget, fresh_folder, open_fs, stored
 
 #: Rows of a block; rows a pivot is chosen for; pivots at most (8 bytes a component each, in every task); rows of which they are chosen.
 BLOCK, CELL_ROWS, MOST_PIVOTS, SAMPLE = 4096, 48, 1024, 8192
@@ -98,6 +101,8 @@ def _cheapest(points: np.ndarray, pivots: np.ndarray, n: int, theta: float) -> i
         np.maximum.at(radii, home, own)
         near = (far <= own[:, None] + 2 * reach + 1e-6) & (far <= radii[None] + reach + 1e-6) & (np.arange(p)[None] < home[:, None])
         inside, outer = np.bincount(home, minlength=p) * share, near.sum(axis=0) * share
+        if outer.sum() > n:  # what lies in the shared folder stays within two copies of the rows
+            continue
         tiles = np.ceil(inside / BLOCK) + np.ceil(outer / BLOCK)
         cost = (inside * (inside / 2 + outer)).sum() + ROW_PAIRS * (inside * tiles + outer * np.ceil(inside / BLOCK)).sum()
         if cost < least:
@@ -178,107 +183,168 @@ def work(rows: DataFrame) -> tuple[int, int]:
     return pairs, every
 
 
-def _tiles(rows: DataFrame, block: int) -> DataFrame:
-    """A row for every tile that a placed row takes part in: (g, cell, of: both at home or one outer, x, y), and which side of it the row is."""
-    n = _sizes(rows).select("g", "cell", F.ceil(F.col("home") / block).cast("int").alias("hb"), F.ceil(F.col("outer") / block).cast("int").alias("ob"))
-    met = rows.join(n.where("hb > 0"), ["g", "cell"])
-    own = F.pmod(F.xxhash64("k"), F.when(F.col("role") == HOME, F.col("hb")).otherwise(F.col("ob"))).cast("int")
-    at = met.withColumn("own", own)
-    inside = F.transform(F.sequence(F.lit(0), F.col("hb") - 1), lambda j: F.struct(F.lit(0).alias("of"), F.least("own", j).alias("x"), F.greatest("own", j).alias("y"), (j < F.col("own")).cast("int").alias("side")))
-    across = F.transform(F.when(F.col("ob") > 0, F.sequence(F.lit(0), F.col("ob") - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.struct(F.lit(1).alias("of"), F.col("own").alias("x"), j.alias("y"), F.lit(0).alias("side")))
-    outer = F.transform(F.sequence(F.lit(0), F.col("hb") - 1), lambda j: F.struct(F.lit(1).alias("of"), j.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side")))
-    tiles = F.when(F.col("role") == HOME, F.concat(inside, across)).otherwise(outer)
-    return at.select("g", "cell", F.explode(tiles).alias("t"), "k", "serves", "asks", "v", "away").select("g", "cell", "t.of", "t.x", "t.y", "t.side", "k", "serves", "asks", "v", "away")
-
-
-class _Tile:
-    """Rows of a tile, side by side."""
+class _Block:
+    """Rows of a block, by their distance to the cell's pivot."""
 
     def __init__(self, rows: pa.Table, width: int):
-        side = rows["side"].to_numpy()
-        order = np.lexsort((rows["away"].to_numpy(), side))
-        rows = rows.take(pa.array(order))
-        cut = int((side == 0).sum())
+        rows = rows.combine_chunks()
         self.k, self.away = rows["k"].to_numpy(), rows["away"].to_numpy()
-        self.serves, self.asks = (rows[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("serves", "asks"))
+        self.serves, self.asks = (rows[c].to_numpy().astype(bool) for c in ("serves", "asks"))
         self.v = matrix(rows["v"].combine_chunks(), width)
-        same = rows["of"][0].as_py() == 0 and rows["x"][0].as_py() == rows["y"][0].as_py()
-        self.left = np.arange(cut)
-        self.right = self.left if same else np.arange(cut, len(self.k))
-        self.same = same
-
-    def near(self, theta: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of rows left and right whose cosine is large enough, and it; every pair once."""
-        for start in range(0, len(self.left), 256):
-            own = self.left[start : start + 256]
-            low, high = np.searchsorted(self.away[self.right], [self.away[own[0]] - reach, self.away[own[-1]] + reach + 1e-12])
-            other = self.right[low:high]
-            if not len(other):
+
+
+def _runs(parts: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows that follow each other with the same values in the first columns, and these."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for part in parts:
+        keys = list(zip(*(part.column(i).to_pylist() for i in range(columns)), strict=True))
+        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if a == b:
                 continue
-            cos = self.v[own] @ self.v[other].T
-            i, j = np.nonzero(cos >= theta - SLACK)
-            a, b = own[i], other[j]
-            if self.same:
-                once = a < b
-                i, j, a, b = i[once], j[once], a[once], b[once]
-            yield a, b, cos[i, j]
+            if keys[a] != at and held:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = keys[a]
+            held.append(part.slice(a, b - a))
+    if held:
+        yield at, pa.Table.from_batches(held)
 
 
-def _compared(rows: DataFrame, width: int, theta: float, block: int, found: Callable[[_Tile], list[np.ndarray]], names: list[str], kinds: str) -> DataFrame:
+def _blocks(rows: DataFrame, block: int, folder: str) -> DataFrame:
+    """Placed rows, each written once: a row for every block with where it lies in the folder's files, and whether any of its rows serves or asks."""
+    n = _sizes(rows).select("g", "cell", F.ceil(F.col("home") / block).cast("int").alias("hb"), F.ceil(F.col("outer") / block).cast("int").alias("ob"))
+    own = F.pmod(F.xxhash64("k"), F.when(F.col("role") == HOME, F.col("hb")).otherwise(F.col("ob"))).cast("int")
+    key = ["g", "cell", "role", "no"]
+    dealt = rows.join(n.where("hb > 0"), ["g", "cell"]).withColumn("no", own).select(*key, "k", "serves", "asks", "v", "away")
+    kinds = "g string, cell int, role tinyint, no int, file string, start long, size long, serves boolean, asks boolean"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
+        files, path = open_fs(folder)
+        name = uuid.uuid4().hex  # a task that runs twice writes another file, and its blocks are told once
+        told, out = [], None
+        try:
+            for at, table in _runs(parts, len(key)):
+                if out is None:
+                    files.create_dir(path, recursive=True)
+                    out = files.open_output_stream(f"{path}/{name}")
+                start = out.tell()
+                own = table.select(["k", "serves", "asks", "v", "away"])
+                with pa.ipc.new_stream(out, own.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+                    w.write_table(own)
+                told.append((*at, name, start, out.tell() - start, *(pc.any(own[c]).as_py() for c in ("serves", "asks"))))
+        finally:
+            if out is not None:
+                out.close()
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*told, strict=True), _TOLD, strict=True)], names=names)
+
+    return dealt.repartition(*key).sortWithinPartitions(*key, "away").mapInArrow(run, kinds)
+
+
+_TOLD = [pa.string(), pa.int32(), pa.int8(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+
+
+def _tiles(blocks: DataFrame) -> DataFrame:
+    """Pairs of blocks of a cell, at home both or one of outer rows, in which some row asks one that serves."""
+
+    def side(role: int, name: str) -> DataFrame:
+        return blocks.where(F.col("role") == role).select("g", "cell", *(F.col(c).alias(f"{name}_{c}") for c in ("no", "file", "start", "size", "serves", "asks")))
+
+    inside = side(HOME, "x").join(side(HOME, "y"), ["g", "cell"]).where("x_no <= y_no").withColumn("of", F.lit(HOME))
+    across = side(HOME, "x").join(side(OUTER, "y"), ["g", "cell"]).withColumn("of", F.lit(OUTER))
+    return inside.unionByName(across).where("x_asks and y_serves or x_serves and y_asks")
+
+
+def _near(x: _Block, y: _Block, same: bool, theta: float, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of rows of x and y whose cosine is large enough, and it: every pair once, or those that one of them asks for alone if these are fewer products."""
+    every = [(np.ones(len(x.k), bool), np.ones(len(y.k), bool))]
+    asked = [(x.asks, y.serves)] if same else [(x.asks, y.serves), (x.serves, y.asks)]
+    products = [sum(int(a.sum()) * int(b.sum()) for a, b in some) for some in (every, asked)]
+    once = same and products[0] <= products[1]
+    for left, right in every if products[0] <= products[1] else asked:
+        left, right = np.flatnonzero(left), np.flatnonzero(right)
+        own, other, away = x.v[left], y.v[right], y.away[right]
+        for start in range(0, len(left), 256):
+            i = left[start : start + 256]
+            low, high = np.searchsorted(away, [x.away[i[0]] - reach, x.away[i[-1]] + reach + 1e-12])
+            if low == high:
+                continue
+            cos = own[start : start + 256] @ other[low:high].T
+            a, b = np.nonzero(cos >= theta - SLACK)
+            c = cos[a, b]
+            a, b = i[a], right[low + b]
+            if once:
+                kept = a < b
+                a, b, c = a[kept], b[kept], c[kept]
+            yield a, b, c
+
+
+def _compared(rows: DataFrame, width: int, block: int, found: Callable[[_Block, _Block, bool], Iterator[list[np.ndarray]]], kinds: str, name: str, once_more: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What is found in all tiles, stored. Blocks lie in the shared folder once, tasks read them from there two at a time, and nothing but what is found is shuffled; blocks go when it is stored."""
+    spark = rows.sparkSession
+    folder = fresh_folder(spark, "blocks")
+    tiles = stored(_tiles(blocks := stored(_blocks(rows, block, folder), "block-places")), "tiles", instead_of=blocks)
+    n, cores = tiles.count(), spark.sparkContext.defaultParallelism
+    edge = max(1, min(8, int((n / (8 * cores)) ** 0.5)))  # tiles of a square tell of few rows: it is a task's, unless there are few
+    names = [x.split()[0] for x in kinds.split(", ")]
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                out = found(_Tile(pa.Table.from_batches(held), width))
-                if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
-            held.clear()
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = open_fs(folder)
+
+        @lru_cache(2)
+        def read(file: str, start: int, size: int) -> _Block:
+            with files.open_input_file(f"{path}/{file}") as f:
+                return _Block(pa.ipc.open_stream(f.read_at(size, start)).read_all(), width)
 
         for part in parts:
-            keys = list(zip(*(part.column(i).to_pylist() for i in range(5)), strict=True))
-            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if a == b:
-                    continue
-                if keys[a] != at:
-                    yield from done()
-                    at = keys[a]
-                held.append(part.slice(a, b - a))
-        yield from done()
+            for t in part.to_pylist():
+                one, other = (tuple(t[f"{side}_{c}"] for c in ("file", "start", "size")) for side in "xy")
+                for out in found(read(*one), read(*other), one == other):
+                    if len(out[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
-    key = ["g", "cell", "of", "x", "y"]
-    return _tiles(rows, block).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, kinds)
+    square = ["g", "cell", "of", F.expr(f"x_no div {edge}"), F.expr(f"y_no div {edge}")]
+    dealt = tiles.repartitionByRange(max(1, min(n, max(4 * cores, n // 64))), *square).sortWithinPartitions("x_file", "x_start")
+    out = stored(once_more(dealt.mapInArrow(run, kinds)), name)
+    forget(tiles)
+    drop(folder)
+    return out
 
 
 def pairs(rows: DataFrame, width: int, theta: float, block: int = BLOCK) -> DataFrame:
     """a, b (a < b), cosine of the placed rows of a group that are close enough."""
     reach = radius(theta)
 
-    def found(tile: _Tile) -> list[np.ndarray]:
-        parts = [(tile.k[a], tile.k[b], c) for a, b, c in tile.near(theta, reach)]
-        x, y, c = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-        return [np.minimum(x, y), np.maximum(x, y), c]
+    def found(x: _Block, y: _Block, same: bool) -> Iterator[list[np.ndarray]]:
+        for a, b, cosine in _near(x, y, same, theta, reach):
+            yield [np.minimum(x.k[a], y.k[b]), np.maximum(x.k[a], y.k[b]), cosine]
 
-    return _compared(rows, width, theta, block, found, ["a", "b", "cosine"], "a long, b long, cosine double")
+    return _compared(rows, width, block, found, "a long, b long, cosine double", "pairs")
 
 
 def earliest(rows: DataFrame, width: int, theta: float, block: int = BLOCK) -> DataFrame:
     """k and ``least``: for placed rows that ask, the smallest k of those that serve, come before it and are close enough. A tile tells one a row, whatever its pairs."""
     reach = radius(theta)
 
-    def found(tile: _Tile) -> list[np.ndarray]:
-        least = np.full(len(tile.k), np.iinfo(np.int64).max)
-        for a, b, _ in tile.near(theta, reach):
-            for x, y in ((a, b), (b, a)):
-                good = tile.asks[x] & tile.serves[y] & (tile.k[y] < tile.k[x])
-                np.minimum.at(least, x[good], tile.k[y[good]])
-        told = np.flatnonzero(least < np.iinfo(np.int64).max)
-        return [tile.k[told], least[told]]
+    def found(x: _Block, y: _Block, same: bool) -> Iterator[list[np.ndarray]]:
+        least = [np.full(len(side.k), np.iinfo(np.int64).max) for side in (x, y)]
+        for a, b, _ in _near(x, y, same, theta, reach):
+            for own, i, other, j, to in ((x, a, y, b, least[0]), (y, b, x, a, least[1])):
+                good = own.asks[i] & other.serves[j] & (other.k[j] < own.k[i])
+                np.minimum.at(to, i[good], other.k[j[good]])
+        for side, to in zip((x, y), least, strict=True):
+            told = np.flatnonzero(to < np.iinfo(np.int64).max)
+            yield [side.k[told], to[told]]
+
+    return _compared(rows, width, block, found, "k long, least long", "earliest", lambda each: each.groupBy("k").agg(F.min("least").alias("least")))
+
 
-    each = _compared(rows, width, theta, block, found, ["k", "least"], "k long, least long")
-    return each.groupBy("k").agg(F.min("least").alias("least"))
+def met(rows: DataFrame, into: Cells, theta: float, block: int = BLOCK) -> DataFrame:
+    """:func:`earliest` of rows ``k, g, serves, asks, v``; those that do neither are not placed."""
+    return earliest(placed(rows.where("serves or asks"), into, theta), into.width, theta, block)
 
 
 def led(nodes: DataFrame, into: Cells, theta: float, block: int = BLOCK) -> DataFrame:
@@ -290,15 +356,16 @@ def led(nodes: DataFrame, into: Cells, theta: float, block: int = BLOCK) -> Data
     left = stored(nodes.select("k", "g", "hash", "v"), "undecided")
     found = left.select("k").limit(0)
     while not left.isEmpty():
-        asking = placed(left.withColumns({"serves": F.lit(True), "asks": F.lit(True)}), into, theta)
-        waits = earliest(asking, into.width, theta, block)
+        waits = met(left.withColumns({"serves": F.lit(True), "asks": F.lit(True)}), into, theta, block)
         by_hash = left.groupBy("g", "hash").agg(F.min("k").alias("first"))
-        now = left.join(by_hash, ["g", "hash"]).join(waits, "k", "left").withColumn("leads", F.col("least").isNull() & (F.col("k") == F.col("first")))
-        now = stored(now.select("k", "g", "hash", "v", "leads"), "round")
-        claims = placed(now.select("k", "g", F.col("leads").alias("serves"), (~F.col("leads")).alias("asks"), "v"), into, theta)
-        claimed = earliest(claims, into.width, theta, block).select("k")
+        now = left.select("k", "g", "hash").join(by_hash, ["g", "hash"]).join(waits, "k", "left").withColumn("leads", F.col("least").isNull() & (F.col("k") == F.col("first")))
+        now = stored(now.select("k", "g", "hash", "leads"), "round", instead_of=waits)  # vectors stay with what is undecided
+        claims = left.select("k", "g", "v").join(now.select("k", "leads"), "k").select("k", "g", F.col("leads").alias("serves"), (~F.col("leads")).alias("asks"), "v")
+        claimed = met(claims, into, theta, block)
         hashes = now.where("leads").select("g", "hash").distinct()
         rest = now.where("not leads").join(claimed, "k", "left_anti").join(hashes, ["g", "hash"], "left_anti")
-        left = stored(rest.select("k", "g", "hash", "v"), "undecided", instead_of=left)
+        left = stored(left.join(rest.select("k"), "k", "left_semi"), "undecided", instead_of=left)
         found = stored(found.union(now.where("leads").select("k")), "leaders", instead_of=found)
+        forget(claimed)
+        forget(now)
     return found

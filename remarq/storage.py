@@ -53,11 +53,17 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     df.write.parquet(uri)
     out = spark.read.schema(df.schema).parquet(uri)
     _folders[out] = uri
-    if instead_of is not None and instead_of in _folders:
-        drop(_folders.pop(instead_of))
+    if instead_of is not None:
+        forget(instead_of)
     return out
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a result of :func:`stored` that nothing reads any more."""
+    if df in _folders:
+        drop(_folders.pop(df))
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

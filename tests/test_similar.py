@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_text_and_rows import greedy
 
+from remarq import storage
 from remarq.operators import dedup, similar
 
 
@@ -111,3 +112,37 @@ def test_placed_rows_leave_in_bounded_batches():
     assert max(p.num_rows for p in out) <= similar.PLACED
     assert sum(p.num_rows for p in out) > 10 * 1500
     assert pa.Table.from_batches(out).filter(pa.compute.field("role") == similar.HOME).num_rows == 1500
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_are_not_copied_once_a_block(spark):
+    """Random directions lie in one cell of 20 blocks, of which all pairs meet: rows are shuffled once, not once a tile."""
+    rng = np.random.default_rng(4)
+    rows = similar.units(frame(spark, rng.normal(size=(1000, 24))).select(F.col("vec_id").alias("k"), F.lit("").alias("g"), F.lit(True).alias("serves"), F.lit(True).alias("asks"), F.col("embedding").alias("v")), 24)
+    rows = storage.stored(rows, "rows")
+    into = similar.cells(rows, 24, 0.9)
+    assert len(into.points) == 1
+    before = shuffled_rows(spark)
+    assert similar.earliest(similar.placed(rows, into, 0.9), 24, 0.9, block=50).collect() == []
+    assert shuffled_rows(spark) - before < 3 * 1000
+
+
+def test_rounds_leave_nothing_but_leaders_behind(spark):
+    def folders():
+        files, path = storage.open_fs(storage.shared_root(spark) + f"/remarq/{spark.sparkContext.applicationId}")
+        return [f.base_name for f in files.get_file_info(storage.pafs.FileSelector(path, allow_not_found=True))]
+
+    angle = np.arange(10) * 0.4
+    x = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    nodes = spark.createDataFrame([(i, "t", f"h{i}", v.tobytes()) for i, v in enumerate(x)], "k long, g string, hash string, v binary")
+    before = set(folders())
+    led = similar.led(nodes, similar.Cells(x[:1], np.full(1, 2.0)), float(np.cos(0.5)))
+    left = {f.rsplit("-", 1)[0] for f in set(folders()) - before}
+    assert sorted(r.k for r in led.collect()) == [0, 2, 4, 6, 8]
+    assert left <= {"undecided", "leaders"}
